@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm import quality_rules
+from gridloom.llm.packing import op5_best_fit_packing
 from gridloom.llm.pii import op4_personal_data
+from gridloom.llm.quality_classifier import op2_quality_classifier
+from gridloom.llm.quality_rules import op7_quality_rules
 from gridloom.llm.secret_scan import op1_secret_scan
+from gridloom.llm.sharding import op8_stratified_shards
 from gridloom.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_personal_data": op4_personal_data,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_stratified_shards": op8_stratified_shards,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE}
