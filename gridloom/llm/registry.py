@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import quality_rules
+from gridloom.llm.ngram_jaccard import op6_ngram_jaccard
 from gridloom.llm.packing import op5_best_fit_packing
 from gridloom.llm.pii import op4_personal_data
 from gridloom.llm.quality_classifier import op2_quality_classifier
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_personal_data": op4_personal_data,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op8_stratified_shards": op8_stratified_shards,
     "op10_token_counts": op10_token_counts,
