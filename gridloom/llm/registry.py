@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality_rules
+from gridloom.llm import embedding_dedup, quality_rules
+from gridloom.llm.embedding_dedup import op9_embedding_dedup
 from gridloom.llm.ngram_jaccard import op6_ngram_jaccard
 from gridloom.llm.packing import op5_best_fit_packing
 from gridloom.llm.pii import op4_personal_data
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op8_stratified_shards": op8_stratified_shards,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
