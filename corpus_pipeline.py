@@ -1,16 +1,55 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline of the training-data operators.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
+kept. Stages of one row each for a document keep the documents' columns; the last
+one gives the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import documents, materialize
+from gridloom.llm.mixing import mixed_documents
+from gridloom.llm.ngram_jaccard import keep_one
+from gridloom.llm.packing import packed_documents
+from gridloom.llm.quality_classifier import fit_labels, quality_filter
 from gridloom.llm.secret_scan import redact_documents
 
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the compression classifier rejects."""
+    return quality_filter(docs, fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; keeps all documents."""
+    return redact_documents(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents at the rates that bring the domains to their target weights."""
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences; one row per piece."""
+    return packed_documents(docs)
+
+
 STAGES = [
-    ("secret scans", lambda spark, docs, sf_dir: redact_documents(docs)),
+    ("quality classifier", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("secret scans", secrets_stage),
+    ("mixing to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
-#: SQL cannot express the trained classifier, the rates' iteration or the tokenizer.
+#: SQL cannot express the trained classifiers, the rates' iteration or the tokenizer.
 ORACLE_SQL = None
 
 

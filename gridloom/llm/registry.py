@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import embedding_dedup, quality_rules
 from gridloom.llm.embedding_dedup import op9_embedding_dedup
+from gridloom.llm.mixing import op3_mixing
 from gridloom.llm.ngram_jaccard import op6_ngram_jaccard
 from gridloom.llm.packing import op5_best_fit_packing
 from gridloom.llm.pii import op4_personal_data
@@ -20,6 +21,7 @@ from gridloom.llm.token_counts import op10_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_mixing": op3_mixing,
     "op4_personal_data": op4_personal_data,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
