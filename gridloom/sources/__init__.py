@@ -1 +1 @@
-
+"""Readers: delimited text and Office Open XML packages."""
