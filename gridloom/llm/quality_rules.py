@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import SPACE_CLASS, documents
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 #: Rows on which costs and selectivities are estimated.
@@ -74,14 +74,13 @@ def repeat_words(words: str) -> str:
 
 def metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words``."""
-    spaces = " \\t\\n\\u000b\\f\\r"
     rows = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", F.array_remove(F.split("text", f"{SPACE_CLASS}+"), "").alias("__words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
     return rows.select(
         id_col,
         "text",
         F.size("__words").cast("long").alias("n_words"),
-        F.expr(f"CAST(char_length(translate(text, '{spaces}', '')) AS LONG)").alias("word_chars"),
+        F.char_length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         F.expr(f"CAST(char_length(text) - char_length(translate(text, '{SYMBOLS}', '')) AS LONG)").alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -92,10 +91,11 @@ def metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def estimate(rows: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """``(rule, seconds for the sample, share rejected)``, most rejections per second first.
 
-    The sample is the rows with the least hashes of the id, at most ``sample_rows``
-    of them; each rule is timed alone on it, so its cost is that of the metrics it needs.
+    The sample is the rows whose hash is in the share that holds about ``sample_rows``
+    of all; each rule is timed alone on it, so its cost is that of the metrics it needs.
     """
-    sample = rows.orderBy(F.xxhash64(id_col, "text")).limit(sample_rows).select(id_col, "text").persist()
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64(id_col, F.left("text", F.lit(64))), F.lit(1 << 30)) < int(share * (1 << 30))).select(id_col, "text").persist()
     try:
         n = max(1, sample.count())
         made = metrics(sample, id_col)
