@@ -67,8 +67,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in label_cols))
     name = F.concat(*[x for c in label_cols for x in (F.lit(c[0]), F.col(c).cast("string"))])
     known = known.select(F.col(id_col).alias("__label_id"), name.alias("__domain")).dropDuplicates(["__label_id"])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col("text").alias("__text")).join(known, F.col("__id") == F.col("__label_id"))
-    return rows.orderBy(F.xxhash64(F.lit(SEED), "__id"), "__id").limit(TRAIN_ROWS).select("__text", "__domain")
+    picked = known.orderBy(F.xxhash64(F.lit(SEED), "__label_id"), "__label_id").limit(TRAIN_ROWS)
+    # At most TRAIN_ROWS ids, whatever the size of the tables; so texts of other rows are not moved.
+    return docs.select(F.col(id_col).alias("__id"), F.col("text").alias("__text")).join(F.broadcast(picked), F.col("__id") == F.col("__label_id")).select("__text", "__domain")
 
 
 def fit_domains(train: DataFrame) -> DomainModel:
