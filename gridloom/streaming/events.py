@@ -16,7 +16,7 @@ def read_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def windowed(df: DataFrame, time: str, width: str, formulas: dict[str, str], by: list[str] | None = None, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Formulas of aggregates per window; with a watermark, so that state is bounded and late rows have a limit."""
     made = {k: formula_column(df, f) for k, f in formulas.items()}
-    timed = df.withWatermark(time, late) if df.isStreaming else df
+    timed = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if df.isStreaming else df
     return timed.groupBy(F.window(time, width, slide), *(by or [])).agg(*outputs(made, False)).select(F.col("window.start").alias("window_start"), *(by or []), *formulas)
 
 

@@ -45,4 +45,5 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
     query = windowed(stream, "ts", "1 day", formulas, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName("windows").start()
     query.processAllAvailable()
     query.stop()
-    assert oracle.difference(spark.table("windows").toPandas(), batch) is None
+    got = spark.table("windows").toPandas()
+    assert oracle.difference(got, batch) is None
