@@ -46,7 +46,7 @@ TRIGGER = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]")
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STEP, MARGIN = 96, 48, 32
-TRAIN_SENTENCES, EPOCHS, EMBED, HIDDEN = 900, 8, 8, 12
+TRAIN_SENTENCES, EPOCHS, EMBED, HIDDEN = 1400, 8, 8, 12
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Character classes: these one by one, then lower, upper, digit, space, line feed, other, padding.
 _SINGLE = "@.-+()[]_%/:,#$=*'\""

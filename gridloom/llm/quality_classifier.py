@@ -111,16 +111,22 @@ def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-
     return tuple(map(float, w))
 
 
-def fit(train: DataFrame, label_col: str, key: Column, text_col: str = "text", rows: int = TRAIN_ROWS) -> CompressionModel:
-    """From rows with a text and a 0/1 label; ``key`` orders them and halves them."""
-    known = train.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("__label"), text_or_empty(text_col).alias("__text"), F.xxhash64(key).alias("__key"))
+def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> CompressionModel:
+    """From the texts of documents with a mark; ``marks``: columns ``__mark_id`` and ``__label``.
+
+    The rows to learn from are picked by the hash of their id in the marks alone, at
+    most ``rows`` of each label, so no other text is moved.
+    """
+    known = marks.where(F.col("__label").isin(0, 1)).withColumn("__key", F.xxhash64("__mark_id"))
     counts = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     prior = counts.get(1, 0) / n if n else 0.5
     if len(counts) < 2:
         return CompressionModel(b"", b"", (), prior)
-    usable = known.where(F.char_length("__text") <= TRAIN_CHARS)
-    picked = {k: [r["__text"] for r in usable.where(F.col("__label") == k).orderBy("__key", "__text").limit(rows).collect()] for k in (0, 1)}
+    ids = [known.where(F.col("__label") == k).orderBy("__key", "__mark_id").limit(rows) for k in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("__own"), text_or_empty(text_col).alias("__text")).join(F.broadcast(ids[0].union(ids[1])), F.col("__own") == F.col("__mark_id"))
+    found = sorted((r["__key"], r["__label"], r["__text"]) for r in texts.where(F.char_length("__text") <= TRAIN_CHARS).select("__key", "__label", "__text").collect())
+    picked = {k: [t for _, label, t in found if label == k] for k in (0, 1)}
     if not all(picked.values()):
         return CompressionModel(b"", b"", (), prior)
     halves = {k: (t[::2], t[1::2] or t) for k, t in picked.items()}
@@ -157,8 +163,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit_labels(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     """From ``labels.quality`` of the documents that are not held out."""
-    marked = labels.select(F.col("doc_id").alias("__doc"), F.col("quality").alias("__quality")).where(~held_out("__doc")).dropDuplicates(["__doc"])
-    return fit(docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("__doc")), "__quality", F.col("doc_id"))
+    marks = labels.select(F.col("doc_id").alias("__mark_id"), F.col("quality").cast("int").alias("__label"))
+    return fit(docs, marks.where(~held_out("__mark_id")).dropDuplicates(["__mark_id"]))
 
 
 def quality_filter(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
