@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -44,24 +45,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    free_shuffles(spark)
     df.write.parquet(path)
     _scratch.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(keep: int = 0) -> None:
-    """Remove the scratch tables of this process but for the latest ``keep``."""
-    last = _scratch[len(_scratch) - keep :] if keep else []
-    for ref, path in _scratch[: len(_scratch) - keep]:
-        spark = ref()
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove scratch tables that no later step reads, as their files count against the disk."""
+    for df in tables:
+        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for entry in [e for e in _scratch if any(p.endswith(e[1].rsplit("/", 1)[1]) for p in paths)]:
+            remove(*entry)
+            _scratch.remove(entry)
+
+
+def remove(ref: weakref.ref, path: str) -> None:
+    spark = ref()
+    if spark is None or spark.sparkContext._jsc is None:
+        return  # the session has ended; nothing can be removed any more
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_scratch() -> None:
+    """Remove this process's scratch tables."""
+    for entry in _scratch:
         try:
-            if spark is None or spark.sparkContext._jsc is None:
-                continue
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; nothing can be removed any more
-            continue
-    _scratch[:] = last
+            remove(*entry)
+        except Exception:  # at the end of the process the gateway may be gone
+            break
+    _scratch.clear()
 
 
 atexit.register(drop_scratch)

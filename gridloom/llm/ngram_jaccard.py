@@ -13,11 +13,11 @@ that everything follows:
 3. Stars: for each shingle its class of the least and of the greatest hash are
    compared with the others. That is linear, however many copies share the shingle,
    and links nearly all copies; linked classes form components.
-4. The rest: only shingles whose classes still lie in several components matter, and
-   only pairs across components. Shingles of a rare kind are indexed alone. For
-   frequent ones, combinations of two shingles of a document are indexed instead,
-   which the extended prefix makes safe; small sets, whose prefix guarantees only one
-   shared shingle, are indexed by single shingles too.
+4. The rest: only classes that may link across components matter, and only pairs
+   across components. Their whole sets are ordered by frequency. Shingles of a rare
+   kind are indexed alone; for frequent ones combinations of two of a class's prefix
+   are indexed, which a prefix that is extended by one makes safe; where it cannot be
+   extended, single shingles are indexed too.
 5. Candidates that fit in size are verified on their whole sets.
 
 So no link between different components is lost, while pairs inside a component that
@@ -39,17 +39,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents, map_rows, materialize, text_or_empty
+from gridloom.llm.common import documents, map_rows, materialize, release, text_or_empty
 from gridloom.llm.components import components
 from gridloom.llm.shingles import K, shingle_set
 
 THRESHOLD = Fraction(4, 5)
 #: Classes that share a shingle of the rare kind at most.
 RARE = 32
-#: Sets up to this size may share but one shingle of their extended prefixes (with sets of at most 5/4 their size).
-SMALL = 24
 STAR_ROUNDS = 2
 
 
@@ -63,8 +62,7 @@ def prefix(n: int, t: Fraction = THRESHOLD) -> tuple[int, int]:
 def need(n: Column, t: Fraction = THRESHOLD) -> Column:
     """What the smallest partner of a set of ``n`` shares of its extended prefix."""
     a, b = t.numerator, t.denominator
-    m = F.floor((a * n + b - 1) / b)
-    return F.floor((m - F.floor((a * m + b - 1) / b) + 1) / 4) + 1
+    return shared_tokens(F.floor((a * n + b - 1) / b), t)
 
 
 def set_table(df: DataFrame, id_col: str, text_col: str, t: Fraction, k: int = K) -> DataFrame:
@@ -105,7 +103,15 @@ def supported(entries: DataFrame, t: Fraction, tell: str) -> DataFrame:
     ends = entries.groupBy("token").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("token")
     shared = materialize(entries.join(ends, "token").distinct(), f"{tell}-shared")
     enough = shared.groupBy("set_key", "n").agg(F.count("*").alias("__k")).where(F.col("__k") >= need(F.col("n"), t)).select("set_key")
-    return shared.join(enough, "set_key").select("token", "set_key", "n")
+    kept = materialize(shared.join(enough, "set_key").select("token", "set_key", "n"), f"{tell}-kept")
+    release(shared)
+    return kept
+
+
+def shared_tokens(n: Column, t: Fraction = THRESHOLD) -> Column:
+    """What a partner that is no smaller shares of a set of ``n``'s extended prefix."""
+    a, b = t.numerator, t.denominator
+    return F.floor((n - F.floor((a * n + b - 1) / b) + 1) / 4) + 1
 
 
 def fits(a: Column, b: Column, t: Fraction) -> Column:
@@ -169,32 +175,70 @@ def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
 
 
-def across(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
-    """Every pair across components that the index of single tokens and of token combinations gives."""
+def set_tokens(sets: DataFrame) -> DataFrame:
+    """``set_key, token``: the whole sets, a row for each shingle."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for key, raw in zip(keys, batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key, np.int64)), pa.array(own)], names=["set_key", "token"])
+
+    return sets.mapInArrow(unpack, "set_key long, token long")
+
+
+def overlap(n: Column, t: Fraction) -> Column:
+    """What any partner shares of a set of ``n`` at least."""
+    return F.floor((t.numerator * n + t.denominator - 1) / t.denominator)
+
+
+def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Every pair across components that the index of single tokens and of token combinations gives.
+
+    The classes that may still link across components are few, so whole sets are
+    looked at: a token counts if it lies in several components, a class stays if it
+    has enough of such tokens (``k``), and ``k`` bounds the similarity of any pair. The
+    order is now by frequency: tokens that do not count come first in a prefix, so
+    only the rarest ``k - overlap + 1`` tokens that do are indexed; one more makes
+    sure of two shared ones, hence of a combination where the tokens are frequent.
+    """
     placed = labelled(entries, labels)
-    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
-    placed = placed.join(open_, "token")
-    # A class needs enough tokens that lie in several components.
-    enough = placed.groupBy("set_key", "n").agg(F.count("*").alias("__k")).where(F.col("__k") >= need(F.col("n"), t)).select("set_key")
-    placed = materialize(placed.join(enough, "set_key").select("token", "df", "set_key", "n", "label"), "jaccard-open")
-    single = placed.where((F.col("df") <= RARE) | (F.col("n") <= SMALL)).select(F.col("token").alias("key"), "set_key", "n", "label")
-    frequent = placed.where((F.col("df") > RARE) & (F.col("n") * 2 > SMALL))
-    other = frequent.select(F.col("token").alias("token2"), "set_key")
-    combined = frequent.join(other, "set_key").where("token < token2").select(F.xxhash64("token", "token2").alias("key"), "set_key", "n", "label")
+    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
+    held = placed.join(open_, "token").groupBy("set_key", "n", "label").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), t)).select("set_key", "n", "label")
+    held = materialize(held, "jaccard-open")
+    whole = tokens = materialize(set_tokens(sets.join(held, "set_key", "left_semi").select("set_key", "grams")).join(held, "set_key"), "jaccard-tokens")
+    open_ = tokens.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
+    counted = materialize(tokens.join(open_, "token"), "jaccard-counted")
+    release(whole)
+    mine = W.partitionBy("set_key")
+    ranked = counted.withColumn("k", F.count("*").over(mine)).where(F.col("k") >= overlap(F.col("n"), t)).withColumn("r", F.row_number().over(mine.orderBy("df", "token")))
+    chosen = materialize(ranked.where(F.col("r") <= F.col("k") - overlap(F.col("n"), t) + 2), "jaccard-chosen")
+    release(counted)
+    own = ["set_key", "n", "k", "label"]
+    # One shared token is all that is sure where the last one of the set was taken already.
+    short = F.col("k") - overlap(F.col("n"), t) + 2 > F.col("k")
+    single = chosen.where((F.col("df") <= RARE) | short).select(F.col("token").alias("key"), *own)
+    frequent = chosen.where(F.col("df") > RARE)
+    combined = frequent.join(frequent.select(F.col("token").alias("token2"), "set_key"), "set_key").where("token < token2").select(F.xxhash64("token", "token2").alias("key"), *own)
     index = single.union(combined)
     alone = index.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     index = materialize(index.join(alone, "key"), "jaccard-index")
-    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = index.join(right, "key").where((F.col("set_key") < F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t))
-    return met.select(F.col("set_key").alias("a"), "b").distinct()
+    release(chosen)
+    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("label").alias("lb"))
+    most = F.least("k", "kb")
+    could = (F.col("set_key") < F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t) & (most * t.denominator >= (F.col("n") + F.col("nb") - most) * t.numerator)
+    return index.join(right, "key").where(could).select(F.col("set_key").alias("a"), "b").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
     """``id, n_shingles, component_id`` for each row."""
-    table = materialize(set_table(df, id_col, text_col, t, k), "jaccard-sets")
-    entries = table.where(F.size("tokens") > 0).select("set_key", "n", F.explode("tokens").alias("token"))
-    entries = supported(entries, t, "jaccard-1")
-    entries = materialize(supported(entries, t, "jaccard-2"), "jaccard-entries")
+    wide = materialize(set_table(df, id_col, text_col, t, k), "jaccard-sets")
+    once = supported(wide.where(F.size("tokens") > 0).select("set_key", "n", F.explode("tokens").alias("token")), t, "jaccard-1")
+    table = materialize(wide.drop("tokens"), "jaccard-rows")
+    release(wide)
+    entries = supported(once, t, "jaccard-2")
+    release(once)
     classes = entries.select("set_key").distinct()
     wanted = table.join(classes, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
     sets = materialize(whole_sets(df, wanted, text_col, k), "jaccard-grams")
@@ -203,7 +247,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = spark.createDataFrame([], "node long, label long")
     links = tested = spark.createDataFrame([], "a long, b long")
     for turn in range(STAR_ROUNDS + 1):
-        met = stars(entries, labels, turn, t) if turn < STAR_ROUNDS else across(entries, labels, t)
+        met = stars(entries, labels, turn, t) if turn < STAR_ROUNDS else across(entries, labels, sets, t)
         met = materialize(met.join(tested, ["a", "b"], "left_anti") if turn else met, "jaccard-pairs")
         if met.isEmpty():
             continue
