@@ -167,10 +167,19 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     return fit(docs, marks.where(~held_out("__mark_id")).dropDuplicates(["__mark_id"]))
 
 
-def quality_filter(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
+def quality_filter(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score reaches the threshold."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return quality_scores(docs, model, [whole]).where(F.col("score") >= threshold).select("__row.*")
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                scores = scorer([t or "" for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
