@@ -351,6 +351,44 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 906))
 
 
+def test_embedding_pairs_in_a_dense_cone_are_found(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axis = unit(rng.normal(size=(1, 64)))
+    across = lambda n: unit((lambda g: g - (g @ axis.T) * axis)(rng.normal(size=(n, 64))))
+    cone = np.sqrt(0.78) * axis + np.sqrt(0.22) * across(1500)
+    aside = rng.normal(size=(150, 64))
+    aside = unit(aside - (aside * cone[:150]).sum(1, keepdims=True) * cone[:150])
+    twins = 0.93 * cone[:150] + np.sqrt(1 - 0.93**2) * aside
+    # A second length, less common than the other.
+    short = unit(rng.normal(size=(40, 8)))
+    x = np.vstack([cone, twins, unit(rng.normal(size=(2850, 64)))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v.tolist()) for i, v in enumerate(np.vstack([short, short + 0.01]))]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link[:1650, :1650].sum() < 0.01 * 1650**2
+    a, b = np.nonzero(np.triu(link))
+    assert np.mean([got[i]["component_id"] == got[j]["component_id"] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
+    assert np.mean([got[5000 + i]["component_id"] == got[5040 + i]["component_id"] for i in range(40)]) >= 0.9
+
+
+def test_every_embedding_plan_reaches_the_recall():
+    rng = np.random.default_rng(8)
+    for dim in (2, 3, 16, 256):
+        x = rng.normal(size=(300, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        plan = embedding_dedup.calibrate(x, 10**6)
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        hits = np.zeros(len(x), int)
+        for t in range(plan.tables):
+            (c, v), (d, w) = embedding_dedup.hashed(x, t, plan.cuts), embedding_dedup.hashed(y, t, plan.cuts)
+            hits += (c == d) & (np.abs(v - w) <= plan.width)
+        assert (hits >= plan.count).mean() >= 0.9
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
