@@ -231,8 +231,8 @@ def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction)
     return index.join(right, "key").where(could).select(F.col("set_key").alias("a"), "b").distinct()
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
-    """``id, n_shingles, component_id`` for each row."""
+def labelled_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
+    """``__id, text_hash, n, label`` for each row; rows with words are one group if their labels are equal."""
     wide = materialize(set_table(df, id_col, text_col, t, k), "jaccard-sets")
     once = supported(wide.where(F.size("tokens") > 0).select("set_key", "n", F.explode("tokens").alias("token")), t, "jaccard-1")
     table = materialize(wide.drop("tokens"), "jaccard-rows")
@@ -255,7 +255,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tested = tested.union(met)
         labels = components(links, "jaccard")
 
-    placed = table.select("__id", "n", "set_key").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    return labelled(table.select("__id", "text_hash", "n", "set_key"), labels).drop("set_key")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
+    """``id, n_shingles, component_id`` for each row."""
+    placed = labelled_rows(df, id_col, text_col, t, k)
     least = placed.where("n > 0").groupBy("label").agg(F.min("__id").alias("component_id"))
     empty = placed.where("n = 0").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.col("__id").alias("component_id"))
     full = placed.where("n > 0").join(least, "label").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -263,9 +268,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id is their component's: one of each group."""
-    kept = jaccard_components(df, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    """One row of each group, with all its columns, and every row whose text has no words.
+
+    It is the row of the least id (null ids last), then of the least hash of its text;
+    of rows that are alike in both, the one of the least hash of all columns.
+    """
+    placed = labelled_rows(df, id_col, text_col)
+    alike = placed.where("n > 0").groupBy("label", "__id", "text_hash").agg(F.count("*").alias("copies"))
+    first = alike.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "text_hash", "copies")).alias("f"))
+    empty = placed.where("n = 0").select("__id", "text_hash", F.lit(1).cast("long").alias("copies")).distinct()
+    keys = materialize(first.select("f.__id", "f.text_hash", "f.copies").union(empty), "jaccard-kept")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("text_hash"))
+    kept = df.join(keys.where("copies = 1").select("__id", "text_hash"), same, "left_semi")
+    repeated = keys.where("copies > 1").select("__id", "text_hash")
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    one = df.join(repeated, same).groupBy("__id", "text_hash").agg(F.min_by(row, order).alias("__row"))
+    return kept.union(one.select("__row.*"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,21 @@ def test_jaccard_of_odd_tables(docs, empty):
     assert ngram_jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    rows = [(1, BASE), (2, BASE), (2, BASE), (None, BASE), (5, prose(41, 40)), (5, prose(42, 40)), (5, prose(42, 40)), (6, prose(43, 40)), (6, prose(43, 40)), (6, prose(43, 40)), (1, prose(44, 40))]
+    rows += [(None, prose(45, 40)), (None, prose(46, 40)), (None, prose(46, 40)), (None, None), (None, None), (None, ""), (8, None), (8, ""), (8, "")]
+    want = brute_components({i: shingles(t) for i, (_, t) in enumerate(rows)})
+    groups: dict = {}
+    for i, (k, t) in enumerate(rows):
+        groups.setdefault(want[i], []).append((k is None, k or 0, t))
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = ngram_jaccard.keep_one(df).collect()
+    assert len(got) == len(groups) and sorted(want[r["n"]] for r in got) == sorted(groups)
+    for r in got:
+        assert (r["doc_id"] is None, r["doc_id"] or 0) == min(g[:2] for g in groups[want[r["n"]]])
+        assert rows[r["n"]] == (r["doc_id"], r["text"])
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(9)
     ids = rng.sample(range(10**9), 300)
