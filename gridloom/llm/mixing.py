@@ -134,24 +134,23 @@ def features(docs: DataFrame, model: DomainModel, keep: list[Column], text_col:
     return materialize(made.select(*kept, "n_tokens", *[F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]), "mixing")
 
 
-def rate_column(domains: tuple[str, ...], steps: list[np.ndarray], most: float | None) -> Column:
+def rate_column(features: list[Column], steps: list[np.ndarray], most: float | None) -> Column:
     """A document's rate after the steps: from 1, each goes down the gradient and back to what is allowed."""
     rate = F.lit(1.0)
     for multipliers in steps:
         moved = rate
-        for d, m in zip(domains, multipliers, strict=True):
-            moved = moved - F.col(f"p_{d}") * F.lit(float(m))
+        for f, m in zip(features, multipliers, strict=True):
+            moved = moved - f * F.lit(float(m))
         rate = F.greatest(moved, F.lit(0.0))
         rate = F.least(rate, F.lit(float(most))) if most is not None else rate
     return rate
 
 
-def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float], total: float | None = None, headroom: float | None = None, most: float | None = None) -> Column:
+def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float], total: float | None = None) -> Column:
     """The rate as an expression over ``table``.
 
     ``weights``: the domains' shares of ``total`` expected tokens (the table's own
-    total if None). With ``headroom`` the total is instead what makes the domain of
-    the largest share ``headroom`` times what there is of it.
+    total if None).
     """
     k = len(domains)
     p = [F.col(f"p_{d}") for d in domains]
@@ -162,12 +161,8 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: Mapping[str,
     g = np.zeros((k, k))
     g[np.triu_indices(k)] = [x or 0.0 for x in sums[k:]]
     whiten = np.linalg.pinv(g + np.triu(g, 1).T, rcond=1e-9, hermitian=True)
-    shares = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
-    shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
     total = there.sum() if total is None else total
-    if headroom is not None:
-        total = headroom * there[shares.argmax()] / shares.max()
-    target = shares * total
+    target = shares_of(domains, weights) * total
     steps: list[np.ndarray] = []
     expected = there
     for _ in range(STEPS):
@@ -175,11 +170,54 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: Mapping[str,
         if np.abs(rest).max() <= TOLERANCE * max(1.0, total):
             break
         steps.append(whiten @ rest)
-        rate = rate_column(domains, steps, most)
+        rate = rate_column(p, steps, None)
         before, expected = expected, np.array([x or 0.0 for x in table.agg(*[F.sum(rate * t * x) for x in p]).first()])
         if np.abs(expected - before).max() <= 1e-9 * max(1.0, total):
             break
-    return rate_column(domains, steps, most)
+    return rate_column(p, steps, None)
+
+
+def shares_of(domains: tuple[str, ...], weights: Mapping[str, float]) -> np.ndarray:
+    shares = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    return shares / shares.sum() if shares.sum() else np.full(len(domains), 1 / len(domains))
+
+
+def fit_draw(table: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float]) -> Column:
+    """Rates of one at most, as a draw without replacement has them.
+
+    Rows whose likeliest domain is the one of the largest share have rate one. The
+    others' rates bring each other domain to its share relative to that one, hence the
+    total follows from the data: with ``q = p_d - p_largest * share_d / share_largest``
+    the sum of ``rate * tokens * q`` shall be zero, by the same projected gradient.
+    Where the rows of rate one hold more of a domain than its share, what is left is
+    as small as least squares can make it.
+    """
+    shares = shares_of(domains, weights)
+    top = int(shares.argmax())
+    others = [i for i in range(len(domains)) if i != top]
+    if not others:
+        return F.lit(1.0)
+    p = [F.col(f"p_{d}") for d in domains]
+    q = [p[i] - p[top] * F.lit(float(shares[i] / shares[top])) for i in others]
+    fixed = p[top] >= F.greatest(*[p[i] for i in others]) if len(others) > 1 else p[top] >= p[others[0]]
+    t, k = F.col("n_tokens").cast("double"), len(others)
+    free = F.when(fixed, F.lit(0.0)).otherwise(t)
+    sums = table.agg(F.sum(t), *[F.sum(t * x) for x in q], *[F.sum(free * q[i] * q[j]) for i in range(k) for j in range(i, k)]).first()
+    total, rest = sums[0] or 0.0, np.array([x or 0.0 for x in sums[1 : k + 1]])
+    g = np.zeros((k, k))
+    g[np.triu_indices(k)] = [x or 0.0 for x in sums[k + 1 :]]
+    whiten = np.linalg.pinv(g + np.triu(g, 1).T, rcond=1e-9, hermitian=True)
+    steps: list[np.ndarray] = []
+    rate = F.lit(1.0)
+    for _ in range(STEPS):
+        if np.abs(rest).max() <= TOLERANCE * max(1.0, total):
+            break
+        steps.append(whiten @ rest)
+        rate = F.when(fixed, F.lit(1.0)).otherwise(rate_column(q, steps, 1.0))
+        before, rest = rest, np.array([x or 0.0 for x in table.agg(*[F.sum(rate * t * x) for x in q]).first()])
+        if np.abs(rest - before).max() <= 1e-9 * max(1.0, total):
+            break
+    return rate
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -189,17 +227,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float
     return table.withColumn("rate", fit_rates(table, model.domains, weights))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS, headroom: float = 1.1, id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = TARGETS, id_col: str = "doc_id") -> DataFrame:
     """The rows, with all their columns, drawn without replacement at their rates.
 
-    A rate of one or more keeps the document, once; the draw is a hash of its id and
-    text, so it is the same on every run.
+    A rate of one keeps the document; the draw is a hash of its id and text, so it is
+    the same on every run. Only labels of these documents are learnt from.
     """
-    model = fit_domains(labelled(docs, labels, id_col))
+    model = fit_domains(labelled(docs, labels.join(docs.select(id_col), id_col, "left_semi"), id_col))
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), F.col("text")), 11) / F.lit(float(1 << 53))).alias("__draw")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     table = features(docs, model, [whole, draw])
-    return table.where(F.col("__draw") < fit_rates(table, model.domains, weights, headroom=headroom)).select("__row.*")
+    return table.where(F.col("__draw") < fit_draw(table, model.domains, weights)).select("__row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

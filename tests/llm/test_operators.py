@@ -129,6 +129,19 @@ def test_mixing_of_odd_tables(docs, empty, spark):
     assert mixing.mixing_rates(empty, none).count() == 0 and mixing.mixed_documents(docs, none).columns == docs.columns
 
 
+def test_drawing_keeps_clean_rows_and_lowers_the_rest(spark):
+    # Junk words vary in number, so that posteriors are soft.
+    junk = lambda i: " vile rotten"[: 5 if i % 3 else 12] * (1 + i % 5) if i % 3 == 0 else ""
+    df = spark.createDataFrame([(i, prose(i, 30) + junk(i)) for i in range(900)], "doc_id long, text string")
+    # Labels of absent documents, with the least hashes or not, are not learnt from.
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 900, 2)] + [(i, 1, i % 2) for i in range(10_000, 40_000)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in mixing.mixed_documents(df, labels, {"q1t0": 0.9, "q1t1": 0.1}).collect()}
+    clean = [i for i in range(900) if i % 3]
+    assert np.mean([i in kept for i in clean]) >= 0.98
+    toxic = sum(i % 3 == 0 for i in kept) / len(kept)
+    assert 0.05 <= toxic <= 0.15
+
+
 # Personal data
 
 
