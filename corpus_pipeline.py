@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept. Stages of one row each for a document keep the documents' columns; the last
-one gives the packed pieces.
+one gives the packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; one row per piece."""
-    return packed_documents(docs)
+    """Packs the documents into sequences; one row per piece, with its token ids."""
+    return packed_documents(docs, with_ids=True)
 
 
 STAGES = [

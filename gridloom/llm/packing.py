@@ -157,8 +157,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ties: tuple[str, ...] = ("
     return ranked.select(*names, "__rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def packed_documents(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialize(token_pieces(df, capacity), "pieces"), capacity)
+def packed_documents(df: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """The pieces with their places and, if asked for, their ids: ``ids``, four bytes each, little endian.
+
+    Ids are joined to the placed pieces by a row number, so they are not sorted for the ranks.
+    """
+    if not with_ids:
+        return pack(materialize(token_pieces(df, capacity), "pieces"), capacity)
+    pieces = materialize(token_pieces(df, capacity, with_ids=True).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    return placed.join(pieces.select("__row", "ids"), "__row").drop("__row")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

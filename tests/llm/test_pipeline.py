@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 from gridloom.llm.common import documents, materialize
+from gridloom.llm.packing import encoding, packed_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +23,17 @@ def test_stages_keep_columns_and_take_effect(spark):
             assert docs.columns == names
         before = ids
     assert {"sequence_id", "offset", "length"} <= set(docs.columns)
+
+
+def test_packed_pieces_carry_their_token_ids(spark):
+    docs = documents(spark, SF)
+    rows = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(map(tuple, packed_documents(docs).select(*names).collect()))
+    by_doc: dict = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        by_doc[r["doc_id"]] = by_doc.get(r["doc_id"], b"") + r["ids"]
+    for r in docs.collect():
+        assert encoding().decode(np.frombuffer(by_doc[r["doc_id"]], "<u4")[:-1].tolist()) == (r["text"] or "")
