@@ -4,7 +4,8 @@ Rules give the base spans: assignments to names such as ``password``, access key
 ids, and long hexadecimal strings. Beyond them, every candidate string (a long run
 of key characters) is cut into runs of one character class; a window slides over
 each run and its Shannon entropy follows from counts that change by one character
-in and one out. Windows at or over the class's threshold merge into ``entropy``
+in and one out. A run shorter than the window is one window, with the threshold scaled
+to its length. Windows at or over the class's threshold merge into ``entropy``
 spans. The allow list then takes back spans that are known not to be secrets.
 
 Defined results: a null or empty text has no spans; spans are code points, end
@@ -32,12 +33,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 
 @dataclass(frozen=True)
 class CharClass:
-    """Runs of ``chars``; entropy in bits over ``window`` characters; fewest digits and letters in a window."""
+    """Runs of ``chars``; entropy in bits over ``window`` characters; fewest digits and letters in a window.
+
+    ``cased`` capitals and as many small letters, if not 0, do instead of the digits.
+    """
 
     name: str
     chars: str
@@ -45,20 +50,23 @@ class CharClass:
     bits: float
     digits: int
     letters: int
+    cased: int = 0
 
 
 CLASSES = (
     CharClass("hex", "[0-9a-fA-F]", 24, 3.0, 6, 4),
     CharClass("upper", "[A-Z0-9]", 20, 3.4, 3, 4),
-    CharClass("mixed", "[A-Za-z0-9+/_=-]", 24, 3.9, 3, 6),
+    CharClass("mixed", "[A-Za-z0-9+/_=-]", 24, 3.9, 3, 6, 6),
 )
-#: Spans inside a match of one of these are not secrets: ids, digests of known kind, placeholders, runs of the alphabet.
+#: Spans inside a match of one of these are not secrets: ids, digests of known kind, placeholders, runs of the alphabet,
+#: host and path of a URL (not its user info or query). Of a match with a group ``known`` only that counts.
 ALLOWED = (
     r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
     r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[A-Za-z0-9+/=]+",
     r"(?i)[A-Za-z0-9+/_=-]*(?:example|placeholder|changeme|dummy|redacted|xxxx)[A-Za-z0-9+/_=-]*",
     r"(?i)[a-z0-9+/]*(?:abcdefghijk|0123456789)[a-z0-9+/]*",
-    r"https?://\S+",
+    r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?",
+    r"https?://[^\s/?#]*@(?P<known>[^\s/?#@]+(?:/[^\s?#]*)?)",
 )
 
 
@@ -88,7 +96,7 @@ def entropy_windows(run: str, size: int) -> Iterator[tuple[int, float]]:
 
 class SecretScanner:
     def __init__(self, classes: Iterable[CharClass] = CLASSES, allowed: Iterable[str] = ALLOWED):
-        self.classes = [(c, re.compile(f"{c.chars}{{{c.window},}}")) for c in classes]
+        self.classes = [(c, re.compile(f"{c.chars}{{{min(c.window, SHORTEST)},}}")) for c in classes]
         self.allowed = [re.compile(a) for a in allowed]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
@@ -103,16 +111,20 @@ class SecretScanner:
         for kind, runs in self.classes:
             for m in runs.finditer(candidate):
                 run = m[0]
+                w = min(kind.window, len(run))
+                least, digits, letters, cased = kind.bits * log2(w) / log2(kind.window), *(x * w // kind.window for x in (kind.digits, kind.letters, kind.cased))
                 digit = [0]
                 letter = [0]
+                upper = [0]
                 for c in run:
                     digit.append(digit[-1] + c.isdigit())
                     letter.append(letter[-1] + c.isalpha())
-                if digit[-1] < kind.digits or letter[-1] < kind.letters:
+                    upper.append(upper[-1] + c.isupper())
+                if letter[-1] < letters or digit[-1] < digits and not (cased and cased <= upper[-1] <= letter[-1] - cased):
                     continue
-                w = kind.window
                 for i, bits in entropy_windows(run, w):
-                    if bits >= kind.bits and digit[i + w] - digit[i] >= kind.digits and letter[i + w] - letter[i] >= kind.letters:
+                    big, both = upper[i + w] - upper[i], letter[i + w] - letter[i]
+                    if bits >= least and both >= letters and (digit[i + w] - digit[i] >= digits or cased and cased <= big <= both - cased):
                         a, b = m.start() + i, m.start() + i + w
                         if found and found[-1][0] <= a <= found[-1][1]:
                             found[-1] = (found[-1][0], max(b, found[-1][1]))
@@ -133,7 +145,7 @@ class SecretScanner:
         if extra:
             extra = [s for s in extra if not any(s[0] < b and a < s[1] for a, b, _ in base)]
         if extra:
-            known = [m.span() for p in self.allowed for m in p.finditer(text)]
+            known = [m.span("known" if "known" in p.groupindex else 0) for p in self.allowed for m in p.finditer(text)]
             extra = [s for s in extra if not any(a <= s[0] and s[1] <= b for a, b in known)]
         rank = KINDS.index
         return sorted(base, key=lambda s: (s[0], rank(s[2]))), sorted(base + extra, key=lambda s: (s[0], rank(s[2])))
