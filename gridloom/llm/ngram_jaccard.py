@@ -10,18 +10,27 @@ that everything follows:
    Classes without are out, and so are, round after round, those that were supported
    by classes that are out. A passage or a line that many texts share supports none
    of them unless it makes up most of its prefix.
-3. Stars: for each shingle its class of the least and of the greatest hash are
-   compared with the others. That is linear, however many copies share the shingle,
-   and links nearly all copies; linked classes form components.
-4. The rest: only classes that may link across components matter, and only pairs
-   across components. Their whole sets are ordered by frequency. Shingles of a rare
-   kind are indexed alone; for frequent ones combinations of two of a class's prefix
-   are indexed, which a prefix that is extended by one makes safe; where it cannot be
-   extended, single shingles are indexed too.
-5. Candidates that fit in size are verified on their whole sets.
+3. Stars: each shingle has a *pivot*, the class that shares most of its own prefix
+   with others (in a group of near copies that is their model or close to it), and
+   the pivot is compared with the shingle's other classes. That is linear, however
+   many copies share the shingle, and links nearly all copies; linked classes form
+   components. What follows makes only pairs across components.
+4. Rare shingles (held by at most ``RARE`` classes) are indexed alone. A pair must
+   share enough of them, given how many frequent ones it may share besides.
+5. Frequent shingles: the classes of one pivot are indexed by what *differs* between
+   them and it. If ``d(x)`` is the number of shingles that only one of ``x`` and the
+   pivot has, a pair of similarity 0.8 has at least ``(d(x) + d(y) - (|x| + |y|) / 9) /
+   2`` such differences in common, and this is positive unless both are linked to
+   the pivot, hence in one component. Differences are ordered by frequency and cut
+   to a prefix; rare ones are indexed alone, of frequent ones combinations of two,
+   which a prefix that is extended by one makes safe. A class that may share just one
+   difference with a partner looks for it among the single ones.
+6. Candidates are verified on their whole sets.
 
 So no link between different components is lost, while pairs inside a component that
-add nothing are never made. Set classes are named by a 64-bit hash of the set.
+add nothing are never made, and a large group of near copies is told apart by its
+few differences, not by the many shingles that all of it shares. Set classes are
+named by a 64-bit hash of the set.
 
 Defined results: a document without words (or text) has an empty set and is linked
 with nothing; equal sets are linked; repeated rows and rows with a null id are
@@ -49,7 +58,8 @@ from gridloom.llm.shingles import K, shingle_set
 THRESHOLD = Fraction(4, 5)
 #: Classes that share a shingle of the rare kind at most.
 RARE = 32
-STAR_ROUNDS = 2
+#: Tasks that the rows of one component are dealt to at least when its id is told to them.
+SALTS = 16
 
 
 def prefix(n: int, t: Fraction = THRESHOLD) -> tuple[int, int]:
@@ -95,15 +105,15 @@ def set_table(df: DataFrame, id_col: str, text_col: str, t: Fraction, k: int = K
 
 
 def supported(entries: DataFrame, t: Fraction, tell: str) -> DataFrame:
-    """The entries (token, set_key, n) of shared tokens, for the classes that have enough of them.
+    """The entries (token, set_key, n) of shared tokens, for the classes that have enough of them (``k``).
 
     A token's least and greatest class are aggregated before the shuffle; the join
     back can be split where a token is skewed.
     """
     ends = entries.groupBy("token").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("token")
-    shared = materialize(entries.join(ends, "token").distinct(), f"{tell}-shared")
-    enough = shared.groupBy("set_key", "n").agg(F.count("*").alias("__k")).where(F.col("__k") >= need(F.col("n"), t)).select("set_key")
-    kept = materialize(shared.join(enough, "set_key").select("token", "set_key", "n"), f"{tell}-kept")
+    shared = materialize(entries.join(ends, "token").select("token", "set_key", "n").distinct(), f"{tell}-shared")
+    enough = shared.groupBy("set_key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), t)).select("set_key", "k")
+    kept = materialize(shared.join(enough, "set_key").select("token", "set_key", "n", "k"), f"{tell}-kept")
     release(shared)
     return kept
 
@@ -158,77 +168,105 @@ def whole_sets(df: DataFrame, wanted: DataFrame, text_col: str, k: int = K) -> D
     return rows.mapInArrow(build, "set_key long, grams binary").groupBy("set_key").agg(F.first("grams").alias("grams"))
 
 
-def stars(entries: DataFrame, labels: DataFrame, turn: int, t: Fraction) -> DataFrame:
-    """Pairs of each token's two end classes with its other classes of another component.
+def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    return entries.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
 
-    In turn 0 the ends are the least and greatest class, later those of another order.
-    """
-    placed = labelled(entries, labels)
-    order = F.col("set_key") if turn == 0 else F.xxhash64("set_key", F.lit(turn))
-    this = F.struct(order.alias("o"), "set_key", "n", "label")
-    ends = placed.groupBy("token").agg(F.min(this).alias("lo"), F.max(this).alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token", F.explode(F.array("lo", "hi")).alias("e"))
-    met = placed.join(ends, "token").where((F.col("e.label") != F.col("label")) & fits(F.col("n"), F.col("e.n"), t))
-    return met.select(F.least("set_key", "e.set_key").alias("a"), F.greatest("set_key", "e.set_key").alias("b")).distinct()
 
+def pivots(entries: DataFrame) -> DataFrame:
+    """``token, pivot, m``: each token's class of the greatest shared part of its prefix, and that one's size."""
+    share = F.round(-F.col("k") / F.col("n"), 3)
+    best = entries.groupBy("token").agg(F.min(F.struct(share.alias("o"), "set_key", "n")).alias("p"))
+    return materialize(best.select("token", F.col("p.set_key").alias("pivot"), F.col("p.n").alias("m")), "jaccard-pivots")
 
-def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
 
+def stars(entries: DataFrame, centres: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of each token's pivot with its other classes."""
+    met = entries.join(centres, "token").where((F.col("set_key") != F.col("pivot")) & fits(F.col("n"), F.col("m"), t))
+    return met.select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct()
 
-def set_tokens(sets: DataFrame) -> DataFrame:
-    """``set_key, token``: the whole sets, a row for each shingle."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for key, raw in zip(keys, batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key, np.int64)), pa.array(own)], names=["set_key", "token"])
+def overlap_of_differences(d: Column, db: Column, n: Column, nb: Column, both: Column, t: Fraction) -> Column:
+    """Whether a pair with ``both`` common differences at most can be similar enough."""
+    a, b = t.numerator, t.denominator
+    return (d + db - 2 * both) * (a + b) <= (n + nb) * (b - a)
 
-    return sets.mapInArrow(unpack, "set_key long, token long")
 
+def rare_pairs(placed: DataFrame, t: Fraction) -> DataFrame:
+    """``a, b``: pairs across components that share enough tokens of the rare kind.
 
-def overlap(n: Column, t: Fraction) -> Column:
-    """What any partner shares of a set of ``n`` at least."""
-    return F.floor((t.numerator * n + t.denominator - 1) / t.denominator)
+    ``placed``: token, set_key, n, label, df, the tokens that several components hold.
+    A pair's other shared tokens are frequent ones, at most as many as either has.
+    """
+    often = placed.where(F.col("df") > RARE).groupBy("set_key").agg(F.count("*").alias("f"))
+    few = placed.where(F.col("df") <= RARE).join(often, "set_key", "left").select("token", "set_key", "n", "label", F.coalesce("f", F.lit(0)).alias("f"))
+    right = few.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("f").alias("fb"))
+    met = few.join(right, "token").where((F.col("set_key") < F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t))
+    together = met.groupBy(F.col("set_key").alias("a"), "b").agg(F.count("*").alias("rare"), F.first(F.least("f", "fb")).alias("frequent"), F.first(F.least("n", "nb")).alias("n"))
+    return together.where(F.col("rare") + F.col("frequent") >= shared_tokens(F.col("n"), t)).select("a", "b")
 
 
-def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Every pair across components that the index of single tokens and of token combinations gives.
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pivot, m, set_key, n, label, d, tokens``: what differs between each member and its pivot."""
 
-    The classes that may still link across components are few, so whole sets are
-    looked at: a token counts if it lies in several components, a class stays if it
-    has enough of such tokens (``k``), and ``k`` bounds the similarity of any pair. The
-    order is now by frequency: tokens that do not count come first in a prefix, so
-    only the rarest ``k - overlap + 1`` tokens that do are indexed; one more makes
-    sure of two shared ones, hence of a combination where the tokens are frequent.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            sizes = list(map(len, found))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sizes, pa.int64()), lists], names=["pivot", "m", "set_key", "n", "label", "d", "tokens"])
+
+    own = members.join(sets.select("set_key", F.col("grams").alias("g")), "set_key")
+    both = own.join(sets.select(F.col("set_key").alias("pivot"), F.col("grams").alias("gp")), "pivot")
+    return both.select("pivot", "m", "set_key", "n", "label", "g", "gp").mapInArrow(compare, "pivot long, m long, set_key long, n long, label long, d long, tokens array<long>")
+
+
+def least_shared(d: Column, n: Column, m: Column, t: Fraction) -> Column:
+    """Differences that a class shares with any partner of another component at least.
+
+    A class that is linked to the pivot (of size ``m``) has partners only among those
+    that are not, and these differ by more than a link allows. Another one has
+    partners of at most ``1 / t`` times its size.
     """
-    placed = labelled(entries, labels)
-    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
-    held = placed.join(open_, "token").groupBy("set_key", "n", "label").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), t)).select("set_key", "n", "label")
-    held = materialize(held, "jaccard-open")
-    whole = tokens = materialize(set_tokens(sets.join(held, "set_key", "left_semi").select("set_key", "grams")).join(held, "set_key"), "jaccard-tokens")
-    open_ = tokens.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
-    counted = materialize(tokens.join(open_, "token"), "jaccard-counted")
-    release(whole)
-    mine = W.partitionBy("set_key")
-    ranked = counted.withColumn("k", F.count("*").over(mine)).where(F.col("k") >= overlap(F.col("n"), t)).withColumn("r", F.row_number().over(mine.orderBy("df", "token")))
-    chosen = materialize(ranked.where(F.col("r") <= F.col("k") - overlap(F.col("n"), t) + 2), "jaccard-chosen")
-    release(counted)
-    own = ["set_key", "n", "k", "label"]
-    # One shared token is all that is sure where the last one of the set was taken already.
-    short = F.col("k") - overlap(F.col("n"), t) + 2 > F.col("k")
-    single = chosen.where((F.col("df") <= RARE) | short).select(F.col("token").alias("key"), *own)
-    frequent = chosen.where(F.col("df") > RARE)
-    combined = frequent.join(frequent.select(F.col("token").alias("token2"), "set_key"), "set_key").where("token < token2").select(F.xxhash64("token", "token2").alias("key"), *own)
+    a, b = t.numerator, t.denominator
+    linked = d * (a + b) <= (n + m) * (b - a)
+    near = F.floor((d * (a + b) - (n - m) * (b - a)) / F.lit(2 * (a + b))) + 1
+    return F.greatest(F.lit(1), F.when(linked, near).otherwise(d - F.floor(n * (b - a) / F.lit(a))))
+
+
+def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """``a, b``: pairs across components that share a frequent token, by their differences from its pivot."""
+    members = placed.where(F.col("df") > RARE).join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
+    apart = materialize(differences(members, sets), "jaccard-differences").withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
+    apart = apart.where(F.size("tokens") >= F.col("o")).select("pivot", "set_key", "n", "label", "d", "o", F.explode("tokens").alias("token"))
+    open_ = apart.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
+    mine = W.partitionBy("pivot", "set_key")
+    held = apart.join(open_, ["pivot", "token"]).withColumn("k", F.count("*").over(mine)).where("k >= o")
+    ranked = held.withColumn("r", F.row_number().over(mine.orderBy("df", "token"))).where("r <= k - o + 2")
+    chosen = materialize(ranked, "jaccard-chosen")
+    own = ["set_key", "n", "d", "k", "label"]
+    # A class that shares two of its prefix with any partner meets those of its kind by two; if it may share just one, it meets all by one.
+    one = (F.col("df") <= RARE) | (F.col("o") < 2)
+    single = chosen.select(F.xxhash64("pivot", "token").alias("key"), *own, one.alias("one"))
+    frequent = chosen.where(~one)
+    other = frequent.select("pivot", "set_key", F.col("token").alias("token2"))
+    combined = frequent.join(other, ["pivot", "set_key"]).where("token < token2").select(F.xxhash64("pivot", "token", "token2").alias("key"), *own, F.lit(True).alias("one"))
     index = single.union(combined)
-    alone = index.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    alone = index.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("one").alias("any")).where("l0 <> l1 AND any").select("key")
     index = materialize(index.join(alone, "key"), "jaccard-index")
-    release(chosen)
-    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("label").alias("lb"))
-    most = F.least("k", "kb")
-    could = (F.col("set_key") < F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t) & (most * t.denominator >= (F.col("n") + F.col("nb") - most) * t.numerator)
-    return index.join(right, "key").where(could).select(F.col("set_key").alias("a"), "b").distinct()
+    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("k").alias("kb"), F.col("label").alias("lb"))
+    could = (F.col("set_key") != F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t)
+    could = could & overlap_of_differences(F.col("d"), F.col("db"), F.col("n"), F.col("nb"), F.least("k", "kb"), t)
+    return index.where("one").join(right, "key").where(could).select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
+
+
+def across(entries: DataFrame, labels: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Every pair across components that can be similar enough."""
+    placed = labelled(entries, labels)
+    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
+    counted = placed.join(open_, "token").select("token", "set_key", "n", "label", "df")
+    enough = counted.groupBy("set_key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), t)).select("set_key")
+    placed = materialize(counted.join(enough, "set_key"), "jaccard-open")
+    return materialize(rare_pairs(placed, t), "jaccard-rare").union(frequent_pairs(placed, centres, sets, t)).distinct()
 
 
 def labelled_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
@@ -243,27 +281,28 @@ def labelled_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = table.join(classes, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
     sets = materialize(whole_sets(df, wanted, text_col, k), "jaccard-grams")
 
-    spark = df.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    links = tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(STAR_ROUNDS + 1):
-        met = stars(entries, labels, turn, t) if turn < STAR_ROUNDS else across(entries, labels, sets, t)
-        met = materialize(met.join(tested, ["a", "b"], "left_anti") if turn else met, "jaccard-pairs")
-        if met.isEmpty():
-            continue
-        links = links.union(materialize(verify(met, sets, t), "jaccard-links"))
-        tested = tested.union(met)
+    centres = pivots(entries)
+    labels = df.sparkSession.createDataFrame([], "node long, label long")
+    met = materialize(stars(entries, centres, t), "jaccard-pairs")
+    links = materialize(verify(met, sets, t), "jaccard-links")
+    if not links.isEmpty():
         labels = components(links, "jaccard")
-
+    more = materialize(across(entries, labels, centres, sets, t).join(met, ["a", "b"], "left_anti"), "jaccard-pairs")
+    found = materialize(verify(more, sets, t), "jaccard-links")
+    if not found.isEmpty():
+        labels = components(links.union(found), "jaccard")
     return labelled(table.select("__id", "text_hash", "n", "set_key"), labels).drop("set_key")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = THRESHOLD, k: int = K) -> DataFrame:
     """``id, n_shingles, component_id`` for each row."""
     placed = labelled_rows(df, id_col, text_col, t, k)
+    # A group may hold a third of all rows, so its id goes out to several salts.
     least = placed.where("n > 0").groupBy("label").agg(F.min("__id").alias("component_id"))
+    least = least.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = placed.where("n > 0").withColumn("__salt", F.pmod(F.xxhash64("__id", "text_hash"), F.lit(SALTS)).cast("int"))
     empty = placed.where("n = 0").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.col("__id").alias("component_id"))
-    full = placed.where("n > 0").join(least, "label").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    full = dealt.join(least, ["label", "__salt"]).select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
 
 

@@ -291,6 +291,29 @@ def test_jaccard_components_equal_brute_force(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize(("seed", "rare"), [(1, 2), (3, 32)])
+def test_jaccard_of_dense_groups_equals_brute_force(spark, monkeypatch, seed, rare):
+    """Groups of near copies at the threshold, nested and of different sizes, mostly by their differences from pivots."""
+    monkeypatch.setattr(ngram_jaccard, "RARE", rare)
+    rng = random.Random(seed)
+    texts = []
+    for g in range(3):
+        base = prose(100 * seed + g, rng.choice([60, 120]))
+        for k in range(3):
+            w = base.split()
+            for _ in range(rng.choice([0, 2, 4])):
+                w[rng.randrange(len(w))] = f"b{rng.randrange(40)}"
+            for _ in range(18):
+                v = list(w)
+                for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+                    at = rng.randrange(len(v))
+                    v[at : at + 1] = rng.choice([[], [f"x{rng.randrange(6)}"], [v[at], "ins"], [f"y{rng.randrange(10**6)}"]])
+                texts.append(" ".join(v[: rng.choice([len(v), len(v), len(v) - 4])] + ([prose(k, 8)] if rng.random() < 0.2 else [])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(df).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)})
+
+
 def test_jaccard_of_odd_tables(docs, empty):
     rows = ngram_jaccard.jaccard_components(docs).collect()
     assert len(rows) == len(TEXTS) + 2
