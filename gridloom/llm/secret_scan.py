@@ -6,7 +6,8 @@ of key characters) is cut into runs of one character class; a window slides over
 each run and its Shannon entropy follows from counts that change by one character
 in and one out. A run shorter than the window is one window, with the threshold scaled
 to its length. Windows at or over the class's threshold merge into ``entropy``
-spans. The allow list then takes back spans that are known not to be secrets.
+spans. The allow list then takes back spans that are known not to be secrets. All of
+it takes time in proportion to the text, whatever its longest run is.
 
 Defined results: a null or empty text has no spans; spans are code points, end
 exclusive; base spans are never taken back, and an entropy span that touches one is
@@ -18,10 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,46 +62,101 @@ CLASSES = (
     CharClass("upper", "[A-Z0-9]", 20, 3.4, 3, 4),
     CharClass("mixed", "[A-Za-z0-9+/_=-]", 24, 3.9, 3, 6, 6),
 )
-#: Spans inside a match of one of these are not secrets: ids, digests of known kind, placeholders, runs of the alphabet,
-#: host and path of a URL (not its user info or query). Of a match with a group ``known`` only that counts.
+
+
+@dataclass(frozen=True)
+class Known:
+    """What ``pattern`` matches (its group ``known``, if there is one), grown to both sides over ``run`` characters."""
+
+    pattern: str
+    run: str = ""
+
+    def finder(self):
+        pattern = re.compile(self.pattern)
+        group = "known" if "known" in pattern.groupindex else 0
+        grow = re.compile(f"{self.run}*") if self.run else None
+
+        def spans(text: str) -> Iterator[tuple[int, int]]:
+            done = 0
+            for m in pattern.finditer(text):
+                start, end = m.span(group)
+                if grow is not None:
+                    if end <= done:  # inside the run of the match before
+                        continue
+                    while start > done and grow.match(text[start - 1]).end():
+                        start -= 1
+                    end = done = grow.match(text, end).end()
+                yield start, end
+
+        return spans
+
+
+#: Spans inside one of these are not secrets: ids, digests of known kind, placeholders, runs of the alphabet, host and
+#: path of a URL (not its user info or query).
 ALLOWED = (
-    r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
-    r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[A-Za-z0-9+/=]+",
-    r"(?i)[A-Za-z0-9+/_=-]*(?:example|placeholder|changeme|dummy|redacted|xxxx)[A-Za-z0-9+/_=-]*",
-    r"(?i)[a-z0-9+/]*(?:abcdefghijk|0123456789)[a-z0-9+/]*",
-    r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?",
-    r"https?://[^\s/?#]*@(?P<known>[^\s/?#@]+(?:/[^\s?#]*)?)",
+    Known(r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"),
+    Known(r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[A-Za-z0-9+/=]+"),
+    Known(r"(?i:example|placeholder|changeme|dummy|redacted)|xxxx|XXXX", "[A-Za-z0-9+/_=-]"),
+    Known(r"(?i)abcdefghijk|0123456789", "[A-Za-z0-9+/]"),
+    Known(r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?"),
+    Known(r"https?://[^\s/?#]*@(?P<known>[^\s/?#@]+(?:/[^\s?#]*)?)"),
 )
+#: Fractional bits of the whole numbers that stand for entropies, so that sums are exact in any order.
+FRACTION = 40
+
+
+def scaled(x: float) -> int:
+    return round(x * (1 << FRACTION))
 
 
-def entropy_windows(run: str, size: int) -> Iterator[tuple[int, float]]:
-    """``(start, bits)`` of each window of ``size`` characters, by incremental counts.
+def window_sums(codes: np.ndarray, size: int) -> np.ndarray:
+    """``sum(c * log2(c))`` over the counts ``c`` of each window of ``size`` characters, by incremental counts.
 
-    ``bits = log2(size) - sum(c * log2(c)) / size`` over the counts ``c``; a step
-    changes two of them.
+    A character that enters a window raises its own count there from ``n`` to ``n + 1``,
+    one that leaves lowers it; the two changes of each step are summed up.
     """
-    if len(run) < size:
-        return
-    weight = [0.0, *(c * log2(c) for c in range(1, size + 1))]
-    counts: dict[str, int] = {}
-    total = 0.0
-    for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += weight[n + 1] - weight[n]
-        if i >= size:
-            gone = run[i - size]
-            n = counts[gone]
-            counts[gone] = n - 1
-            total += weight[n - 1] - weight[n]
-        if i >= size - 1:
-            yield i - size + 1, log2(size) - total / size
+    weight = np.array([0, *(scaled(c * log2(c)) for c in range(1, size + 1))], np.int64)
+    before, after = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    for d in range(1, size):
+        same = codes[d:] == codes[:-d]
+        before[d:] += same
+        after[:-d] += same
+    entered = np.cumsum(weight[before + 1] - weight[before])
+    left = np.cumsum(weight[after + 1] - weight[after])
+    sums = entered[size - 1 :].copy()
+    sums[1:] -= left[: len(sums) - 1]
+    return sums
+
+
+def union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, sorted, with those merged that overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def clear_of(spans: list[tuple[int, int]], taken: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that share no character with one of ``taken``."""
+    blocks = union(taken)
+    starts = [a for a, _ in blocks]
+    return [(a, b) for a, b in spans if not (k := bisect_left(starts, b)) or blocks[k - 1][1] <= a]
+
+
+def outside(spans: list[tuple[int, int]], known: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie inside none of ``known``."""
+    blocks = sorted(known)
+    starts, reach = [a for a, _ in blocks], list(accumulate((b for _, b in blocks), max))
+    return [(a, b) for a, b in spans if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
 
 
 class SecretScanner:
-    def __init__(self, classes: Iterable[CharClass] = CLASSES, allowed: Iterable[str] = ALLOWED):
+    def __init__(self, classes: Iterable[CharClass] = CLASSES, allowed: Iterable[Known] = ALLOWED):
         self.classes = [(c, re.compile(f"{c.chars}{{{min(c.window, SHORTEST)},}}")) for c in classes]
-        self.allowed = [re.compile(a) for a in allowed]
+        self.allowed = [a.finder() for a in allowed]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -110,45 +169,35 @@ class SecretScanner:
         found: list[tuple[int, int]] = []
         for kind, runs in self.classes:
             for m in runs.finditer(candidate):
-                run = m[0]
-                w = min(kind.window, len(run))
-                least, digits, letters, cased = kind.bits * log2(w) / log2(kind.window), *(x * w // kind.window for x in (kind.digits, kind.letters, kind.cased))
-                digit = [0]
-                letter = [0]
-                upper = [0]
-                for c in run:
-                    digit.append(digit[-1] + c.isdigit())
-                    letter.append(letter[-1] + c.isalpha())
-                    upper.append(upper[-1] + c.isupper())
-                if letter[-1] < letters or digit[-1] < digits and not (cased and cased <= upper[-1] <= letter[-1] - cased):
+                codes = np.frombuffer(m[0].encode("ascii"), np.uint8)
+                w = min(kind.window, len(codes))
+                most = scaled(w * (log2(w) - kind.bits * log2(w) / log2(kind.window)))
+                digits, letters, cased = (x * w // kind.window for x in (kind.digits, kind.letters, kind.cased))
+                big = (codes >= 65) & (codes <= 90)
+                small = (codes >= 97) & (codes <= 122)
+                digit, upper, both = (np.concatenate([[0], np.cumsum(x)]) for x in ((codes >= 48) & (codes <= 57), big, big | small))
+                digit, upper, both = (x[w:] - x[:-w] for x in (digit, upper, both))
+                right = (both >= letters) & ((digit >= digits) | ((upper >= cased) & (upper <= both - cased) if cased else False))
+                if not right.any():
                     continue
-                for i, bits in entropy_windows(run, w):
-                    big, both = upper[i + w] - upper[i], letter[i + w] - letter[i]
-                    if bits >= least and both >= letters and (digit[i + w] - digit[i] >= digits or cased and cased <= big <= both - cased):
-                        a, b = m.start() + i, m.start() + i + w
-                        if found and found[-1][0] <= a <= found[-1][1]:
-                            found[-1] = (found[-1][0], max(b, found[-1][1]))
-                        else:
-                            found.append((a, b))
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged
+                at = np.flatnonzero(right & (window_sums(codes, w) <= most))
+                if len(at):
+                    ends = np.flatnonzero(np.diff(at) > w)
+                    first, last = at[np.concatenate([[0], ends + 1])], at[np.concatenate([ends, [len(at) - 1]])]
+                    found += zip((m.start() + first).tolist(), (m.start() + last + w).tolist(), strict=True)
+        return union(found)
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans and all spans, each by start, then kind as listed."""
         base = self.base(text)
-        extra = [(m.start() + a, m.start() + b, "entropy") for m in CANDIDATE.finditer(text) for a, b in self.dense(m[0])]
+        extra = [(m.start() + a, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in self.dense(m[0])]
         if extra:
-            extra = [s for s in extra if not any(s[0] < b and a < s[1] for a, b, _ in base)]
+            extra = clear_of(extra, [s[:2] for s in base])
         if extra:
-            known = [m.span("known" if "known" in p.groupindex else 0) for p in self.allowed for m in p.finditer(text)]
-            extra = [s for s in extra if not any(a <= s[0] and s[1] <= b for a, b in known)]
+            extra = outside(extra, [span for find in self.allowed for span in find(text)])
+        every = base + [(a, b, "entropy") for a, b in extra]
         rank = KINDS.index
-        return sorted(base, key=lambda s: (s[0], rank(s[2]))), sorted(base + extra, key=lambda s: (s[0], rank(s[2])))
+        return sorted(base, key=lambda s: (s[0], rank(s[2]))), sorted(every, key=lambda s: (s[0], rank(s[2])))
 
 
 def written(spans: Iterable[tuple[int, int, str]]) -> str:
