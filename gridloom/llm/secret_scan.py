@@ -164,33 +164,45 @@ class SecretScanner:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         return found
 
-    def dense(self, candidate: str) -> list[tuple[int, int]]:
-        """Merged stretches of a candidate whose windows have enough entropy."""
+    def dense(self, text: str) -> list[tuple[int, int]]:
+        """Merged stretches of candidates whose windows have enough entropy.
+
+        A class's runs of like windows are scored in one go, side by side; windows
+        that would go from one run into the next don't count.
+        """
         found: list[tuple[int, int]] = []
+        candidates = [m.span() for m in CANDIDATE.finditer(text)]
         for kind, runs in self.classes:
-            for m in runs.finditer(candidate):
-                codes = np.frombuffer(m[0].encode("ascii"), np.uint8)
-                w = min(kind.window, len(codes))
+            alike: dict[int, list[tuple[int, int]]] = {}
+            for a, b in candidates:
+                for m in runs.finditer(text, a, b):
+                    alike.setdefault(min(kind.window, m.end() - m.start()), []).append(m.span())
+            for w, spans in alike.items():
+                codes = np.frombuffer("".join([text[a:b] for a, b in spans]).encode("ascii"), np.uint8)
+                starts, sizes = np.array(spans).T[0], np.diff(np.array(spans))[:, 0]
+                before = np.cumsum(sizes) - sizes
+                own = np.repeat(np.arange(len(spans)), sizes)
                 most = scaled(w * (log2(w) - kind.bits * log2(w) / log2(kind.window)))
                 digits, letters, cased = (x * w // kind.window for x in (kind.digits, kind.letters, kind.cased))
                 big = (codes >= 65) & (codes <= 90)
                 small = (codes >= 97) & (codes <= 122)
                 digit, upper, both = (np.concatenate([[0], np.cumsum(x)]) for x in ((codes >= 48) & (codes <= 57), big, big | small))
                 digit, upper, both = (x[w:] - x[:-w] for x in (digit, upper, both))
-                right = (both >= letters) & ((digit >= digits) | ((upper >= cased) & (upper <= both - cased) if cased else False))
+                right = (own[: len(digit)] == own[w - 1 :]) & (both >= letters)
+                right &= (digit >= digits) | ((upper >= cased) & (upper <= both - cased) if cased else False)
                 if not right.any():
                     continue
                 at = np.flatnonzero(right & (window_sums(codes, w) <= most))
                 if len(at):
+                    at = at + (starts - before)[own[at]]
                     ends = np.flatnonzero(np.diff(at) > w)
-                    first, last = at[np.concatenate([[0], ends + 1])], at[np.concatenate([ends, [len(at) - 1]])]
-                    found += zip((m.start() + first).tolist(), (m.start() + last + w).tolist(), strict=True)
+                    found += zip(at[np.concatenate([[0], ends + 1])].tolist(), (at[np.concatenate([ends, [len(at) - 1]])] + w).tolist(), strict=True)
         return union(found)
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans and all spans, each by start, then kind as listed."""
         base = self.base(text)
-        extra = [(m.start() + a, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in self.dense(m[0])]
+        extra = self.dense(text)
         if extra:
             extra = clear_of(extra, [s[:2] for s in base])
         if extra:
