@@ -3,8 +3,11 @@
 A column name in a formula is the cell of the same row; inside an aggregate function it
 is the whole column. Kinds are static, as columns have types; NULL plays the blank.
 Errors are values: each result carries a second column with the error's code, and an
-aggregate over a column with errors is an error. What no built-in function can
-express runs in one Arrow UDF that calls the row-at-a-time library.
+aggregate over a column with errors is an error. A value counts only where its error is
+null; elsewhere it may be anything, so values need no guard and plans grow in proportion
+to the formula. Sums, differences and products of infinite or undefined numbers stay so,
+hence whole chains of them are checked once, where something else reads them. What no
+built-in function can express runs in one Arrow UDF that calls the row-at-a-time library.
 """
 
 from __future__ import annotations
@@ -28,11 +31,17 @@ NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 @dataclass(frozen=True)
 class Typed:
-    """A value column (null: blank) of a static kind, and the column of its error's code, if it can have one."""
+    """A value column (null: blank) of a static kind, and the column of its error's code, if it can have one.
+
+    ``open``: the value may still be infinite or undefined without an error. ``solid``: it
+    is never blank.
+    """
 
     kind: str
     col: Column
     err: Column | None = None
+    open: bool = False
+    solid: bool = False
 
 
 class Unsupported(ValueError):
@@ -50,7 +59,7 @@ def code(when: Column, error: str) -> Column:
 
 def number(x: Typed) -> Typed:
     if x.kind == "number":
-        return Typed("number", F.coalesce(x.col, F.lit(0.0)), x.err)
+        return x if x.solid else Typed("number", F.coalesce(x.col, F.lit(0.0)), x.err, x.open, True)
     if x.kind == "bool":
         return Typed("number", F.coalesce(x.col.cast("double"), F.lit(0.0)), x.err)
     if x.kind == "error":
@@ -66,8 +75,8 @@ def number(x: Typed) -> Typed:
 def general(n: Column) -> Column:
     """At most 15 significant digits without an exponent, as text."""
     d = F.format_string("%.14e", n).try_cast("double")
-    plain = lambda scale: F.regexp_replace(d.cast(f"decimal(38,{scale})").cast("string"), r"(\.[0-9]*?)0+$", "$1")
-    shown = F.when((d == F.floor(d)) & (F.abs(d) < 1e18), d.cast("long").cast("string")).when(F.abs(d) >= 1e18, d.cast("decimal(38,0)").cast("string")).when(F.abs(d) >= 1e-3, plain(18)).otherwise(plain(37))
+    plain = lambda scale: F.regexp_replace(d.try_cast(f"decimal(38,{scale})").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    shown = F.when((d == F.floor(d)) & (F.abs(d) < 1e18), d.try_cast("long").cast("string")).when(F.abs(d) >= 1e18, F.coalesce(d.try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", d))).when(F.abs(d) >= 1e-3, plain(18)).otherwise(plain(37))
     return F.regexp_replace(shown, r"\.$", "")
 
 
@@ -91,12 +100,14 @@ def truth(x: Typed) -> Typed:
     return Typed("bool", n.col != 0, n.err)
 
 
-def guarded(x: Typed, bad: Column, error: str = "#NUM!") -> Typed:
-    return Typed(x.kind, F.when(~bad, x.col), first_error(x.err, code(bad, error)))
+def finite(x: Typed) -> Typed:
+    """A result that is open and never blank."""
+    return Typed(x.kind, x.col, x.err, True, True)
 
 
-def finite(x: Typed) -> Typed:
-    return guarded(x, F.isnan(x.col) | (F.abs(x.col) == F.lit(math.inf)))
+def settled(x: Typed) -> Typed:
+    """With the check that an open value waits for; NaN is greater than any number."""
+    return Typed(x.kind, x.col, first_error(x.err, code(F.abs(x.col) >= F.lit(math.inf), "#NUM!")), solid=x.solid) if x.open else x
 
 
 _RANK = {"number": 0, "error": 0, "text": 1, "bool": 2}
@@ -139,12 +150,12 @@ def predicate(x: Typed, c: Criterion | None) -> Column:
         plain = not set(c.text) & {"*", "?"}
         hit = ~bad & F.coalesce(own == c.text.lower() if plain else own.rlike(wildcard(c.text.lower())), F.lit(False))
         return hit if c.op == "=" else ~hit
-    return {"<": own < c.text.lower(), ">": own > c.text.lower(), "<=": own <= c.text.lower(), ">=": own >= c.text.lower()}[c.op]
+    return ~bad & {"<": own < c.text.lower(), ">": own > c.text.lower(), "<=": own <= c.text.lower(), ">=": own >= c.text.lower()}[c.op]
 
 
 def half_up(v: Column) -> Column:
-    whole = F.floor(F.abs(v)).cast("double")
-    return F.signum(v) * (whole + (F.abs(v) - whole >= 0.5).cast("double"))
+    """Halves away from zero; a half is exact in binary, so rounding the decimal form is the same."""
+    return F.round(v, 0)
 
 
 def toward_zero(v: Column) -> Column:
@@ -160,21 +171,28 @@ class Compiler:
 
     def __init__(self, columns: dict[str, Typed], now: float = 0.0):
         self.columns, self.now = columns, now
+        self.numbers: dict[int, tuple[Typed, Typed]] = {}
 
     def compile(self, node) -> Typed:
+        return settled(self.raw(node))
+
+    def raw(self, node) -> Typed:
+        """A tree's column, which may be open."""
         if isinstance(node, Const):
             v = node.value
             if isinstance(v, Err):
                 return Typed("error", F.lit(None).cast("double"), F.lit(v.code))
-            return Typed("bool" if isinstance(v, bool) else "number" if isinstance(v, float) else "text", F.lit(v))
+            return Typed("bool" if isinstance(v, bool) else "number" if isinstance(v, float) else "text", F.lit(v), solid=v is not None)
         if isinstance(node, Name):
             found = self.columns.get(node.text)
             return found if found is not None else Typed("error", F.lit(None).cast("double"), F.lit("#NAME?"))
         if isinstance(node, Unary):
-            n = number(self.compile(node.of))
-            return Typed("number", {"-": -n.col, "+": n.col, "%": n.col / 100}[node.op], n.err)
+            n = number(self.raw(node.of))
+            return Typed("number", -n.col if node.op == "-" else n.col if node.op == "+" else n.col / 100, n.err, n.open, True)
         if isinstance(node, Binary):
-            return self.binary(node.op, self.compile(node.left), self.compile(node.right))
+            # Infinite numbers stay so on the way up only through these, and as what is divided.
+            left, right = (self.raw if node.op in ops else self.compile for ops in ("+-*/", "+-*"))
+            return self.binary(node.op, left(node.left), right(node.right))
         if isinstance(node, Call):
             if node.name in ROWWISE:
                 return ROWWISE[node.name](self, *node.args)
@@ -185,20 +203,25 @@ class Compiler:
             return Typed("error", F.lit(None).cast("double"), F.lit("#NAME?"))
         raise Unsupported("cell references need a workbook")
 
+    def number(self, x: Typed) -> Typed:
+        """A column that comes up again and again is read as a number once."""
+        if id(x) not in self.numbers:
+            self.numbers[id(x)] = (x, number(x))
+        return self.numbers[id(x)][1]
+
     def binary(self, op: str, a: Typed, b: Typed) -> Typed:
         if op == "&":
             x, y = text(a), text(b)
             return Typed("text", F.concat(x.col, y.col), first_error(x.err, y.err))
         if op in _TEST:
             return Typed("bool", _TEST[op](order(a, b)), first_error(a.err, b.err))
-        x, y = number(a), number(b)
-        err = first_error(a.err, b.err, x.err, y.err)
+        x, y = self.number(a), self.number(b)
+        err = first_error(a.err, b.err, *[n.err for n, of in ((x, a), (y, b)) if of.kind == "text"])
         if op == "/":
             return finite(Typed("number", F.try_divide(x.col, y.col), first_error(err, code(y.col == 0, "#DIV/0!"))))
         if op == "^":
-            bad = (x.col < 0) & (y.col != F.floor(y.col))
-            return finite(guarded(Typed("number", F.pow(x.col, y.col), err), bad))
-        return finite(Typed("number", {"+": x.col + y.col, "-": x.col - y.col, "*": x.col * y.col}[op], err))
+            return finite(Typed("number", F.pow(x.col, y.col), first_error(err, code((x.col < 0) & (y.col != F.floor(y.col)), "#NUM!"))))
+        return finite(Typed("number", x.col + y.col if op == "+" else x.col - y.col if op == "-" else x.col * y.col, err))
 
     def by_library(self, node: Call) -> Typed:
         """One Arrow UDF over the arguments' values; the only Python in a compiled formula."""
@@ -291,14 +314,14 @@ rowwise("ASIN", "n", "number")(lambda n: _fail(F.asin(n), F.abs(n) > 1))
 rowwise("ACOS", "n", "number")(lambda n: _fail(F.acos(n), F.abs(n) > 1))
 rowwise("ATAN2", "nn", "number")(lambda x, y: F.atan2(y, x))
 rowwise("PI", "", "number")(F.pi)
-rowwise("FACT", "n", "number")(lambda n: _fail(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(171), n.cast("int")))), F.lit(1.0), lambda a, x: a * x), (toward_zero(n) < 0) | (n >= 171)))
+rowwise("FACT", "n", "number")(lambda n: _fail(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(171), n.try_cast("int")))), F.lit(1.0), lambda a, x: a * x), (toward_zero(n) < 0) | (n >= 171)))
 
 
 @rowwise("COMBIN", "nn", "number")
 def combin(n: Column, k: Column) -> Typed:
     n, k = toward_zero(n), toward_zero(k)
     m = F.least(k, n - k)
-    steps = F.when(m >= 1, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>"))
+    steps = F.when(m >= 1, F.sequence(F.lit(1), m.try_cast("int"))).otherwise(F.array().cast("array<int>"))
     return _fail(F.rint(F.aggregate(steps, F.lit(1.0), lambda a, i: a * (n - i + 1) / i)), (n < 0) | (k < 0) | (k > n))
 
 
@@ -312,20 +335,20 @@ rowwise("UPPER", "t", "text")(F.upper)
 rowwise("LEN", "t", "number")(lambda s: F.char_length(s).cast("double"))
 rowwise("TRIM", "t", "text")(lambda s: F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), "^ | $", ""))
 rowwise("EXACT", "tt", "bool")(lambda a, b: a == b)
-rowwise("LEFT", "tn", "text", 1.0)(lambda s, n: _fail(F.left(s, n.cast("int")), toward_zero(n) < 0, "#VALUE!"))
-rowwise("RIGHT", "tn", "text", 1.0)(lambda s, n: _fail(F.right(s, n.cast("int")), toward_zero(n) < 0, "#VALUE!"))
-rowwise("MID", "tnn", "text")(lambda s, i, n: _fail(F.substring(s, i.cast("int"), n.cast("int")), (toward_zero(i) < 1) | (toward_zero(n) < 0), "#VALUE!"))
-rowwise("REPT", "tn", "text")(lambda s, n: _fail(F.repeat(s, n.cast("int")), (toward_zero(n) < 0) | (F.octet_length(s) * toward_zero(n) > 32767), "#VALUE!"))
-rowwise("REPLACE", "tnnt", "text")(lambda s, i, n, new: _fail(F.concat(F.left(s, (i - 1).cast("int")), new, F.substring(s, (i.cast("int") + n.cast("int")), F.char_length(s))), (toward_zero(i) < 1) | (toward_zero(n) < 0), "#VALUE!"))
+rowwise("LEFT", "tn", "text", 1.0)(lambda s, n: _fail(F.left(s, n.try_cast("int")), toward_zero(n) < 0, "#VALUE!"))
+rowwise("RIGHT", "tn", "text", 1.0)(lambda s, n: _fail(F.right(s, n.try_cast("int")), toward_zero(n) < 0, "#VALUE!"))
+rowwise("MID", "tnn", "text")(lambda s, i, n: _fail(F.substring(s, i.try_cast("int"), n.try_cast("int")), (toward_zero(i) < 1) | (toward_zero(n) < 0), "#VALUE!"))
+rowwise("REPT", "tn", "text")(lambda s, n: _fail(F.repeat(s, n.try_cast("int")), (toward_zero(n) < 0) | (F.octet_length(s) * toward_zero(n) > 32767), "#VALUE!"))
+rowwise("REPLACE", "tnnt", "text")(lambda s, i, n, new: _fail(F.concat(F.left(s, (i - 1).try_cast("int")), new, F.substring(s, (i.try_cast("int") + n.try_cast("int")), F.char_length(s))), (toward_zero(i) < 1) | (toward_zero(n) < 0), "#VALUE!"))
 rowwise("PROPER", "t", "text")(lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(\p{IsAlphabetic}+|\P{IsAlphabetic}+)"), 1), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.char_length(w))))), ""))
 rowwise("CODE UNICODE", "t", "number")(lambda s: _fail(F.ascii(s).cast("double"), s == "", "#VALUE!"))
 rowwise("VALUE", "t", "number")(lambda s: _fail(F.trim(s).try_cast("double"), ~F.trim(s).rlike(NUMBER_RE), "#VALUE!"))
-rowwise("CHAR UNICHAR", "n", "text")(lambda n: _fail(F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32"), (toward_zero(n) < 1) | (n > 0x10FFFF) | n.cast("long").between(0xD800, 0xDFFF), "#VALUE!"))
+rowwise("CHAR UNICHAR", "n", "text")(lambda n: _fail(F.decode(F.unhex(F.lpad(F.hex(n.try_cast("int")), 8, "0")), "UTF-32"), (toward_zero(n) < 1) | (n > 0x10FFFF) | n.try_cast("long").between(0xD800, 0xDFFF), "#VALUE!"))
 
 
 def located(fold: Callable[[Column], Column]):
     def call(needle: Column, s: Column, start: Column) -> Typed:
-        i = start.cast("int")
+        i = start.try_cast("int")
         at = F.when(fold(needle) == "", i).otherwise(F.call_function("locate", fold(needle), fold(s), i))
         return _fail(at.cast("double"), (i < 1) | (i > F.char_length(s) + 1) | (at < 1), "#VALUE!")
 
@@ -495,7 +518,7 @@ def serial_of(day: Column) -> Column:
 
 
 def day_of(serial: Column) -> Column:
-    n = F.floor(serial).cast("int")
+    n = F.floor(serial).try_cast("int")
     return F.date_from_unix_date(F.when(n > 60, n - 1).otherwise(n) - F.lit(25568))
 
 
@@ -517,7 +540,7 @@ rowwise("WEEKDAY", "nn", "number", 1.0)(lambda n, k: _fail((lambda s: F.when(k =
 
 def months_on(n: Column, m: Column) -> Column:
     """From the day 60, 29 February 1900, as from 29 January and a month more."""
-    return F.when(F.floor(n) == 60, F.add_months(F.lit("1900-01-29").cast("date"), m.cast("int") + 1)).otherwise(F.add_months(day_of(n), m.cast("int")))
+    return F.when(F.floor(n) == 60, F.add_months(F.lit("1900-01-29").cast("date"), m.try_cast("int") + 1)).otherwise(F.add_months(day_of(n), m.try_cast("int")))
 
 
 rowwise("EDATE", "nn", "number")(lambda n, m: _fail(serial_of(months_on(n, m)), n < 0))
@@ -526,7 +549,7 @@ rowwise("EOMONTH", "nn", "number")(lambda n, m: _fail(serial_of(F.last_day(month
 
 @rowwise("DATE", "nnn", "number")
 def date_(y: Column, m: Column, d: Column) -> Typed:
-    y, m, d = (x.cast("int") for x in (y, m, d))
+    y, m, d = (x.try_cast("int") for x in (y, m, d))
     y = F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y)
     out = serial_of(F.date_add(F.add_months(F.make_date(y, F.lit(1), F.lit(1)), m - 1), d - 1))
     return _fail(out, out < 0)
@@ -567,7 +590,7 @@ def nper(r: Column, p: Column, pv: Column, fv: Column, kind: Column) -> Typed:
 
 def _bits(f: Callable[[Column, Column], Column]):
     wrong = lambda x: (x < 0) | (x >= float(1 << 48))
-    return lambda a, b: _fail(f(a.cast("long"), b.cast("long")).cast("double"), wrong(toward_zero(a)) | wrong(toward_zero(b)))
+    return lambda a, b: _fail(f(a.try_cast("long"), b.try_cast("long")).cast("double"), wrong(toward_zero(a)) | wrong(toward_zero(b)))
 
 
 rowwise("BITAND", "nn", "number")(_bits(lambda a, b: a.bitwiseAND(b)))
@@ -667,7 +690,10 @@ AGGREGATES["COUNTIF"] = AGGREGATES["COUNTIFS"] = lambda c, *pairs: Typed("number
 
 
 def sum_product(c: Compiler, *args):
-    as_number = lambda x: F.coalesce(x.col.cast("double"), F.lit(0.0)) if x.kind in ("number", "bool") else F.lit(0.0)
+    def as_number(x: Typed) -> Column:
+        own = x.col.cast("double") if x.err is None else F.when(x.err.isNull(), x.col.cast("double"))
+        return F.coalesce(own, F.lit(0.0)) if x.kind in ("number", "bool") else F.lit(0.0)
+
     return finite(Typed("number", F.coalesce(F.sum(_reduce(lambda a, b: a * b)([as_number(c.compile(a)) for a in args])), F.lit(0.0))))
 
 

@@ -94,6 +94,8 @@ grouped("agg_combined", "lineitem", "SUM(l_extendedprice)/COUNT(l_extendedprice)
 
 K = "l_orderkey l_linenumber"
 rowwise("math_operators", "lineitem", K, "l_extendedprice*(1-l_discount)*(1+l_tax)", "l_extendedprice * (1 - l_discount) * (1 + l_tax)", 7)
+_terms = [f"l_quantity*{k}-l_extendedprice/{k + 1}+l_discount" for k in range(1, 16)]
+rowwise("math_long_formula", "lineitem", K, "+".join(_terms), " + ".join(f"l_quantity * {k} - l_extendedprice / {k + 1} + l_discount" for k in range(1, 16)), 6)
 rowwise("math_divide", "lineitem", K, "l_extendedprice/(l_linenumber-1)", "CASE WHEN l_linenumber <> 1 THEN l_extendedprice / (l_linenumber - 1) END", 6)
 rowwise("math_power_operator", "lineitem", K, "-l_linenumber^2", "pow(-l_linenumber, 2)", 6)
 rowwise("math_percent_concat", "lineitem", K, '(l_linenumber*2)&"x"&l_returnflag', "CAST(l_linenumber * 2 AS VARCHAR) || 'x' || l_returnflag")

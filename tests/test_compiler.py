@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 
@@ -96,3 +97,25 @@ def test_an_error_in_a_column_is_the_aggregates_result(frame):
     got = aggregate_formulas(frame, {"x": "SUM(A/B)", "n": "COUNT(A/B)", "s": "SUBTOTAL(9,A/B)", "i": "IFERROR(SUM(A/B),-1)"}, errors=True).first()
     assert (got["x"], got["x_error"], got["n"], got["i"]) == (None, "#DIV/0!", 8.0, -1.0)
     assert got["s_error"] is None
+
+
+def test_plans_grow_in_proportion_to_the_formula(frame):
+    """Long chains, nested quotients and nested choices compile at once."""
+    chain = "+".join("A*B" for _ in range(30))
+    quotients = "A/(1+" * 6 + "B" + ")" * 6
+    choices = "".join(f"IF(B>{k},A+{k}," for k in range(20)) + "0" + ")" * 20
+    with_formulas(frame, {"c": chain})
+    began = time.perf_counter()
+    df = with_formulas(frame, {"c": chain, "q": quotients, "i": choices}, errors=True)
+    sizes = len(df._jdf.queryExecution().analyzed().toString())
+    assert time.perf_counter() - began < 2 and sizes < 400_000
+    for row, source in zip(df.orderBy("k").collect(), ROWS, strict=True):
+        for name, f in (("c", chain), ("q", quotients), ("i", choices)):
+            want = expected(f, source)
+            assert row[f"{name}_error"] == want.code if isinstance(want, Err) else math.isclose(row[name], want, rel_tol=1e-9), (name, source)
+
+
+def test_infinite_values_are_errors_wherever_they_arise(frame):
+    formulas = {"a": "1E300*1E300", "b": "1/(1E300*1E300)", "c": "1E300*1E300-1E300*1E300", "d": "IFERROR(A*1E300*1E300,-1)", "e": "ISERROR(EXP(1000)-EXP(1000))", "f": "LEFT(S,1E300*1E300)", "g": "ABS(-1E300*1E300)&S"}
+    row = with_formulas(frame, formulas, errors=True).orderBy("k").first()
+    assert [row[f"{k}_error"] for k in "abcfg"] == ["#NUM!"] * 5 and row["d"] == -1 and row["e"] is True
