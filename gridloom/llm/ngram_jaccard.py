@@ -235,7 +235,11 @@ def least_shared(d: Column, n: Column, m: Column, t: Fraction) -> Column:
 
 def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """``a, b``: pairs across components that share a frequent token, by their differences from its pivot."""
-    members = placed.where(F.col("df") > RARE).join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
+    # What is here shares no rare token, hence so many frequent ones that one is among the rarest of each.
+    own = W.partitionBy("set_key")
+    often = placed.where(F.col("df") > RARE).withColumn("f", F.count("*").over(own)).where(F.col("f") >= need(F.col("n"), t))
+    often = often.withColumn("r", F.row_number().over(own.orderBy("df", "token"))).where(F.col("r") <= F.col("f") - need(F.col("n"), t) + 1)
+    members = often.join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
     apart = materialize(differences(members, sets), "jaccard-differences").withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
     apart = apart.where(F.size("tokens") >= F.col("o")).select("pivot", "set_key", "n", "label", "d", "o", F.explode("tokens").alias("token"))
     open_ = apart.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
