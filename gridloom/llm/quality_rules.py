@@ -1,22 +1,27 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule's cost and selectivity are estimated on a sample; the rules then run in
-order of rejections per cost, and a row is tested no further once a rule rejects it
-(``CASE WHEN`` evaluates its branches one by one). The order never changes which
-rows are kept, only how much work that takes.
+A rule is a condition on a row's text, written out in full: what it needs is computed
+inside it, so a rule that is not reached costs nothing (``CASE WHEN`` evaluates its
+branches one by one). On a sample, each rule's work per row (characters read, words
+hashed and sorted) and the combinations of rules that reject are counted in one
+pass; then the rule that rejects most of what is left for its work comes first, and
+so on. The work is counted, not timed, so the order is the same on every run; and it
+never changes which rows are kept, only how much work that takes.
 
 Everything is computed in the row: words, windows and lines are arrays of the row,
 repeated windows are found by sorting hashes, so nothing is shuffled however often
-a line or a passage occurs in the corpus.
+a line or a passage occurs in the corpus. The metrics that a caller wants for every
+row (``with_metrics``) are columns beside the cascade, which then reads them.
 
 Defined results: a null text counts as an empty one, which has no words and so
 fails; repeated rows and null ids keep their rows; only the id and the text are
-looked at, so further columns with any names are harmless.
+looked at, so further columns with any names are harmless; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import time
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,26 +32,33 @@ from gridloom.llm.common import SPACE_CLASS, documents
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
-#: Rows on which costs and selectivities are estimated.
+#: Rows on which work and selectivities are estimated, about.
 SAMPLE_ROWS = 2000
+TEXT, WORD_LIST = "`text`", "`__words`"
+NOT_BLANK = r"[^\\x20\\x09-\\x0D]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects the rows for which the SQL condition over metrics and ``text`` holds."""
+    """Rejects the rows for which the SQL condition over metrics and ``text`` holds.
+
+    ``work``: what that takes in a row, in characters read; a word that is hashed
+    and sorted counts as sixteen.
+    """
 
     name: str
     condition: str
+    work: str = "char_length(text)"
 
 
 #: The first two are the base.
-BASE_RULES = (Rule("few_words", "n_words < 20"), Rule("repeats", "100 * n_repeat_words > 30 * n_words"))
+BASE_RULES = (Rule("few_words", "n_words < 20", "1"), Rule("repeats", "100 * n_repeat_words > 30 * n_words", "16 * n_words"))
 RULES = (
     *BASE_RULES,
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines", "3 * char_length(text)"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
-    Rule("shouting", f"2 * (char_length(text) - char_length(translate(text, '{CAPITALS}', ''))) > word_chars"),
+    Rule("shouting", f"2 * (char_length(text) - char_length(translate(text, '{CAPITALS}', ''))) > word_chars", "2 * char_length(text)"),
 )
 
 
@@ -72,63 +84,78 @@ def repeat_words(words: str) -> str:
     return _let(f"transform({words}, x -> xxhash64(x))", "hashes", f"CASE WHEN size(hashes) < {w} THEN 0L ELSE {found} END")
 
 
-def metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words``."""
+#: Each metric of a row as SQL over its text and its words.
+METRICS = {
+    "n_words": f"CAST(size({WORD_LIST}) AS LONG)",
+    "word_chars": f"CAST(char_length(translate({TEXT}, '{SPACES}', '')) AS LONG)",
+    "n_symbols": f"CAST(char_length({TEXT}) - char_length(translate({TEXT}, '{SYMBOLS}', '')) AS LONG)",
+    "n_lines": f"CAST(size(filter(split({TEXT}, '\n'), x -> x RLIKE '{NOT_BLANK}')) AS LONG)",
+    "n_dup_lines": _let(f"filter(split({TEXT}, '\n'), x -> x RLIKE '{NOT_BLANK}')", "lines", "CAST(size(lines) - size(array_distinct(lines)) AS LONG)"),
+    "n_repeat_words": repeat_words(WORD_LIST),
+}
+
+
+def spelled(sql: str) -> str:
+    """A condition with its metrics written out."""
+    return re.sub(r"\b(?:" + "|".join(METRICS) + r")\b", lambda m: f"({METRICS[m[0]]})", sql)
+
+
+def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, __words``."""
     rows = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("*", F.array_remove(F.split("text", f"{SPACE_CLASS}+"), "").alias("__words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
-    return rows.select(
-        id_col,
-        "text",
-        F.size("__words").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        F.expr(f"CAST(char_length(text) - char_length(translate(text, '{SYMBOLS}', '')) AS LONG)").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(repeat_words("__words")).alias("n_repeat_words"),
-    )
-
-
-def estimate(rows: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """``(rule, seconds for the sample, share rejected)``, most rejections per second first.
+    return rows.withColumn("__words", F.array_remove(F.split("text", f"{SPACE_CLASS}+"), ""))
+
+
+def metric_columns(names: tuple[str, ...] | dict = METRICS) -> list[Column]:
+    return [F.expr(METRICS[n]).alias(n) for n in names]
+
+
+def order_rules(rows: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """``(rule, work a row, share rejected of what is left)`` in the order to test them.
 
     The sample is the rows whose hash is in the share that holds about ``sample_rows``
-    of all; each rule is timed alone on it, so its cost is that of the metrics it needs.
+    of all. It comes to the driver as one row for each combination of rules that
+    rejects, with the sums of the rules' work.
     """
     share = min(1.0, sample_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64(id_col, F.left("text", F.lit(64))), F.lit(1 << 30)) < int(share * (1 << 30))).select(id_col, "text").persist()
-    try:
-        n = max(1, sample.count())
-        made = metrics(sample, id_col)
-        out = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = made.where(rule.condition).count()
-            out.append((rule, max(1e-4, time.perf_counter() - began), rejected / n))
-    finally:
-        sample.unpersist()
-    return sorted(out, key=lambda x: (-x[2] / x[1], x[0].name))
+    sample = rows.where(F.pmod(F.xxhash64(id_col, F.left("text", F.lit(64))), F.lit(1 << 30)) < int(share * (1 << 30)))
+    hits = [F.coalesce(F.expr(spelled(r.condition)), F.lit(False)).alias(f"hit{k}") for k, r in enumerate(rules)]
+    works = [F.expr(spelled(r.work)).cast("double").alias(f"work{k}") for k, r in enumerate(rules)]
+    seen = sample.select(*hits, *works).groupBy(*[f"hit{k}" for k in range(len(rules))]).agg(F.count("*").alias("n"), *[F.sum(f"work{k}").alias(f"work{k}") for k in range(len(rules))])
+    groups = [r.asDict() for r in seen.collect()]
+    n = max(1, sum(g["n"] for g in groups))
+    work = [max(1.0, sum(g[f"work{k}"] for g in groups) / n) for k in range(len(rules))]
+    out, left, open_ = [], groups, set(range(len(rules)))
+    while open_:
+        rest = max(1, sum(g["n"] for g in left))
+        rejected = {k: sum(g["n"] for g in left if g[f"hit{k}"]) / rest for k in open_}
+        best = min(open_, key=lambda k: (-rejected[k] / work[k], work[k], rules[k].name))
+        out.append((rules[best], work[best], rejected[best]))
+        open_.remove(best)
+        left = [g for g in left if not g[f"hit{best}"]]
+    return out
 
 
 def cascade(rules: list[Rule]) -> Column:
     """The name of the first rule that rejects the row, in this order; null for kept rows."""
     first, *rest = rules
-    out = F.when(F.expr(first.condition), first.name)
+    out = F.when(F.expr(spelled(first.condition)), first.name)
     for rule in rest:
-        out = out.when(F.expr(rule.condition), rule.name)
+        out = out.when(F.expr(spelled(rule.condition)), rule.name)
     return out
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Metrics with ``kept`` and ``rejected_by`` (the first rejecting rule in the cascade's order)."""
-    rows = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [rule for rule, _, _ in estimate(rows, rules, id_col)]
-    rejected = cascade(order)
-    return metrics(rows, id_col).withColumn("rejected_by", rejected).withColumn("kept", F.col("rejected_by").isNull())
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, with_metrics: bool = True) -> DataFrame:
+    """``id, text``, the metrics if asked for, ``rejected_by`` (the first rejecting rule in the cascade's order) and ``kept``."""
+    rows = word_rows(df, id_col, text_col)
+    order = [rule for rule, _, _ in order_rules(rows, rules, id_col)]
+    made = rows.select(id_col, "text", *(metric_columns() if with_metrics else []), cascade(order).alias("rejected_by"))
+    return made.withColumn("kept", F.col("rejected_by").isNull())
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality_rules(documents(spark, sf_dir))
-    failed = F.expr(" OR ".join(f"({r.condition})" for r in BASE_RULES))
+    failed = F.expr(" OR ".join(f"({r.condition})" for r in BASE_RULES))  # over the metric columns
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 

@@ -351,6 +351,17 @@ def test_components_of_paths_and_stars(spark):
 # Quality rules
 
 
+def test_cascade_goes_by_rejections_per_work_and_skips_what_it_does_not_reach(docs):
+    rows = quality_rules.word_rows(docs, "doc_id", "text")
+    order = quality_rules.order_rules(rows, quality_rules.RULES)
+    assert order == quality_rules.order_rules(rows, quality_rules.RULES)  # counted, not timed
+    first = max(order, key=lambda x: sum(1 for _ in rows.where(quality_rules.spelled(x[0].condition)).collect()) / x[1])
+    assert order[0][0] == first[0]
+    never = quality_rules.Rule("never", "raise_error('reached') IS NULL")
+    got = rows.select(quality_rules.cascade([quality_rules.Rule("all", "n_words >= 0"), never]).alias("r")).distinct().collect()
+    assert [r["r"] for r in got] == ["all"]
+
+
 def test_rule_metrics_equal_brute_force(docs, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in enumerate(TEXTS):
@@ -363,6 +374,8 @@ def test_rule_metrics_equal_brute_force(docs, empty):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)), i
         assert not r["kept"] or not (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+    plain = {(r["doc_id"], r["text"]): (r["kept"], r["rejected_by"]) for r in quality_rules.quality_rules(docs, with_metrics=False).collect()}
+    assert plain == {(r["doc_id"], r["text"]): (r["kept"], r["rejected_by"]) for r in quality_rules.quality_rules(docs).collect()}
     assert quality_rules.quality_rules(empty).count() == 0
 
 
