@@ -22,10 +22,10 @@ that clash with the result's do no harm.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator, Sequence
-from itertools import accumulate, pairwise
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +59,7 @@ class PrefixCounter:
         self.cut = re.compile(f"{MARK}*{letter}+|{MARK}*{other}+|{MARK}+").findall
         self.compatible: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple] = {}
-        self.totals = _Totals(self)
+        self.kept = _Units(self)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again."""
@@ -147,54 +147,51 @@ class PrefixCounter:
     def units(self, text: str) -> list[str]:
         return self.cut(MARK + text.replace(" ", MARK)) if text else []
 
+    def deltas(self, text: str) -> bytes:
+        """The change of the count with each character of a text, a signed byte each."""
+        if not text:
+            return b""
+        joined = b"".join(map(self.kept.__getitem__, self.units(text)))
+        # The first is that of the mark before the text, which comes with its first character.
+        return ((joined[0] + joined[1]) & 255).to_bytes(1, "little") + joined[2:]
+
     def count(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.units(text)))
+        return total(self.deltas(text))
 
     def prefixes(self, text: str) -> list[int]:
         """The count at each prefix of 0 to ``len(text)`` characters."""
-        out, before = [], 0
-        for unit in self.units(text):
-            table = self.totals.table(unit)
-            out += [before + c for c in table[1:]]
-            before += table[-1]
-        return [0, *out[1:]] if text else [0]
-
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """The most characters that a prefix of at most ``budget`` tokens can have.
-
-        Counts can fall by a merge, so the last prefix within budget is meant. A
-        merge never crosses a unit, hence whole units are skipped by their totals.
-        """
-        units = self.units(text)
-        sums = [0, *accumulate(map(self.totals.__getitem__, units))]
-        if sums[-1] <= budget:
-            return len(text)
-        k = bisect_right(sums, budget) - 1  # unit k ends beyond the budget
-        done = sum(map(len, units[:k]))
-        table = self.totals.table(units[k])
-        inside = max(i for i, c in enumerate(table) if sums[k] + c <= budget)
-        return max(0, done + inside - 1)
+        return [0, *np.cumsum(np.frombuffer(self.deltas(text), np.int8), dtype=np.int64).tolist()]
+
+
+def total(deltas: bytes) -> int:
+    return int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64))
+
+
+def fitting_prefix(deltas: bytes, budget: int) -> int:
+    """The most characters that a prefix of at most ``budget`` tokens can have, from stored deltas.
+
+    Counts can fall by a merge, so the last prefix within budget is meant.
+    """
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
-class _Totals(dict):
-    """Units' totals; a new unit's table is computed, and kept, when it is first asked for."""
+class _Units(dict):
+    """Units' deltas; a new unit's table is computed, and kept, when it is first asked for."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self.counter, self.kept = counter, {}
-
-    def table(self, unit: str) -> Sequence[int]:
-        return self.kept.get(unit) or self.counter.table(unit)
+        self.counter = counter
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-            self.kept.clear()
-        table = self.counter.table(unit)
-        if table[-1] < 256 and len(unit) <= LONG:
-            self.kept[unit] = bytes(table)
-            self[unit] = table[-1]
-        return table[-1]
+        deltas = np.diff(self.counter.table(unit))
+        assert np.abs(deltas).max() < 128, "a change of the count that a byte cannot hold"
+        found = deltas.astype(np.int8).tobytes()
+        if len(unit) <= LONG:
+            self[unit] = found
+        return found
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -207,34 +204,43 @@ def counter(model: str) -> PrefixCounter:
     return _counters[model]
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = LIMIT, store: bool = False) -> DataFrame:
-    """``id, n_bytes, n_tokens, over_limit, fitting_chars`` for each row.
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
+    """``id, n_bytes, n_tokens, over_limit, fitting_chars, prefix_deltas`` for each row.
 
-    ``fitting_chars``: characters of the longest prefix within ``limit`` tokens.
-    With ``store`` comes ``prefix_tokens``, the count at each prefix of 0, 1, ...
-    characters, from which later budgets are answered in SQL. One narrow pass, no
-    shuffle; memory is a batch and the bounded table of units.
+    ``fitting_chars``: characters of the longest prefix within ``limit`` tokens. One
+    narrow pass, no shuffle; memory is a batch and the bounded table of units.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [own.count(t) for t in texts]
+            deltas = [own.deltas(t) for t in texts]
+            counts = list(map(total, deltas))
             columns = [
                 batch.column(0),
                 pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()),
                 pa.array(counts, pa.int64()),
                 pa.array([n > limit for n in counts], pa.bool_()),
-                pa.array([len(t) if n <= limit else own.longest_prefix(t, limit) for t, n in zip(texts, counts, strict=True)], pa.int64()),
+                pa.array([len(t) if n <= limit else fitting_prefix(d, limit) for t, d, n in zip(texts, deltas, counts, strict=True)], pa.int64()),
+                pa.array(deltas, pa.binary()),
             ]
-            if store:
-                columns.append(pa.array([own.prefixes(t) for t in texts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [id_col, "n_bytes", "n_tokens", "over_limit", "fitting_chars", *["prefix_tokens"] * store]
+    names = [id_col, "n_bytes", "n_tokens", "over_limit", "fitting_chars", "prefix_deltas"]
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df, [id_col, text_or_empty(text_col).alias("__text")], count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long" + ", prefix_tokens array<int>" * store)
+    return map_rows(df, [id_col, text_or_empty(text_col).alias("__text")], count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long, prefix_deltas binary")
+
+
+def within_budget(counted: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
+    """``id, budget_chars``: the longest prefixes within any budget, from the stored table alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars = [fitting_prefix(d, budget) for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64())], names=[id_col, "budget_chars"])
+
+    return map_rows(counted, [id_col, "prefix_deltas"], fit, f"`{id_col}` {counted.schema[id_col].dataType.simpleString()}, budget_chars long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

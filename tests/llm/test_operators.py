@@ -467,16 +467,23 @@ def test_prefix_counts_equal_the_library(docs, empty):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    rows = {r["doc_id"]: r for r in token_counts.token_counts(docs, limit=50, store=True).collect()}
+    rows = {r["doc_id"]: r for r in token_counts.token_counts(docs, limit=50).collect()}
     for i, t in enumerate(TEXTS):
         t = t or ""
         n = len(model.encode(t))
-        assert (rows[i]["n_bytes"], rows[i]["n_tokens"], rows[i]["over_limit"]) == (len(t.encode()), n, n > 50) and len(rows[i]["prefix_tokens"]) == len(t) + 1
+        assert (rows[i]["n_bytes"], rows[i]["n_tokens"], rows[i]["over_limit"]) == (len(t.encode()), n, n > 50) and len(rows[i]["prefix_deltas"]) == len(t)
     rng = random.Random(4)
     own = token_counts.counter("piece_bpe_32k.model")
     for _ in range(300):
         s = "".join(rng.choice(["a", "the", " ", "  ", "\n", "é", "漢", "😀", "ing", "1", "23", ".", "▁", "\t", "tion", "<s>", "²", "²."]) for _ in range(rng.randint(0, 20)))
         counts = [len(model.encode(s[:k])) for k in range(len(s) + 1)]
         assert own.prefixes(s) == counts
-        assert own.longest_prefix(s, 5) == max(k for k, c in enumerate(counts) if c <= 5)
+        for budget in (0, 1, 5):
+            assert token_counts.fitting_prefix(own.deltas(s), budget) == max(k for k, c in enumerate(counts) if c <= budget)
+    stored = token_counts.token_counts(docs, limit=50)
+    for budget in (0, 7, 50, 10**6):
+        for r in token_counts.within_budget(stored, budget).where("doc_id IS NOT NULL").collect():
+            t = TEXTS[r["doc_id"]] or ""
+            k = r["budget_chars"]
+            assert len(model.encode(t[:k])) <= budget and (k == len(t) or len(model.encode(t[: k + 1])) > budget)
     assert token_counts.token_counts(empty).count() == 0
