@@ -2,17 +2,19 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled text.
 A text that is like the good ones compresses better with their dictionary; the
-normalised difference of the two compressed sizes is the one thing learnt from, and
-a logistic curve fitted on further labelled rows turns it into a calibrated score.
+difference of the two compressed sizes, normalised by the text's size and by the
+compressed sizes, is the one thing learnt from: no size or ratio enters by itself. A
+logistic curve fitted on further labelled rows turns it into a calibrated score.
 
 Whole texts are scored: in blocks of ``BLOCK`` bytes, whose sizes are summed, so
 that a long text's own repetitions don't outweigh the dictionaries. The fit uses a
 bounded sample of labelled rows (``TRAIN_ROWS`` of each label, of at most
-``TRAIN_CHARS`` characters each, those with the least hashes); half builds the
-dictionaries, half the curve. Class shares come from all labelled rows.
+``TRAIN_CHARS`` characters each, those with the least hashes; longer texts among the
+picked rows are left out, so fewer may be learnt from); half builds the dictionaries,
+half the curve. Of several rows with one id the least text is learnt from. Class shares come from all labelled rows.
 
 Defined results: a null or empty text compresses to nothing either way and scores
-what the curve gives for no difference and no length; labels other than 0 and 1 and null ones
+what the curve gives for no difference; labels other than 0 and 1 and null ones
 are not learnt from; with one label missing every score is the share of good rows
 (1/2 without labels); repeated rows and null ids keep their rows; source, language,
 id and label are never inputs of a score.
@@ -76,18 +78,19 @@ def cut(text: str) -> list[bytes]:
 
 
 def features(texts: list[str], packers: list) -> np.ndarray:
-    """Normalised size difference, the same for short texts, shortness, and the size against the text's own.
+    """The size difference, normalised by the text's size and by the compressed sizes, and both damped for long texts.
 
-    The last tells texts that compress to next to nothing with either dictionary.
+    A short text's difference is less sure, hence the damped pair. All are 0 where
+    both dictionaries do alike.
     """
     out = np.zeros((len(texts), 4))
     for r, text in enumerate(texts):
         blocks = cut(text)
         good, bad = (sum(len(p(b)) - _HEADER for b in blocks) for p in packers)
         size = sum(map(len, blocks))
+        both = (bad - good) / max(1, size), (bad - good) / max(1, bad + good)
         short = 1 / (1 + size / 200)
-        difference = (bad - good) / max(1, bad + good)
-        out[r] = difference, difference * short, short, 1 / (1 + 10 * (bad + good) / max(1, size))
+        out[r] = *both, both[0] * short, both[1] * short
     return out
 
 
@@ -125,7 +128,9 @@ def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str
         return CompressionModel(b"", b"", (), prior)
     ids = [known.where(F.col("__label") == k).orderBy("__key", "__mark_id").limit(rows) for k in (0, 1)]
     texts = docs.select(F.col(id_col).alias("__own"), text_or_empty(text_col).alias("__text")).join(F.broadcast(ids[0].union(ids[1])), F.col("__own") == F.col("__mark_id"))
-    found = sorted((r["__key"], r["__label"], r["__text"]) for r in texts.where(F.char_length("__text") <= TRAIN_CHARS).select("__key", "__label", "__text").collect())
+    # A label that several rows share by their id is learnt from one text, so no more than the picked rows come here.
+    once = texts.where(F.char_length("__text") <= TRAIN_CHARS).groupBy("__key", "__mark_id", "__label").agg(F.min("__text").alias("__text"))
+    found = sorted((r["__key"], r["__label"], r["__text"]) for r in once.select("__key", "__label", "__text").collect())
     picked = {k: [t for _, label, t in found if label == k] for k in (0, 1)}
     if not all(picked.values()):
         return CompressionModel(b"", b"", (), prior)

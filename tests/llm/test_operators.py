@@ -91,6 +91,25 @@ def test_redaction_keeps_rows_and_columns(docs):
 # Quality classifier
 
 
+def test_quality_scores_equal_the_definition(spark):
+    """Dictionaries and curve from the same rows, each text's difference computed anew."""
+    zstandard = pytest.importorskip("zstandard")
+    texts = {i: prose(i, 40 + i % 50) if i % 2 else " ".join(["buy now"] * (5 + i % 7)) + prose(i, 10) for i in range(200)} | {200: None, 201: "", 202: "é漢😀"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality_classifier.fit_labels(df, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(df, model, ["doc_id"]).collect()}
+    sizes = [lambda b, d=d: len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(b)) - 6 for d in (model.good, model.bad)]
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        good, bad = (sum(f(raw[k : k + 512]) for k in range(0, len(raw), 512)) for f in sizes)
+        n, short = max(1, len(raw)), 1 / (1 + len(raw) / 200)
+        x = [(bad - good) / n, (bad - good) / max(1, good + bad)]
+        z = np.dot(model.weights, [1, *x, *(v * short for v in x)])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    assert got[200] == got[201]
+
+
 def test_quality_scores_tell_held_out_rows_apart(spark):
     good = [(i, prose(i, 80)) for i in range(120)]
     bad = [(1000 + i, " ".join(w + "###" for w in prose(5000 + i, 80).split())) for i in range(120)]
