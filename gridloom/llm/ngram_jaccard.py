@@ -22,8 +22,8 @@ that everything follows:
    pivot has, a pair of similarity 0.8 has at least ``(d(x) + d(y) - (|x| + |y|) / 9) /
    2`` such differences in common, and this is positive unless both are linked to
    the pivot, hence in one component. Differences are ordered by frequency and cut
-   to a prefix; rare ones are indexed alone, of frequent ones combinations of two,
-   which a prefix that is extended by one makes safe. A class that may share just one
+   to a prefix; rare ones (``RARE_DIFFERENCE``) are indexed alone, of frequent ones
+   combinations of two, which a prefix that is extended by one makes safe. A class that may share just one
    difference with a partner looks for it among the single ones.
 6. Candidates are verified on their whole sets.
 
@@ -58,6 +58,9 @@ from gridloom.llm.shingles import K, shingle_set
 THRESHOLD = Fraction(4, 5)
 #: Classes that share a shingle of the rare kind at most.
 RARE = 32
+#: Classes that share a difference of the rare kind at most. A class has many differences
+#: to combine by two, while few pairs of those that share one pass the bounds.
+RARE_DIFFERENCE = 256
 #: Tasks that the rows of one component are dealt to at least when its id is told to them.
 SALTS = 16
 
@@ -249,7 +252,7 @@ def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fr
     chosen = materialize(ranked, "jaccard-chosen")
     own = ["set_key", "n", "d", "k", "label"]
     # A class that shares two of its prefix with any partner meets those of its kind by two; if it may share just one, it meets all by one.
-    one = (F.col("df") <= RARE) | (F.col("o") < 2)
+    one = (F.col("df") <= RARE_DIFFERENCE) | (F.col("o") < 2)
     single = chosen.select(F.xxhash64("pivot", "token").alias("key"), *own, one.alias("one"))
     frequent = chosen.where(~one)
     other = frequent.select("pivot", "set_key", F.col("token").alias("token2"))

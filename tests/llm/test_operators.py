@@ -316,6 +316,7 @@ def test_jaccard_components_equal_brute_force(spark):
 def test_jaccard_of_dense_groups_equals_brute_force(spark, monkeypatch, seed, rare):
     """Groups of near copies at the threshold, nested and of different sizes, mostly by their differences from pivots."""
     monkeypatch.setattr(ngram_jaccard, "RARE", rare)
+    monkeypatch.setattr(ngram_jaccard, "RARE_DIFFERENCE", rare)
     rng = random.Random(seed)
     texts = []
     for g in range(3):
