@@ -324,14 +324,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = alike.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "text_hash", "copies")).alias("f"))
     empty = placed.where("n = 0").select("__id", "text_hash", F.lit(1).cast("long").alias("copies")).distinct()
     keys = materialize(first.select("f.__id", "f.text_hash", "f.copies").union(empty), "jaccard-kept")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("text_hash"))
-    kept = df.join(keys.where("copies = 1").select("__id", "text_hash"), same, "left_semi")
+    # The rows go as structs, as their columns may have any names.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash"))
+    kept = rows.join(keys.where("copies = 1").select("__id", "text_hash"), same, "left_semi").select("__row.*")
     repeated = keys.where("copies > 1").select("__id", "text_hash")
     if repeated.isEmpty():
         return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
-    one = df.join(repeated, same).groupBy("__id", "text_hash").agg(F.min_by(row, order).alias("__row"))
+    order = F.xxhash64(*[F.col(f"__row.`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    one = rows.join(repeated, same).groupBy("__id", "text_hash").agg(F.min_by("__row", order).alias("__row"))
     return kept.union(one.select("__row.*"))
 
 
