@@ -10,18 +10,20 @@ that everything follows:
    Classes without are out, and so are, round after round, those that were supported
    by classes that are out. A passage or a line that many texts share supports none
    of them unless it makes up most of its prefix.
-3. Stars: each shingle has a *pivot*, the class that shares most of its own prefix
-   with others (in a group of near copies that is their model or close to it), and
+3. Stars: each shingle has a *pivot*, the class that has least of its prefix to
+   itself (in a group of near copies that is their model or close to it), and
    the pivot is compared with the shingle's other classes. That is linear, however
    many copies share the shingle, and links nearly all copies; linked classes form
-   components. What follows makes only pairs across components.
+   components. A few turns with other pivots of that kind do so for what is left.
+   What follows makes only pairs across components.
 4. Rare shingles (held by at most ``RARE`` classes) are indexed alone. A pair must
    share enough of them, given how many frequent ones it may share besides.
 5. Frequent shingles: the classes of one pivot are indexed by what *differs* between
    them and it. If ``d(x)`` is the number of shingles that only one of ``x`` and the
    pivot has, a pair of similarity 0.8 has at least ``(d(x) + d(y) - (|x| + |y|) / 9) /
    2`` such differences in common, and this is positive unless both are linked to
-   the pivot, hence in one component. Differences are ordered by frequency and cut
+   the pivot, hence in one component. Differences that no class of another component
+   has count as not shared. The others are ordered by frequency and cut
    to a prefix; rare ones (``RARE_DIFFERENCE``) are indexed alone, of frequent ones
    combinations of two, which a prefix that is extended by one makes safe. A class that may share just one
    difference with a partner looks for it among the single ones.
@@ -61,6 +63,8 @@ RARE = 32
 #: Classes that share a difference of the rare kind at most. A class has many differences
 #: to combine by two, while few pairs of those that share one pass the bounds.
 RARE_DIFFERENCE = 256
+#: Turns of pivots.
+STAR_ROUNDS = 3
 #: Tasks that the rows of one component are dealt to at least when its id is told to them.
 SALTS = 16
 
@@ -175,19 +179,38 @@ def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
 
 
-def pivots(entries: DataFrame) -> DataFrame:
-    """``token, pivot, m``: each token's class of the greatest shared part of its prefix, and that one's size."""
-    share = F.round(-F.col("k") / F.col("n"), 3)
-    best = entries.groupBy("token").agg(F.min(F.struct(share.alias("o"), "set_key", "n")).alias("p"))
+def prefix_size(n: Column, t: Fraction = THRESHOLD) -> Column:
+    """Length of the extended prefix of a set of ``n``, as :func:`prefix` has it."""
+    p = n - F.floor((t.numerator * n + t.denominator - 1) / F.lit(t.denominator)) + 1
+    return p + F.least(F.floor(p / 4), n - p)
+
+
+def pivots(entries: DataFrame, turn: int, t: Fraction) -> DataFrame:
+    """``token, pivot, m``: of each token's classes the one with the least share of its prefix to itself, and its size.
+
+    Of several it is the one of the least hash, another one each turn, but the same for
+    all tokens, so few classes are pivots.
+    """
+    own = F.round(1 - F.col("k") / prefix_size(F.col("n"), t), 2)
+    best = entries.groupBy("token").agg(F.min(F.struct(own.alias("o"), F.xxhash64("set_key", F.lit(turn)).alias("h"), "set_key", "n")).alias("p"))
     return materialize(best.select("token", F.col("p.set_key").alias("pivot"), F.col("p.n").alias("m")), "jaccard-pivots")
 
 
-def stars(entries: DataFrame, centres: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of each token's pivot with its other classes."""
-    met = entries.join(centres, "token").where((F.col("set_key") != F.col("pivot")) & fits(F.col("n"), F.col("m"), t))
+def stars(entries: DataFrame, centres: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of each token's pivot with its classes of other components."""
+    placed = labelled(entries, labels)
+    heads = labelled(centres.withColumnRenamed("pivot", "set_key"), labels).select("token", F.col("set_key").alias("pivot"), "m", F.col("label").alias("lp"))
+    met = placed.join(heads, "token").where((F.col("label") != F.col("lp")) & fits(F.col("n"), F.col("m"), t))
     return met.select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct()
 
 
+def open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of tokens that several components hold, with the label and the number of classes (``df``)."""
+    placed = labelled(entries, labels)
+    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
+    return placed.join(open_, "token")
+
+
 def overlap_of_differences(d: Column, db: Column, n: Column, nb: Column, both: Column, t: Fraction) -> Column:
     """Whether a pair with ``both`` common differences at most can be similar enough."""
     a, b = t.numerator, t.denominator
@@ -209,18 +232,25 @@ def rare_pairs(placed: DataFrame, t: Fraction) -> DataFrame:
 
 
 def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pivot, m, set_key, n, label, d, tokens``: what differs between each member and its pivot."""
+    """``pivot, m, set_key, n, label, added, d, tokens``: what only the member has (``added`` tokens), then what only the pivot has."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            both = [(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            added = [np.setdiff1d(x, y, assume_unique=True) for x, y in both]
+            found = [np.concatenate([new, np.setdiff1d(y, x, assume_unique=True)]) for new, (x, y) in zip(added, both, strict=True)]
             sizes = list(map(len, found))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sizes, pa.int64()), lists], names=["pivot", "m", "set_key", "n", "label", "d", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(list(map(len, added)), pa.int64()), pa.array(sizes, pa.int64()), lists], names=["pivot", "m", "set_key", "n", "label", "added", "d", "tokens"])
 
     own = members.join(sets.select("set_key", F.col("grams").alias("g")), "set_key")
     both = own.join(sets.select(F.col("set_key").alias("pivot"), F.col("grams").alias("gp")), "pivot")
-    return both.select("pivot", "m", "set_key", "n", "label", "g", "gp").mapInArrow(compare, "pivot long, m long, set_key long, n long, label long, d long, tokens array<long>")
+    return both.select("pivot", "m", "set_key", "n", "label", "g", "gp").mapInArrow(compare, "pivot long, m long, set_key long, n long, label long, added long, d long, tokens array<long>")
+
+
+def similar(most: Column, n: Column, nb: Column, t: Fraction) -> Column:
+    """Whether two sets with ``most`` common tokens at most can be similar enough."""
+    return most * t.denominator >= (n + nb - most) * t.numerator
 
 
 def least_shared(d: Column, n: Column, m: Column, t: Fraction) -> Column:
@@ -244,33 +274,36 @@ def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fr
     often = often.withColumn("r", F.row_number().over(own.orderBy("df", "token"))).where(F.col("r") <= F.col("f") - need(F.col("n"), t) + 1)
     members = often.join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
     apart = materialize(differences(members, sets), "jaccard-differences").withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
-    apart = apart.where(F.size("tokens") >= F.col("o")).select("pivot", "set_key", "n", "label", "d", "o", F.explode("tokens").alias("token"))
-    open_ = apart.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
+    apart = apart.select("pivot", "set_key", "n", "label", "added", "d", "o", F.posexplode("tokens").alias("at", "token")).withColumn("new", F.col("at") < F.col("added")).drop("at")
     mine = W.partitionBy("pivot", "set_key")
-    held = apart.join(open_, ["pivot", "token"]).withColumn("k", F.count("*").over(mine)).where("k >= o")
+    for turn in range(2):
+        # A difference counts if classes of several components have it; tokens of a class that don't count are shared with no partner.
+        open_ = apart.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
+        held = apart.join(open_, ["pivot", "token"]).withColumn("k", F.count("*").over(mine)).withColumn("q", F.col("n") - F.col("added") + F.count_if("new").over(mine))
+        held = held.where((F.col("k") >= F.col("o")) & (F.col("q") * t.denominator >= F.col("n") * t.numerator))
+        apart = held if turn else materialize(held.drop("df", "k", "q"), "jaccard-apart")
     ranked = held.withColumn("r", F.row_number().over(mine.orderBy("df", "token"))).where("r <= k - o + 2")
     chosen = materialize(ranked, "jaccard-chosen")
-    own = ["set_key", "n", "d", "k", "label"]
+    # A key is a pair's first common one somewhere; from there on it has ``s`` differences in common at most.
+    own = ["set_key", "n", "d", "q", "label"]
     # A class that shares two of its prefix with any partner meets those of its kind by two; if it may share just one, it meets all by one.
     one = (F.col("df") <= RARE_DIFFERENCE) | (F.col("o") < 2)
-    single = chosen.select(F.xxhash64("pivot", "token").alias("key"), *own, one.alias("one"))
+    single = chosen.select(F.xxhash64("pivot", "token").alias("key"), *own, (F.col("k") - F.col("r") + 1).alias("s"), one.alias("one"))
     frequent = chosen.where(~one)
-    other = frequent.select("pivot", "set_key", F.col("token").alias("token2"))
-    combined = frequent.join(other, ["pivot", "set_key"]).where("token < token2").select(F.xxhash64("pivot", "token", "token2").alias("key"), *own, F.lit(True).alias("one"))
+    other = frequent.select("pivot", "set_key", F.col("token").alias("token2"), F.col("r").alias("r2"))
+    combined = frequent.join(other, ["pivot", "set_key"]).where("token < token2").select(F.xxhash64("pivot", "token", "token2").alias("key"), *own, (F.col("k") - F.greatest("r", "r2") + 2).alias("s"), F.lit(True).alias("one"))
     index = single.union(combined)
     alone = index.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("one").alias("any")).where("l0 <> l1 AND any").select("key")
     index = materialize(index.join(alone, "key"), "jaccard-index")
-    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("k").alias("kb"), F.col("label").alias("lb"))
+    right = index.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("s").alias("sb"), F.col("q").alias("qb"), F.col("label").alias("lb"))
     could = (F.col("set_key") != F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb"), t)
-    could = could & overlap_of_differences(F.col("d"), F.col("db"), F.col("n"), F.col("nb"), F.least("k", "kb"), t)
+    could = could & overlap_of_differences(F.col("d"), F.col("db"), F.col("n"), F.col("nb"), F.least("s", "sb"), t) & similar(F.least("q", "qb"), F.col("n"), F.col("nb"), t)
     return index.where("one").join(right, "key").where(could).select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
 
 
 def across(entries: DataFrame, labels: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Every pair across components that can be similar enough."""
-    placed = labelled(entries, labels)
-    open_ = placed.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("token", "df")
-    counted = placed.join(open_, "token").select("token", "set_key", "n", "label", "df")
+    counted = open_entries(entries, labels).select("token", "set_key", "n", "label", "df")
     enough = counted.groupBy("set_key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), t)).select("set_key")
     placed = materialize(counted.join(enough, "set_key"), "jaccard-open")
     return materialize(rare_pairs(placed, t), "jaccard-rare").union(frequent_pairs(placed, centres, sets, t)).distinct()
@@ -288,13 +321,17 @@ def labelled_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = table.join(classes, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
     sets = materialize(whole_sets(df, wanted, text_col, k), "jaccard-grams")
 
-    centres = pivots(entries)
     labels = df.sparkSession.createDataFrame([], "node long, label long")
-    met = materialize(stars(entries, centres, t), "jaccard-pairs")
-    links = materialize(verify(met, sets, t), "jaccard-links")
-    if not links.isEmpty():
+    links = tested = df.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(STAR_ROUNDS):
+        held = materialize(open_entries(entries, labels).select("token", "set_key", "n", "k"), "jaccard-held") if turn else entries
+        heads = pivots(held, turn, t)
+        centres = centres if turn else heads
+        met = stars(held, heads, labels, t)
+        met = materialize(met.join(tested, ["a", "b"], "left_anti") if turn else met, "jaccard-pairs")
+        links, tested = links.union(materialize(verify(met, sets, t), "jaccard-links")), tested.union(met)
         labels = components(links, "jaccard")
-    more = materialize(across(entries, labels, centres, sets, t).join(met, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = materialize(across(entries, labels, centres, sets, t).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = materialize(verify(more, sets, t), "jaccard-links")
     if not found.isEmpty():
         labels = components(links.union(found), "jaccard")
