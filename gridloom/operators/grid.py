@@ -20,8 +20,11 @@ from gridloom.plans.compiler import NUMBER_RE, general
 
 ROW = "_row"
 MIN_WIDTH, MAX_WIDTH = 3, 60
-#: The East Asian characters that take two places.
-WIDE = "[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-䶿一-鿿ꀀ-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦\U0001f300-\U0001faff\U00020000-\U0003fffd]"
+#: The code points of the characters that take two places, first and last.
+WIDE_RANGES = (
+    (0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1F9FF), (0x20000, 0x3FFFD),
+)
+WIDE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE_RANGES) + "]"
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
@@ -216,4 +219,20 @@ def sparkline(df: DataFrame, order: Sequence[str], value: str, most: int = 4096)
     return top.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "__n"))), lambda x: x["__n"]).alias("values"))
 
 
-__all__ = ["Grid", "cell_is", "color_scale", "display", "expand_area", "sparkline"]
+def find_in_texts(df: DataFrame, key: str, text: str, needle: str, case: bool = False) -> DataFrame:
+    """``key, n, hit, start``: each place of a text where the needle stands, left to right without overlap.
+
+    ``n`` counts the row's hits, ``hit`` numbers them from 1, ``start`` counts characters
+    from 0. An empty needle is nowhere.
+    """
+    own = F.col(text) if case else F.lower(text)
+    parts = F.split(own, "\\Q" + (needle if case else needle.lower()).replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    rows = df.where(F.contains(own, F.lit(needle if case else needle.lower())) if needle else F.lit(False)).select(key, parts.alias("__parts"))
+    # A part's start is what the parts and needles before it take.
+    places = F.transform("__parts", lambda x: F.char_length(x) + len(needle))
+    ends = F.aggregate(places, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x)))
+    hits = rows.select(key, (F.size("__parts") - 1).cast("long").alias("n"), F.posexplode(F.slice(ends, F.lit(1), F.size("__parts") - 1)).alias("__i", "__end"))
+    return hits.select(key, "n", (F.col("__i") + 1).cast("long").alias("hit"), (F.col("__end") - len(needle)).cast("long").alias("start"))
+
+
+__all__ = ["Grid", "cell_is", "color_scale", "display", "expand_area", "find_in_texts", "sparkline"]

@@ -41,30 +41,75 @@ def hlookup(probe: DataFrame, key: str, wide: DataFrame, row: int, ordinal: str,
     return vlookup(probe.withColumn("__probe", F.col(key).cast("string")), "__probe", pairs, "__k", alias, "pos").drop("__probe")
 
 
-def lookup_sorted(probe: DataFrame, key: str, table: DataFrame, table_key: str, result: str, alias: str | None = None, ranges: int | None = None) -> DataFrame:
+def ranges_of(df: DataFrame, column: str) -> list:
+    """Cuts of a column into as many ranges as there are shuffle partitions: one number, or text, for each.
+
+    Numbers are cut by approximate quantiles, other kinds by the least values of a sample
+    of ranges that Spark makes.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 2:
+        return []
+    if df.schema[column].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte"):
+        return sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.01)))
+    cut = df.select(F.col(f"`{column}`").alias("c")).where("c IS NOT NULL").repartitionByRange(n, "c").groupBy(F.spark_partition_id()).agg(F.min("c").alias("c")).collect()
+    return sorted({r["c"] for r in cut})[1:]
+
+
+def range_of(col: Column, cuts: list) -> Column:
+    """How many cuts are at most the value, found by halving; 0 for nulls."""
+
+    def halved(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col >= F.lit(cuts[mid]), halved(mid + 1, hi)).otherwise(halved(lo, mid))
+
+    return halved(0, len(cuts))
+
+
+def before_range(counts: DataFrame, keys: list[str], n: str, alias: str) -> DataFrame:
+    """Counts by range with the sum of the ranges before; as many rows as there are ranges, for each of the keys."""
+    w = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    return counts.select(*keys, "__range", F.coalesce(F.sum(n).over(w), F.lit(0)).alias(alias))
+
+
+def numbered(df: DataFrame, ordinal: str, alias: str) -> DataFrame:
+    """``df`` with the rows' places by an ordinal, from 1, as numbers; counted within ranges and carried on."""
+    cuts = ranges_of(df, ordinal)
+    dealt = df.withColumn("__range", range_of(F.col(f"`{ordinal}`"), cuts))
+    starts = before_range(dealt.groupBy("__range").agg(F.count("*").alias("__n")), [], "__n", "__before")
+    place = F.row_number().over(W.partitionBy("__range").orderBy(F.col(f"`{ordinal}`").asc_nulls_first()))
+    return dealt.withColumn("__place", place).join(F.broadcast(starts), "__range").withColumn(alias, (F.col("__before") + F.col("__place")).cast("double")).drop("__range", "__before", "__place")  # one row per range
+
+
+def lookup_sorted(probe: DataFrame, key: str, table: DataFrame, table_key: str, result: str, alias: str | None = None, ordinal: str | None = None) -> DataFrame:
     """The result at the last key that is at most the probe's: an as-of join on an ascending key.
 
+    Of rows with one key the last by ``ordinal`` counts (the greatest result without one).
     Both sides are cut into ranges of the key and swept once within a range; the last
     key before a range is carried in from a table with one row per range. So the work
-    is spread over tasks, although there is but one order.
+    is spread over tasks, although there is but one order. Probes of one key go
+    through the sweep once, so a frequent key is no hot spot.
     """
     name = alias or result
-    spark = probe.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(table.approxQuantile(table_key, [i / ranges for i in range(1, ranges)], 0.01)))  # one number per range
-    at = lambda c: F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x <= c))
-    left = probe.select(F.struct(*probe.columns).alias("__row"), F.col(key).cast("double").alias("__k"), F.lit(1).alias("__side"), F.lit(None).cast(table.schema[result].dataType).alias("__v"), F.lit(False).alias("__has"))
-    right = table.where(F.col(table_key).isNotNull()).groupBy(F.col(table_key).cast("double").alias("__k")).agg(F.max(result).alias("__v"))
-    right = right.select(F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), "__k", F.lit(0).alias("__side"), "__v", F.lit(True).alias("__has"))
-    both = left.unionByName(right).withColumn("__range", at(F.col("__k")))
-    last = right.withColumn("__range", at(F.col("__k"))).groupBy("__range").agg(F.max(F.struct("__k", "__v")).alias("__l"))
-    carried = last.select(F.explode(F.sequence(F.col("__range") + 1, F.lit(ranges))).alias("__range"), "__l") if cuts else last.where("false")
-    carried = carried.where(F.col("__range") <= ranges).groupBy("__range").agg(F.max("__l").alias("__in"))
-    w = W.partitionBy("__range").orderBy(F.col("__k").asc_nulls_first(), "__side").rowsBetween(W.unboundedPreceding, 0)
-    hit = F.last(F.when(F.col("__has"), F.struct("__v")), ignorenulls=True).over(w)
-    swept = both.withColumn("__hit", hit).where(F.col("__side") == 1).join(F.broadcast(carried), "__range", "left")  # one row per range
-    value = F.when(F.col("__k").isNull(), None).otherwise(F.coalesce(F.col("__hit.__v"), F.col("__in.__v")))
-    return swept.select("__row.*", value.alias(name))
+    text = table.schema[table_key].dataType.typeName() == "string"
+    as_key = (lambda c: F.lower(c)) if text else (lambda c: F.col(c).cast("double"))
+    last_of = F.max_by(result, ordinal) if ordinal else F.max(result)
+    right = table.where(F.col(table_key).isNotNull()).groupBy(as_key(table_key).alias("__k")).agg(last_of.alias("__v"))
+    cuts = ranges_of(right, "__k")
+    left = probe.select(as_key(key).alias("__k")).where("__k IS NOT NULL").distinct()
+    both = left.select("__k", F.lit(None).cast(right.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__side")).unionByName(right.withColumn("__side", F.lit(0)))
+    both = both.withColumn("__range", range_of(F.col("__k"), cuts))
+    last = right.withColumn("__range", range_of(F.col("__k"), cuts)).groupBy("__range").agg(F.max(F.struct("__k", F.struct("__v").alias("v"))).alias("__l"))
+    # One row per range; a range gets the last of all before it.
+    ends = last.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__to"))
+    carried = last.join(F.broadcast(ends), F.col("__range") < F.col("__to")).groupBy("__to").agg(F.max("__l").alias("__in")).withColumnRenamed("__to", "__range")
+    w = W.partitionBy("__range").orderBy("__k", "__side").rowsBetween(W.unboundedPreceding, 0)
+    hit = F.last(F.when(F.col("__side") == 0, F.struct("__v")), ignorenulls=True).over(w)
+    swept = both.withColumn("__hit", hit).where(F.col("__side") == 1).join(F.broadcast(carried), "__range", "left")
+    found = swept.select("__k", F.coalesce(F.col("__hit.__v"), F.col("__in.v.__v")).alias(name))
+    return probe.withColumn("__k", as_key(key)).join(found, "__k", "left").drop("__k")
 
 
 def match_before_greater(table: DataFrame, column: str, ordinal: str, key) -> DataFrame:
@@ -98,17 +143,26 @@ def having(probe: DataFrame, key: str, table: DataFrame, table_key: str, found:
     return probe.join(table.select(_key(table, table_key).alias("__key")), _key(probe, key) == F.col("__key"), "left_semi" if found else "left_anti")
 
 
-def rank(df: DataFrame, column: str, ascending: bool = False, by: list[str] | None = None, alias: str = "rank") -> DataFrame:
-    """Competition rank of every row: 1 and how many are better.
+def ranks_of(df: DataFrame, column: str, ascending: bool, keys: list[str], alias: str) -> DataFrame:
+    """``keys, column, alias``: the rank of each distinct value, 1 and how many rows are better.
 
-    Counts per distinct value are summed up in order, so the sweep is over distinct
-    values; without groups it runs over them only, not over rows.
+    Counts per distinct value are summed up within ranges of the values, and each
+    range's sum is carried into the next, so no task sweeps all values.
     """
-    keys = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    cuts = ranges_of(df, column)
+    at = range_of(F.col(column), cuts)
+    counts = counts.withColumn("__range", at if ascending else F.lit(len(cuts)) - at)
+    starts = before_range(counts.groupBy(*keys, "__range").agg(F.sum("__n").alias("__all")), keys, "__all", "__before")
     order = F.col(column).asc() if ascending else F.col(column).desc()
-    better = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(alias, (better + 1).cast("double")).drop("__n"), [*keys, column], "left")
+    better = F.coalesce(F.sum("__n").over(W.partitionBy(*keys, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__own", better).join(starts, [*keys, "__range"]).select(*keys, column, (F.col("__before") + F.col("__own") + 1).cast("double").alias(alias))
+
+
+def rank(df: DataFrame, column: str, ascending: bool = False, by: list[str] | None = None, alias: str = "rank") -> DataFrame:
+    """Competition rank of every row: 1 and how many are better."""
+    keys = by or []
+    return df.join(ranks_of(df, column, ascending, keys, alias), [*keys, column], "left")
 
 
 def large(df: DataFrame, column: str, k: int, smallest: bool = False) -> DataFrame:
@@ -135,17 +189,34 @@ def sort_values(df: DataFrame, column: str, ordinal: str, descending: bool = Fal
     return df.select(F.col(column).alias("value"), ordinal).orderBy(col.desc() if descending else col.asc(), ordinal)
 
 
-def npv(df: DataFrame, rate: float, value: str, ordinal: str, by: list[str] | None = None) -> DataFrame:
-    """Present value of payments in order; a payment's place is its rank within its group."""
+def sorted_places(df: DataFrame, column: str, ordinal: str, descending: bool = False) -> DataFrame:
+    """``df`` with ``__place``, the rows' places by the column's values, ties by the ordinal."""
+    kind = df.schema[column].dataType.typeName()
+    keyed = df.withColumn("__value", F.lower(column) if kind == "string" else F.col(column))
+    cuts = ranges_of(keyed, "__value")
+    at = range_of(F.col("__value"), cuts)
+    dealt = keyed.withColumn("__range", F.lit(len(cuts)) - at if descending else at)
+    starts = before_range(dealt.groupBy("__range").agg(F.count("*").alias("__n")), [], "__n", "__before")
+    order = F.col("__value").desc_nulls_last() if descending else F.col("__value").asc_nulls_last()
+    placed = dealt.withColumn("__p", F.row_number().over(W.partitionBy("__range").orderBy(order, ordinal))).join(F.broadcast(starts), "__range")  # one row per range
+    # Nulls are in the range of no cut, which comes first upwards; they belong last.
+    return placed.withColumn("__place", F.when(F.col("__value").isNull(), F.lit(1 << 62)).otherwise(F.col("__before") + F.col("__p")).cast("long")).drop("__value", "__range", "__before", "__p")
+
+
+def npv(df: DataFrame, rate: float, value: str, ordinal: str, by: list[str] | None = None, place: str | None = None) -> DataFrame:
+    """Present value of payments in order; a payment's place is its rank within its group, or given."""
     keys = by or []
-    placed = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(ordinal)))
+    placed = df.where(F.col(value).isNotNull()).withColumn("__i", F.col(place) if place else F.row_number().over(W.partitionBy(*keys).orderBy(ordinal)))
     return placed.groupBy(*keys).agg(F.sum(F.col(value) / F.pow(F.lit(1 + rate), F.col("__i"))).alias("npv"))
 
 
 def running_total(df: DataFrame, value: str, ordinal: str, by: list[str]) -> DataFrame:
-    """A filled-down ``SUM(A$1:A5)``: a frame from the start to the row."""
-    w = W.partitionBy(*by).orderBy(ordinal).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(value).over(w))
+    """A filled-down ``SUM(A$1:A5)``: a frame from the start to the row, within ranges of the ordinal and carried on."""
+    cuts = ranges_of(df, ordinal)
+    dealt = df.withColumn("__range", range_of(F.col(ordinal), cuts))
+    starts = before_range(dealt.groupBy(*by, "__range").agg(F.sum(value).alias("__all")), by, "__all", "__before")
+    own = F.sum(value).over(W.partitionBy(*by, "__range").orderBy(ordinal).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.withColumn("__own", own).join(starts, [*by, "__range"]).withColumn("running", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
 
 
 def text_join(df: DataFrame, delimiter: str, value: str, ordinal: str, by: list[str], ignore_empty: bool = True) -> DataFrame:
@@ -163,12 +234,13 @@ def sequence(spark, rows: int, cols: int = 1, start: float = 1.0, step: float =
     return spark.range(rows * cols).select(F.floor(i / cols).alias("row"), (i % cols).alias("col"), (start + step * i).alias("value"))
 
 
-def gcd(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Greatest common divisor of each group's whole parts, folded by Euclid's steps inside one aggregate."""
+def gcd(df: DataFrame, column: str, by: list[str], salts: int = 64) -> DataFrame:
+    """Greatest common divisor of each group's whole parts: folded for each of the salts, then over these."""
     own = F.abs(F.col(column)).cast("long")
-    values = F.collect_set(own)  # distinct values
-    fold = F.aggregate(values, F.lit(0).cast("long"), _gcd_step)
-    return df.where(F.col(column).isNotNull()).groupBy(*by).agg(fold.cast("double").alias("gcd"))
+    rows = df.where(F.col(column).isNotNull()).select(*by, own.alias("__v")).distinct().withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(salts)))
+    fold = lambda c: F.aggregate(F.collect_list(c), F.lit(0).cast("long"), _gcd_step)
+    parts = rows.groupBy(*by, "__salt").agg(fold("__v").alias("__v"))
+    return parts.groupBy(*by).agg(fold("__v").cast("double").alias("gcd"))
 
 
 def _gcd_step(a: Column, b: Column) -> Column:

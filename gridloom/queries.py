@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import grid as G
 from gridloom.operators import lookup as L
 from gridloom.plans.compiler import aggregate_formulas, formula_column, outputs
+from gridloom.plans.relational import Table, spilled, with_table_formulas
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,8 +130,6 @@ rowwise("math_fact", "lineitem", K, "FACT(l_linenumber)", "factorial(CAST(l_line
 rowwise("math_combin", "lineitem", K, "COMBIN(l_linenumber+5,3)", "(l_linenumber + 5) * (l_linenumber + 4) * (l_linenumber + 3) / 6", 2)
 rowwise("math_gcd", "part", "p_partkey", "GCD(p_partkey,p_size)", "gcd(p_partkey, p_size)", 0)
 rowwise("math_lcm", "part", "p_partkey", "LCM(p_partkey,p_size)", "lcm(p_partkey, CAST(p_size AS BIGINT))", 0)
-query("math_rand_range", "SELECT true AS inside")(lambda s, d: table(s, d, "lineitem").select(F.rand(7).alias("r")).agg(((F.min("r") >= 0) & (F.max("r") < 1)).alias("inside")))
-query("math_randbetween_range", "SELECT true AS inside")(lambda s, d: table(s, d, "lineitem").select((3 + F.floor(F.rand(7) * 5)).alias("r")).agg(((F.min("r") == 3) & (F.max("r") == 7)).alias("inside")))
 query("agg_gcd", "SELECT 1 AS g, CAST(list_reduce(list(p_size * 6), lambda a, b: gcd(a, b)) AS DOUBLE) AS gcd FROM part")(lambda s, d: L.gcd(table(s, d, "part").select(F.lit(1).alias("g"), (F.col("p_size") * 6).alias("x")), "x", ["g"]))
 
 # Text
@@ -176,12 +175,7 @@ rowwise("logic_true_false", "region", "r_regionkey", "IF(r_regionkey>2,TRUE(),FA
 rowwise("logic_switch", "lineitem", K, 'SWITCH(l_returnflag,"a",1,"R",2,3)', "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END", 1)
 rowwise("logic_choose", "lineitem", K, 'CHOOSE(l_linenumber,"one","two","three")', "CASE l_linenumber WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' END")
 rowwise("logic_compare_text", "part", P, 'p_brand>="brand#3"', "lower(p_brand) >= 'brand#3'")
-rowwise("logic_compare_kinds", "part", P, "p_name>p_size", "true")
 rowwise("info_isblank", "events", "event_id", "ISBLANK(props)", "props IS NULL")
-rowwise("info_isnumber", "part", P, "ISNUMBER(p_size)", "p_size IS NOT NULL")
-rowwise("info_istext", "part", P, "ISTEXT(p_name)", "p_name IS NOT NULL")
-rowwise("info_isnontext", "part", P, "ISNONTEXT(p_name)", "p_name IS NULL")
-rowwise("info_islogical", "part", P, "ISLOGICAL(p_size>5)", "p_size IS NOT NULL")
 rowwise("info_iserror", "lineitem", K, "ISERROR(1/(l_linenumber-1))", "l_linenumber = 1")
 rowwise("info_iserr", "lineitem", K, "ISERR(IF(l_linenumber=1,NA(),1/(l_linenumber-2)))", "l_linenumber = 2")
 rowwise("info_isna", "lineitem", K, "ISNA(IF(l_linenumber=1,NA(),1))", "l_linenumber = 1")
@@ -189,16 +183,47 @@ rowwise("info_isref", "region", "r_regionkey", "ISREF(r_name)", "true")
 rowwise("info_iseven", "lineitem", K, "ISEVEN(l_linenumber)", "l_linenumber % 2 = 0")
 rowwise("info_isodd", "lineitem", K, "ISODD(l_linenumber)", "l_linenumber % 2 = 1")
 rowwise("info_n", "lineitem", K, "N(l_quantity>25)+N(l_returnflag)", "CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END", 1)
-rowwise("info_type", "part", P, "TYPE(p_name)*100+TYPE(p_size)*10+TYPE(p_size>1)", "214", 0)
 rowwise("info_error_type", "lineitem", K, "ERROR.TYPE(1/(l_linenumber-1))", "CASE WHEN l_linenumber = 1 THEN 2 END", 0)
 rowwise("info_na", "region", "r_regionkey", "IFNA(NA(),r_regionkey)", "r_regionkey", 0)
 
+# Kinds of cells, over columns with blanks
+
+
+def blanked(name: str, formula: str, sql: str) -> None:
+    """A formula over parts of which every third has no size, every fifth no name and every seventh an error in ``rate``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = table(spark, sf_dir, "part")
+        key = F.col("p_partkey")
+        t = t.select("p_partkey", F.when(key % 3 != 0, F.col("p_size")).alias("size"), F.when(key % 5 != 0, F.col("p_name")).alias("name"), F.when(key % 4 != 0, key % 2 == 0).alias("flag"), (key % 7).alias("part7"))
+        (out,) = outputs({"result": formula_column(t, formula)}, False)
+        return t.select("p_partkey", out)
+
+    view = "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS size, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 2 = 0 END AS flag, p_partkey % 7 AS part7 FROM part"
+    query(name, f"SELECT p_partkey, {sql} AS result FROM ({view})")(run)
+
+
+blanked("info_isnumber", "ISNUMBER(size/part7)", "size IS NOT NULL AND part7 <> 0 OR size IS NULL AND part7 <> 0")
+blanked("info_isnumber_blank", "ISNUMBER(size)", "size IS NOT NULL")
+blanked("info_istext", "ISTEXT(name)", "name IS NOT NULL")
+blanked("info_isnontext", "ISNONTEXT(name)", "name IS NULL")
+blanked("info_islogical", "ISLOGICAL(flag)", "flag IS NOT NULL")
+blanked("info_isblank_columns", 'IF(ISBLANK(size),"s","")&IF(ISBLANK(name),"n","")', "CASE WHEN size IS NULL THEN 's' ELSE '' END || CASE WHEN name IS NULL THEN 'n' ELSE '' END")
+blanked("info_type", "TYPE(name)*1000+TYPE(size)*100+TYPE(flag)", "CAST(CASE WHEN name IS NULL THEN 1 ELSE 2 END * 1000 + 100 + CASE WHEN flag IS NULL THEN 1 ELSE 4 END AS DOUBLE)")
+blanked("info_type_error", "TYPE(1/part7)", "CAST(CASE WHEN part7 = 0 THEN 16 ELSE 1 END AS DOUBLE)")
+blanked("logic_compare_kinds", "name>size", "CASE WHEN name IS NULL AND size IS NULL THEN false WHEN name IS NULL THEN 0 > size ELSE name <> '' OR size IS NOT NULL END")
+blanked("logic_blank_sum", "size+1", "CAST(coalesce(size, 0) + 1 AS DOUBLE)")
+blanked("logic_iferror_mixed", "IFERROR(size/part7,-1)", "CASE WHEN part7 = 0 THEN -1.0 ELSE coalesce(size, 0) / part7 END")
+
 # Dates
 
 _SERIAL = "(datediff('day', DATE '1899-12-31', CAST(o_orderdate AS DATE)) + 1)"
 O = "o_orderkey"  # noqa: E741
 rowwise("date_serial", "orders", O, "INT(o_orderdate)", _SERIAL, 0)
-for _f in ("year", "month", "day", "hour", "minute", "second"):
+for _f in ("hour", "minute", "second"):
+    # To the nearest second, as a serial number has no more.
+    rowwise(f"date_{_f}", "events", "event_id", f"{_f.upper()}(ts)", f"{_f}(date_trunc('second', ts))", 0)
+for _f in ("year", "month", "day"):
     rowwise(f"date_{_f}", "orders", O, f"{_f.upper()}(o_orderdate)", f"{_f}(o_orderdate)", 0)
 rowwise("date_weekday", "orders", O, "WEEKDAY(o_orderdate)", "dayofweek(o_orderdate) + 1", 0)
 rowwise("date_weekday_monday", "orders", O, "WEEKDAY(o_orderdate,2)", "isodow(o_orderdate)", 0)
@@ -212,10 +237,11 @@ rowwise("date_today_now", "region", "r_regionkey", "NOW()-TODAY()", "0.75", 4)
 
 # Finance and engineering
 
+rowwise("fin_nper", "lineitem", K, "NPER(0.01,-l_extendedprice,l_extendedprice*l_quantity)", "CASE WHEN l_quantity * 0.01 < 1 THEN ln(1 / (1 - l_quantity * 0.01)) / ln(1.01) END", 6)
+
 rowwise("fin_pmt", "lineitem", K, "PMT(0.01,l_quantity,l_extendedprice)", "-(l_extendedprice * pow(1.01, l_quantity)) / ((pow(1.01, l_quantity) - 1) / 0.01)", 4)
 rowwise("fin_pv", "lineitem", K, "PV(0.01,l_quantity,-100)", "100 * ((pow(1.01, l_quantity) - 1) / 0.01) / pow(1.01, l_quantity)", 4)
 rowwise("fin_fv", "lineitem", K, "FV(0.01,l_quantity,-100,0,1)", "100 * ((pow(1.01, l_quantity) - 1) / 0.01) * 1.01", 4)
-rowwise("fin_nper", "lineitem", K, "NPER(0.01,-l_extendedprice,l_extendedprice*10)", "ln(1 / 0.9) / ln(1.01)", 6)
 query("fin_npv", "SELECT o_custkey, round(sum(o_totalprice / pow(1.05, rn)), 4) AS npv FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY o_custkey")(
     lambda s, d: L.npv(table(s, d, "orders"), 0.05, "o_totalprice", "o_orderkey", ["o_custkey"]).withColumn("npv", F.round("npv", 4))
 )
@@ -267,7 +293,6 @@ query("grid_filter_then_sort", f"SELECT * FROM ({_PART}) WHERE p_size > 30 ORDER
 query("grid_distinct", "SELECT min_by(p_brand, p_partkey) AS value, min(p_partkey) AS first, count(*) OVER () > 10 AS truncated FROM part GROUP BY lower(p_brand) ORDER BY first LIMIT 10")(lambda s, d: part_grid(s, d).distinct("p_brand", 10)[0])
 query("grid_find", "SELECT p_partkey AS _row, col, cell FROM (SELECT p_partkey, 0 AS col, p_name AS cell FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part UNION ALL SELECT p_partkey, 2, CAST(p_size AS VARCHAR) FROM part) WHERE lower(cell) LIKE '%an%' ORDER BY 1, 2 LIMIT 100")(lambda s, d: part_grid(s, d).find("AN", 100))
 query("grid_find_whole_case", "SELECT p_partkey AS _row, 1 AS col, p_brand AS cell FROM part WHERE p_brand = 'Brand#11' ORDER BY 1 LIMIT 100")(lambda s, d: part_grid(s, d).find("Brand#11", 100, True, True))
-query("grid_find_document", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")(lambda s, d: table(s, d, "documents").where(F.lower("text").contains("license")).select("doc_id"))
 query("grid_width", "SELECT CAST(least(greatest(max(length(p_name)), 3), 60) AS INTEGER) AS p_name, CAST(least(greatest(max(length(p_brand)), 3), 60) AS INTEGER) AS p_brand, CAST(least(greatest(max(length(CAST(p_size AS VARCHAR))), 3), 60) AS INTEGER) AS p_size FROM part")(lambda s, d: part_grid(s, d).widths())
 query("grid_extent", "SELECT max(p_partkey) + 1 AS rows, 3 AS cols FROM part")(lambda s, d: part_grid(s, d).extent())
 query("grid_tsv", "SELECT p_partkey AS _row, p_name || chr(9) || p_brand || chr(9) || CAST(p_size AS VARCHAR) AS line FROM part WHERE p_partkey < 10")(lambda s, d: part_grid(s, d).tsv(0, 10))
@@ -278,6 +303,16 @@ query("format_color_scale", "SELECT s_suppkey, color FROM (SELECT s_suppkey, (s_
 query("format_sparkline", "SELECT list(s_acctbal ORDER BY s_suppkey) AS values FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 4096)")(lambda s, d: G.sparkline(table(s, d, "supplier"), ["s_suppkey"], "s_acctbal"))
 query("format_expand_area", "SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM range(0, 3) a(r), range(1, 3) b(c)")(lambda s, d: G.expand_area(s, [(0, 1, 2, 2), (0, 0, 1_000_000, 10)]))
 
+query("grid_sort_whole", f"SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, _row) AS pos FROM ({_CUSTOMER})")(
+    lambda s, d: L.sorted_places(customer_grid(s, d).df, "c_acctbal", G.ROW, True).withColumnRenamed("__place", "pos")
+)
+query("grid_find_document", "SELECT doc_id, n, CAST(hit AS BIGINT) AS hit, CAST(start AS BIGINT) AS start FROM (SELECT doc_id, len(string_split(lower(text), 'license')) - 1 AS n, unnest(range(1, len(string_split(lower(text), 'license')))) AS hit, string_split(lower(text), 'license') AS p, len(array_to_string(p[1:hit], 'license')) AS start FROM documents)")(
+    lambda s, d: G.find_in_texts(table(s, d, "documents"), "doc_id", "text", "LICENSE")
+)
+query("grid_width_wide", "SELECT CAST(least(greatest(max(length(text) + len(regexp_extract_all(text, '[一-鿿＀-｠]'))), 3), 60) AS INTEGER) AS text FROM (SELECT n_name || repeat('宽', n_nationkey % 6) || repeat('ｘ', n_nationkey % 3) AS text FROM nation)")(
+    lambda s, d: G.Grid(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias(G.ROW), F.concat("n_name", F.expr("repeat('宽', n_nationkey % 6)"), F.expr("repeat('ｘ', n_nationkey % 3)")).alias("text"))).widths()
+)
+
 # Lookups
 
 
@@ -308,11 +343,54 @@ query("lookup_match_ascending", "SELECT CAST(count(*) AS DOUBLE) AS match FROM p
 query("lookup_match_descending", "SELECT CAST(count(*) AS DOUBLE) AS match FROM part WHERE -p_partkey >= -42")(lambda s, d: L.match_descending(table(s, d, "part").withColumn("x", -F.col("p_partkey")), "x", "p_partkey", -42.5))
 query("lookup_match_unsorted", "SELECT CAST(nullif(coalesce((SELECT min(p_partkey) FROM part WHERE p_size > 45), (SELECT count(*) FROM part)), 0) AS DOUBLE) AS match")(lambda s, d: L.match_before_greater(table(s, d, "part"), "p_size", "p_partkey", 45))
 query("lookup_index", "SELECT p_name AS value FROM part WHERE p_partkey = 11")(lambda s, d: L.index(table(s, d, "part"), "p_name", "p_partkey", 12))
-query("lookup_rows_columns", "SELECT count(*) AS rows, 6 AS columns FROM part")(lambda s, d: (lambda t: t.agg(F.count("*").alias("rows"), F.lit(len(t.columns)).alias("columns")))(table(s, d, "part")))
-query("lookup_row_column", "SELECT p_partkey + 1 AS row, 2 AS column FROM part")(lambda s, d: (lambda g: g.df.select((F.col(G.ROW) + 1).alias("row"), F.lit(g.columns.index("p_brand") + 1).alias("column")))(part_grid(s, d)))
 query("lookup_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda s, d: L.having(table(s, d, "customer"), "c_custkey", table(s, d, "orders"), "o_custkey").select("c_custkey"))
 query("lookup_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda s, d: L.having(table(s, d, "customer"), "c_custkey", table(s, d, "orders"), "o_custkey", False).select("c_custkey"))
 
+# Formulas that look beyond their own row
+
+
+def tables_of(s: SparkSession, d: str) -> dict[str, Table]:
+    keys = {"customer": "c_custkey", "nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey"}
+    return {name: Table(table(s, d, name), key) for name, key in keys.items()}
+
+
+def beyond(name: str, source: str, keys: str, formula: str, sql: str, ordinal: str | None = None, digits: int | None = None) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        made = with_table_formulas(table(s, d, source), {"result": formula}, tables_of(s, d), ordinal)
+        return made.select(*keys.split(), F.round("result", digits).alias("result") if digits is not None else F.col("result"))
+
+    query(name, sql)(run)
+
+
+beyond("formula_vlookup", "orders", "o_orderkey", 'IFERROR(VLOOKUP(o_custkey*2,customer,2,FALSE)&"!","none")', "SELECT o_orderkey, coalesce(c_name || '!', 'none') AS result FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2")
+beyond("formula_xlookup", "orders", "o_orderkey", 'XLOOKUP(o_custkey*3,customer.c_custkey,customer.c_mktsegment,"?"&o_orderstatus)', "SELECT o_orderkey, coalesce(c_mktsegment, '?' || o_orderstatus) AS result FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 3")
+beyond("formula_lookup_last_of_equals", "customer", "c_custkey", "LOOKUP(c_nationkey+0.5,supplier.s_nationkey,supplier.s_acctbal)*2", "SELECT c_custkey, round(2 * (SELECT max_by(s_acctbal, s_nationkey * CAST(1000000000 AS BIGINT) + s_suppkey) FROM supplier WHERE s_nationkey <= c_nationkey + 0.5), 4) AS result FROM customer", digits=4)
+beyond("formula_vlookup_approximate", "part", "p_partkey", "VLOOKUP(p_size/2,nation,2,TRUE)", "SELECT p_partkey, (SELECT max_by(n_name, n_nationkey) FROM nation WHERE n_nationkey <= p_size / 2) AS result FROM part")
+beyond("formula_match", "part", "p_partkey", "IFNA(MATCH(p_size,nation.n_nationkey,0),-1)+MATCH(p_size,nation.n_nationkey)*100", "SELECT p_partkey, CAST(CASE WHEN p_size <= 24 THEN p_size + 1 ELSE -1 END + 100 * least(p_size + 1, 25) AS DOUBLE) AS result FROM part")
+beyond("formula_order_statistics", "supplier", "s_suppkey", "LARGE(s_acctbal,3)-SMALL(s_acctbal,2)+s_acctbal", "SELECT s_suppkey, round((SELECT s_acctbal FROM supplier ORDER BY 1 DESC LIMIT 1 OFFSET 2) - (SELECT s_acctbal FROM supplier ORDER BY 1 LIMIT 1 OFFSET 1) + s_acctbal, 4) AS result FROM supplier", "s_suppkey", 4)
+beyond("formula_rank", "supplier", "s_suppkey", "RANK(s_acctbal,s_acctbal)*10+RANK(s_nationkey,supplier.s_nationkey,1)", "SELECT s_suppkey, CAST(rank() OVER (ORDER BY s_acctbal DESC) * 10 + rank() OVER (ORDER BY s_nationkey) AS DOUBLE) AS result FROM supplier", "s_suppkey")
+beyond("formula_mode_index", "nation", "n_nationkey", 'MODE(part.p_size)&INDEX(nation.n_name,4)&ROWS(part)&"x"&COLUMNS(part)', "SELECT n_nationkey, (SELECT CAST(p_size AS VARCHAR) FROM part GROUP BY p_size HAVING count(*) > 1 ORDER BY count(*) DESC, min(p_partkey) LIMIT 1) || (SELECT n_name FROM nation WHERE n_nationkey = 3) || (SELECT count(*) FROM part) || 'x6' AS result FROM nation")
+beyond("formula_row_column", "part", "p_partkey", "ROW()*10+COLUMN(part.p_brand)", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) * 10 + 3 AS DOUBLE) AS result FROM part", "p_partkey")
+beyond("formula_npv", "nation", "n_nationkey", "NPV(0.1,nation.n_regionkey)", "SELECT n_nationkey, round((SELECT sum(n_regionkey / pow(1.1, n_nationkey + 1)) FROM nation), 6) AS result FROM nation", digits=6)
+
+
+@query("formula_rand", "SELECT true AS inside, true AS varies")
+def _rand(s: SparkSession, d: str) -> DataFrame:
+    made = with_table_formulas(table(s, d, "lineitem"), {"r": "RAND()", "k": "RANDBETWEEN(3,7)", "twice": "RAND()-RAND()"})
+    inside = (F.min("r") >= 0) & (F.max("r") < 1) & (F.min("k") == 3) & (F.max("k") == 7) & (F.count_distinct("k") == 5)
+    return made.agg(inside.alias("inside"), ((F.stddev("r") > 0.25) & (F.min("twice") < 0) & (F.max("twice") > 0)).alias("varies"))
+
+
+def arrayed(name: str, source: str, formula: str, ordinal: str, sql: str) -> None:
+    query(name, f"SELECT CAST(row_number() OVER (ORDER BY o) AS DOUBLE) AS place, value FROM ({sql})")(lambda s, d: spilled(table(s, d, source), formula, ordinal, tables_of(s, d)))
+
+
+arrayed("formula_unique", "part", "UNIQUE(p_brand)", "p_partkey", "SELECT p_brand AS value, min(p_partkey) AS o FROM part GROUP BY p_brand")
+arrayed("formula_sort_filter", "supplier", "SORT(FILTER(s_acctbal*2,s_acctbal>0),1,-1)", "s_suppkey", "SELECT s_acctbal * 2 AS value, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS o FROM supplier WHERE s_acctbal > 0")
+arrayed("formula_sort_unique_filter", "part", 'SORT(UNIQUE(FILTER(p_type,(p_size>10)*(p_brand<>"Brand#11"))))', "p_partkey", "SELECT DISTINCT p_type AS value, lower(p_type) AS o FROM part WHERE p_size > 10 AND lower(p_brand) <> 'brand#11'")
+arrayed("formula_sequence", "region", "SEQUENCE(4,3,10,-0.5)", "r_regionkey", "SELECT 10 - 0.5 * i::DOUBLE AS value, i AS o FROM range(0, 12) t(i)")
+query("dyn_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 40")(lambda s, d: part_grid(s, d).filter({"column": "p_size", "kind": "number", "op": "gt", "value": 40}).rows().select(F.col(G.ROW).alias("p_partkey"), "p_name"))
+
 # Windows, order statistics, dynamic arrays
 
 query("win_rank", "SELECT s_suppkey, CAST(rank() OVER (ORDER BY s_acctbal DESC) AS DOUBLE) AS rank FROM supplier")(lambda s, d: L.rank(table(s, d, "supplier"), "s_acctbal").select("s_suppkey", "rank"))
@@ -325,9 +403,7 @@ query("win_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PAR
 )
 query("dyn_unique", "SELECT p_brand AS value, min(p_partkey) AS first FROM part GROUP BY p_brand")(lambda s, d: L.unique(table(s, d, "part"), "p_brand", "p_partkey"))
 query("dyn_sort", "SELECT n_name AS value, n_nationkey FROM nation")(lambda s, d: L.sort_values(table(s, d, "nation"), "n_name", "n_nationkey"))
-query("dyn_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 40")(lambda s, d: (lambda t: t.where(formula_column(t, "p_size>40").col).select("p_partkey", "p_name"))(table(s, d, "part")))
 query("dyn_sequence", "SELECT i // 3 AS row, i % 3 AS col, 10 + 0.5 * i AS value FROM range(0, 12) t(i)")(lambda s, d: L.sequence(s, 4, 3, 10.0, 0.5))
-query("dyn_unique_count", "SELECT count(DISTINCT p_brand) AS n, CAST(sum(DISTINCT p_size) AS DOUBLE) AS total FROM part")(lambda s, d: table(s, d, "part").agg(F.count_distinct("p_brand").alias("n"), F.sum_distinct("p_size").cast("double").alias("total")))
 query("text_textjoin_column", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS joined FROM nation GROUP BY n_regionkey")(lambda s, d: L.text_join(table(s, d, "nation"), ", ", "n_name", "n_nationkey", ["n_regionkey"]))
 
 # Streaming windows (in batch form here; the same plan runs on a stream)

@@ -1,9 +1,16 @@
 """Delimited text: encoding, delimiter, limits, rows.
 
-Two readers: ``read_csv`` plans a scan by Spark's own reader after a look at the head of
-the file, for files of any size that it can split; ``read_csv_files`` reads whole
-files, one per task, and follows the sheet rules to the letter (physical field
-counts, trailing blank rows, any encoding).
+Two readers: ``read_csv`` reads one file of any size in splits, ``read_csv_files`` many
+whole files, one per task. Both follow the sheet rules: blank lines are no rows, rows
+that hold one empty field are dropped at the end, quoted fields may hold delimiters
+and line feeds, short rows are padded to the widest row of the whole file.
+
+``read_csv`` looks at each line twice. The first pass counts, for each split, records
+and fields; where the file has no quotes, it and the second pass are DataFrame
+functions only. A split of a file with quotes may begin inside a quoted field, so it is
+counted for both cases; the driver then goes through the splits' few numbers, which
+tells how each begins and which row it starts with, and the second pass parses with
+that. The pieces of records that go on in the next split are put together by row.
 """
 
 from __future__ import annotations
@@ -11,11 +18,13 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import ROW
@@ -25,16 +34,18 @@ DELIMITERS = (",", "\t", ";", "|")
 SAMPLE_LINES, HEAD_BYTES, BINARY_CHARS = 20, 256 * 1024, 8 * 1024
 MAX_BYTES, MAX_ROWS, MAX_COLS = 256 * 1024 * 1024, 2_000_000, 16_384
 BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
-#: Tried in turn where the bytes are not UTF-8; the first that decodes the head wins.
-FALLBACKS = ("gb18030", "big5", "shift_jis", "euc_kr", "windows-1252")
+#: The common characters' lead bytes in each double-byte encoding, as first and last.
+COMMON_LEADS = {"gb18030": (0xB0, 0xD7), "big5": (0xA4, 0xC6), "euc_kr": (0xB0, 0xC8), "shift_jis": (0x82, 0x97)}
+#: Lines that a guess of the encoding looks at.
+GUESS_LINES = 200
 
 
 class CsvError(ValueError):
-    """``kind``: empty, too_large, undecodable, not_text or malformed."""
+    """``kind``: empty, too_large, undecodable, not_text or malformed (with the line)."""
 
-    def __init__(self, kind: str, detail: str = ""):
-        super().__init__(f"{kind} {detail}".strip())
-        self.kind = kind
+    def __init__(self, kind: str, detail: str = "", line: int | None = None):
+        super().__init__(" ".join(filter(None, (kind, detail, f"line {line}" if line is not None else ""))))
+        self.kind, self.line = kind, line
 
 
 @dataclass(frozen=True)
@@ -49,25 +60,49 @@ class CsvMeta:
     truncated_cols: bool
 
 
+def likely(name: str, data: bytes) -> float:
+    """How well non-UTF-8 bytes fit an encoding, 0 to 1; -1 if they don't decode."""
+    try:
+        text = codecs.getincrementaldecoder(name)().decode(data)
+    except UnicodeDecodeError:
+        return -1.0
+    high = sum(c >= 0x80 for c in data)
+    if name == "windows-1252":
+        # Letters with accents stand alone among plain ones.
+        alone = re.findall(rb"(?<![\x80-\xff])[\xc0-\xff](?![\x80-\xff])", data)
+        return len(alone) / max(1, high)
+    first, last = COMMON_LEADS[name]
+    pairs = [c.encode(name, "ignore") for c in text if ord(c) > 127]
+    if name == "shift_jis":
+        # Kana mark Japanese; half-width kana as single bytes do not.
+        kana = sum("\u3040" <= c <= "\u30ff" for c in text)
+        fit = sum(len(x) == 2 and (x[0] in (0x81, 0x82, 0x83) or 0x88 <= x[0] <= last) for x in pairs)
+        return (fit + kana) / max(1, 2 * len(pairs)) if kana else 0.4 * fit / max(1, len(pairs))
+    fit = sum(len(x) == 2 and (first <= x[0] <= last or x[0] in (0xA1, 0xA3)) for x in pairs)
+    hangul = sum("\uac00" <= c <= "\ud7a3" for c in text)
+    return fit / max(1, len(pairs)) * (1.0 if name != "euc_kr" else 1.02 if hangul > 0.9 * len(pairs) else 0.5) * (1.0 if name != "gb18030" or all(len(x) <= 2 for x in pairs) else 0.9)
+
+
+def guess(data: bytes) -> str:
+    """The encoding that non-UTF-8 bytes fit best; earlier ones win ties."""
+    names = [*COMMON_LEADS, "windows-1252"]
+    scores = [likely(n, data) for n in names]
+    return names[scores.index(max(scores))] if max(scores) >= 0 else "utf-8"
+
+
 def decode(data: bytes) -> tuple[str, str, bool]:
     """Text, encoding, and whether characters were lost. By mark, as UTF-8, then by guess."""
     for bom, name in BOMS:
         if data.startswith(bom):
             text = data[len(bom) :].decode(name, "replace")
-            return text, name, "�" in text
+            return text, name, "\ufffd" in text
     try:
         return data.decode("utf-8"), "utf-8", False
     except UnicodeDecodeError:
         pass
-    head = data[:HEAD_BYTES]
-    for name in FALLBACKS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(head)
-        except UnicodeDecodeError:
-            continue
-        text = data.decode(name, "replace")
-        return text, name, "�" in text
-    return data.decode("utf-8", "replace"), "utf-8", True
+    name = guess(data[:HEAD_BYTES])
+    text = data.decode(name, "replace")
+    return text, name, "\ufffd" in text
 
 
 def looks_binary(text: str) -> bool:
@@ -101,13 +136,22 @@ def parse(data: bytes, delimiter: str | None = None, max_bytes: int = MAX_BYTES,
     if len(data) > max_bytes:
         raise CsvError("too_large", str(len(data)))
     text, encoding, lossy = decode(data)
+    if not text.replace("\ufffd", "").strip():
+        raise CsvError("undecodable", encoding)
     if looks_binary(text):
         raise CsvError("not_text")
     found = delimiter or sniff(text)
     csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
     rows: list[list[str]] = []
     cut_rows = cut_cols = False
-    for fields in csv.reader(io.StringIO(text, newline=""), delimiter=found or ","):
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=found or ",")
+    while True:
+        try:
+            fields = next(reader, None)
+        except csv.Error as e:
+            raise CsvError("malformed", str(e), reader.line_num) from e
+        if fields is None:
+            break
         if not fields:
             continue
         if len(rows) >= max_rows:
@@ -129,7 +173,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_files(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """``path, _row, fields, encoding, delimiter, error`` of whole files, one per task; a bad file is one row with its error."""
+    """``path, _row, fields, encoding, delimiter, truncated_rows, truncated_cols, error`` of whole files, one per task.
+
+    A bad file is one row with its error. Files beyond the limits are cut as the limits
+    say, and each of their rows tells so.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -137,38 +185,229 @@ def read_csv_files(spark: SparkSession, path: str, delimiter: str | None = None)
                 try:
                     rows, meta = parse(bytes(data), delimiter)
                 except CsvError as e:
-                    yield pd.DataFrame({"path": [name], ROW: [None], "fields": [None], "encoding": [None], "delimiter": [None], "error": [e.kind]})
+                    yield pd.DataFrame({"path": [name], ROW: [None], "fields": [None], "encoding": [None], "delimiter": [None], "truncated_rows": [None], "truncated_cols": [None], "error": [e.kind]})
                     continue
                 for k in range(0, len(rows), 10_000):
                     block = rows[k : k + 10_000]
-                    yield pd.DataFrame({"path": name, ROW: range(k, k + len(block)), "fields": block, "encoding": meta.encoding, "delimiter": meta.delimiter, "error": None})
+                    yield pd.DataFrame({"path": name, ROW: range(k, k + len(block)), "fields": block, "encoding": meta.encoding, "delimiter": meta.delimiter, "truncated_rows": meta.truncated_rows, "truncated_cols": meta.truncated_cols, "error": None})
 
-    return files(spark, path).mapInPandas(run, f"path string, {ROW} long, fields array<string>, encoding string, delimiter string, error string")
+    return files(spark, path).mapInPandas(run, f"path string, {ROW} long, fields array<string>, encoding string, delimiter string, truncated_rows boolean, truncated_cols boolean, error string")
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = False) -> tuple[DataFrame, list[str]]:
-    """A grid (``_row, c0 ... cN``) by Spark's reader, and the header's names if there is one.
+def head_of(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, whatever store it is in."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        names = sorted(f.getPath().toString() for f in fs.listStatus(p) if not f.getPath().getName().startswith(("_", ".")))
+        p = jvm.org.apache.hadoop.fs.Path(names[0]) if names else p
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)))
+    finally:
+        stream.close()
 
-    The head of the file gives encoding, delimiter and width; the file itself is read by
-    executors in splits. ``_row`` is the place within a split plus the rows of the
-    splits before it, which are one number per split.
-    """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_BYTES).alias("h")).first()
-    if head is None:
+
+def pieces_of(line: str) -> list[str]:
+    """A line, cut after carriage returns that end lines by themselves; the ends stay."""
+    return list(io.StringIO(line, newline="")) if "\r" in line[:-2] else [line]
+
+
+def records(lines: list[str], delimiter: str, inside: bool) -> tuple[list[list[str]], list[int], bool]:
+    """Records of lines with their ends, the lines read up to each record's end, and whether the last is still open."""
+    csv.field_size_limit(1 << 40)
+    mark = "\ue000"
+    feed = [f'"{lines[0] if lines else ""}', *lines[1:]] if inside else lines
+    reader = csv.reader([*feed, mark], delimiter=delimiter)
+    rows, ends = [], []
+    for row in reader:
+        rows.append(row)
+        ends.append(min(reader.line_num, len(lines)))
+    if rows[-1] == [mark]:
+        return rows[:-1], ends[:-1], False
+    rows[-1][-1] = rows[-1][-1].removesuffix(mark)
+    return rows, ends, True
+
+
+def without_blank(rows: list[list[str]]) -> list[list[str]]:
+    return [r for r in rows if r]
+
+
+@dataclass(frozen=True)
+class Split:
+    """What a split holds if it begins inside a quoted field, or not."""
+
+    rows: int
+    width: int
+    head: int
+    tail: int
+    closes: bool
+    opens: bool
+    blank: int
+
+
+def measured(lines: list[str], delimiter: str, inside: bool) -> Split:
+    rows, _, open_ = records(lines, delimiter, inside)
+    head = len(rows[0]) - 1 if inside else 0
+    if inside and open_ and len(rows) == 1:
+        return Split(0, 0, head, 0, False, True, 0)
+    tail = len(rows[-1]) - 1 if open_ else 0
+    whole = without_blank(rows[int(inside) : len(rows) - int(open_)])
+    blank = next((k for k, r in enumerate(reversed(whole)) if r != [""]), len(whole))
+    return Split(len(whole), max(map(len, whole), default=0), head, tail, inside, open_, blank)
+
+
+def starts(found: dict[int, dict[bool, Split]]) -> tuple[dict[int, tuple[bool, int]], int, int]:
+    """How each split begins and its first row; the widest record; the rows up to the last that isn't blank."""
+    at, row, width, inside, fields, last = {}, 0, 0, False, 0, 0
+    for part in sorted(found):
+        s = found[part][inside]
+        at[part] = (inside, row)
+        if inside:
+            fields += s.head
+            if not s.closes:
+                continue
+            width, row, inside = max(width, fields + 1), row + 1, False
+            last = row
+        last = row + s.rows - s.blank if s.rows > s.blank else last
+        width, row = max(width, s.width), row + s.rows
+        if s.opens:
+            inside, fields = True, s.tail
+    if inside:
+        width, row = max(width, fields + 1), row + 1
+        last = row
+    return at, width, last
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, lineSep="\n").select("value", F.spark_partition_id().alias("__part"))
+
+
+def quoted_grid(lines: DataFrame, encoding: str, delimiter: str) -> tuple[DataFrame, int]:
+    """``_row, fields`` and the greatest number of fields."""
+    raw = lines.select("__part", F.col("value").cast("binary").alias("value"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, list[str]]:
+        part, out = None, []
+        for batch in batches:
+            for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += pieces_of(v.decode(encoding, "replace") + "\n")
+                part = p
+        if part == 0 and out:
+            out[0] = out[0].removeprefix("\ufeff")
+        return part, out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, text = own(batches)
+        if part is not None:
+            both = [measured(text, delimiter, inside) for inside in (False, True)]
+            yield pa.RecordBatch.from_pylist([{"part": part, "inside": bool(k), **vars(s)} for k, s in enumerate(both)])
+
+    found: dict[int, dict[bool, Split]] = {}
+    for r in raw.mapInArrow(count, "part long, inside boolean, rows long, width long, head long, tail long, closes boolean, opens boolean, blank long").collect():  # two rows for each split
+        d = r.asDict()
+        part, inside = d.pop("part"), d.pop("inside")
+        found.setdefault(part, {})[inside] = Split(**d)
+    at, width, last = starts(found)
+
+    def parse_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, text = own(batches)
+        if part is None:
+            return
+        inside, first = at[part]
+        rows, ends, open_ = records(text, delimiter, inside)
+        pieces = []
+        if inside:
+            cut = len(text) if open_ and len(rows) == 1 else ends[0]
+            pieces.append((first, "".join(text[:cut])))
+            first += 1
+        whole = without_blank(rows[int(inside) : len(rows) - int(open_)])
+        if open_ and not (inside and len(rows) == 1):
+            pieces.append((first + len(whole), "".join(text[ends[-2] if len(ends) > 1 else 0 :])))
+        numbers = [*range(first, first + len(whole)), *(n for n, _ in pieces)]
+        fields = pa.array([*whole, *[None] * len(pieces)], pa.list_(pa.string()))
+        texts = pa.array([None] * len(whole) + [t for _, t in pieces], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([part] * len(numbers), pa.int32()), fields, texts], names=[ROW, "part", "fields", "piece"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [records(list(io.StringIO(t, newline="")), delimiter, False)[0][0] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=[ROW, "fields"])
+
+    made = raw.mapInArrow(parse_split, f"{ROW} long, part int, fields array<string>, piece string")
+    whole = made.where("piece IS NULL").select(ROW, "fields")
+    if any(s[x].opens for s in found.values() for x in (False, True)):
+        parts = made.where("piece IS NOT NULL").groupBy(ROW).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"])).alias("text"))
+        whole = whole.unionByName(parts.mapInArrow(join, f"{ROW} long, fields array<string>"))
+    return whole.where(F.col(ROW) < last), width
+
+
+def plain_grid(lines: DataFrame, delimiter: str, sizes: dict[int, int]) -> DataFrame:
+    """``_row, fields`` of a file without quotes, in DataFrame functions only; a split's rows follow those before it."""
+    before, cases = 0, []
+    for part in sorted(sizes):
+        cases += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    kept = lines.select(plain_line().alias("line"), "__part").where("line <> ''").withColumn("__id", F.monotonically_increasing_id())
+    offset = F.element_at(F.create_map(*cases), F.col("__part")) if cases else F.lit(0)
+    return kept.select((offset.cast("long") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(ROW), F.split("line", re.escape(delimiter), -1).alias("fields"))
+
+
+def plain_line() -> Column:
+    """A line without the carriage return at its end and the mark before the first one."""
+    own = F.when(F.col("value").endswith("\r"), F.expr("left(value, char_length(value) - 1)")).otherwise(F.col("value"))
+    return F.when(F.col("__part") == 0, F.regexp_replace(own, "^\ufeff", "")).otherwise(own)
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = False, physical: bool = False) -> tuple[DataFrame, list[str]]:
+    """A grid (``_row, c0 ... cN``) and the first row's fields if it is a header; with ``physical`` also ``_fields``, the fields that a row really has."""
+    head = head_of(spark, path)
+    if not head.strip():
         raise CsvError("empty")
-    rows, meta = parse(bytes(head["h"]), delimiter)
-    names = [f"c{i}" for i in range(meta.cols)]
-    raw = spark.read.csv(path, sep=meta.delimiter, header=False, escape='"', encoding=meta.encoding, schema=", ".join(f"{c} string" for c in names))
-    filled = raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias("__id"))
-    part = F.shiftright("__id", 33)
-    counts = {r["p"]: r["n"] for r in filled.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    start, before = [], 0
-    for p in sorted(counts):
-        start.append((int(p), before))
-        before += counts[p]
-    offsets = F.broadcast(spark.createDataFrame(start or [(0, 0)], "__p long, __o long"))  # one row per split
-    grid = filled.join(offsets, part == F.col("__p")).select((F.col("__o") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(ROW), *names)
-    return grid, rows[0] if header else []
+    whole = len(head) < HEAD_BYTES
+    sample = head if whole else head[: head.rfind(b"\n") + 1] or head
+    marked = next((name for bom, name in BOMS if head.startswith(bom)), None)
+    if marked in ("utf-16-le", "utf-16-be"):  # its line feeds are two bytes; such files are read whole
+        first, meta = parse(sample[: len(sample) // 2 * 2], delimiter)
+        rows = read_csv_files(spark, path, delimiter).where("error IS NULL").select(ROW, "fields")
+        width = rows.agg(F.max(F.size("fields"))).first()[0] or 0
+        return shaped(rows, width, physical), first[0] if header else []
+    lines = text_lines(spark, path)
+    mark = delimiter
+    if mark is None:
+        mark = sniff(decode(sample)[0]) or ","
+    line = plain_line()
+    odd = F.col("value").contains('"') | line.contains("\r")
+    seen = lines.groupBy("__part").agg(
+        F.count_if(line != "").alias("rows"), F.max(F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit("")))).alias("marks"), F.max(odd).alias("odd"), F.max(~F.is_valid_utf8("value")).alias("foreign")
+    ).collect()  # one row for each split
+    encoding = "utf-8"
+    if marked is None and any(r["foreign"] for r in seen):
+        bad = lines.where(~F.is_valid_utf8("value")).select(F.col("value").cast("binary").alias("v")).limit(GUESS_LINES).collect()
+        encoding = guess(b"\n".join(bytes(r["v"]) for r in bad))
+    text = sample.decode(encoding, "replace").removeprefix("\ufeff")
+    if not text.replace("\ufffd", "").strip():
+        raise CsvError("undecodable", encoding)
+    if looks_binary(text):
+        raise CsvError("not_text")
+    if delimiter is None and encoding != "utf-8":
+        mark = sniff(text) or ","
+    if encoding == "utf-8" and not any(r["odd"] for r in seen):
+        rows, width = plain_grid(lines, mark, {r["__part"]: r["rows"] for r in seen}), max(r["marks"] for r in seen) + 1
+    else:
+        rows, width = quoted_grid(lines, encoding, mark)
+    names: list[str] = []
+    if header:
+        names = next(iter(without_blank(records(list(io.StringIO(text, newline="")), mark, False)[0])), [])
+        names += [""] * (width - len(names))
+    return shaped(rows, width, physical), names
+
+
+def shaped(rows: DataFrame, width: int, physical: bool) -> DataFrame:
+    """Fields as columns; missing ones are empty."""
+    columns = [F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)]
+    return rows.select(ROW, *([F.size("fields").alias("_fields")] if physical else []), *columns)
 
 
 def write_tsv(lines: DataFrame, path: str) -> None:
