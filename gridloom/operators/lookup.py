@@ -238,11 +238,12 @@ def gcd(df: DataFrame, column: str, by: list[str], salts: int = 64) -> DataFrame
     """Greatest common divisor of each group's whole parts: folded for each of the salts, then over these."""
     own = F.abs(F.col(column)).cast("long")
     rows = df.where(F.col(column).isNotNull()).select(*by, own.alias("__v")).distinct().withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(salts)))
-    fold = lambda c: F.aggregate(F.collect_list(c), F.lit(0).cast("long"), _gcd_step)
+    fold = lambda c: F.aggregate(F.collect_list(c), F.lit(0).cast("long"), euclid)
     parts = rows.groupBy(*by, "__salt").agg(fold("__v").alias("__v"))
     return parts.groupBy(*by).agg(fold("__v").cast("double").alias("gcd"))
 
 
-def _gcd_step(a: Column, b: Column) -> Column:
+def euclid(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two whole numbers."""
     pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b")))
     return pair["a"]

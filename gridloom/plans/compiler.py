@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from gridloom.functions.cells import Criterion, Err, criterion, wildcard
 from gridloom.functions.library import FUNCTIONS
 from gridloom.functions.numfmt import choose, number_code, sections
+from gridloom.operators.lookup import euclid
 from gridloom.plans.language import Binary, Call, Const, FormulaError, Name, Unary, parse
 
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -225,8 +226,8 @@ class Compiler:
 
     def by_library(self, node: Call) -> Typed:
         """One Arrow UDF over the arguments' values; the only Python in a compiled formula."""
-        if node.name in ("RAND", "RANDBETWEEN"):
-            raise Unsupported(node.name)
+        if node.name in BEYOND:
+            raise Unsupported(f"{node.name} looks beyond its row; gridloom.plans.relational joins what it needs")
         args = [self.compile(a) for a in node.args]
         name = node.name
 
@@ -252,7 +253,9 @@ class Compiler:
         return Typed(kind, made[{"number": "num", "text": "txt", "bool": "flag"}[kind]], made["err"])
 
 
-RESULT_KINDS = dict.fromkeys(("TEXT", "DEC2BIN", "DEC2OCT", "DEC2HEX", "PROPER", "SUBSTITUTE", "REPLACE"), "text")
+#: Functions that a column by itself cannot stand for.
+BEYOND = ("RAND", "RANDBETWEEN", "VLOOKUP", "HLOOKUP", "XLOOKUP", "LOOKUP", "MATCH", "INDEX", "LARGE", "SMALL", "RANK", "MODE", "NPV", "UNIQUE", "SORT", "FILTER", "SEQUENCE", "ROW", "ROWS", "COLUMN", "COLUMNS")
+RESULT_KINDS = {"TEXT": "text"}
 ROWWISE: dict[str, Callable] = {}
 AGGREGATES: dict[str, Callable] = {}
 
@@ -360,10 +363,18 @@ rowwise("SEARCH", "ttn", "number", 1.0)(located(F.lower))
 
 
 def substitute(c: Compiler, *args):
-    if len(args) != 3:
-        return c.by_library(Call("SUBSTITUTE", args))
-    s, old, new = (text(c.compile(a)) for a in args)
-    return Typed("text", F.when(old.col == "", s.col).otherwise(F.replace(s.col, old.col, new.col)), first_error(s.err, old.err, new.err))
+    if len(args) not in (3, 4):
+        return Typed("error", F.lit(None).cast("double"), F.lit("#VALUE!"))
+    s, old, new = (text(c.compile(a)) for a in args[:3])
+    err = first_error(s.err, old.err, new.err)
+    if len(args) == 3:
+        return Typed("text", F.when(old.col == "", s.col).otherwise(F.replace(s.col, old.col, new.col)), err)
+    n = number(c.compile(args[3]))
+    k = F.greatest(F.lit(1), n.col.try_cast("int"))
+    parts = F.split(s.col, F.concat(F.lit("\\Q"), F.replace(old.col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    joined = lambda x: F.call_function("array_join", x, old.col)
+    one = F.concat(joined(F.slice(parts, F.lit(1), k)), new.col, joined(F.slice(parts, k + 1, F.size(parts))))
+    return Typed("text", F.when((old.col == "") | (k >= F.size(parts)), s.col).otherwise(one), first_error(err, n.err, code(toward_zero(n.col) < 1, "#VALUE!")))
 
 
 def concat(c: Compiler, *args):
@@ -606,6 +617,50 @@ for _n, (_base, _width) in {"BIN": (2, 10), "OCT": (8, 30), "HEX": (16, 40)}.ite
 
     rowwise(f"{_n}2DEC", "t", "number")(_from)
 
+    def _to(n: Column, places: Column, base=_base, bits=_width) -> Typed:
+        n, width = toward_zero(n).try_cast("long"), places.try_cast("int")
+        digits = F.conv(F.when(n < 0, n + (1 << bits)).otherwise(n).cast("string"), 10, base)
+        short = (n >= 0) & places.isNotNull() & (width < F.char_length(digits))
+        padded = F.when(places.isNull() | (n < 0), digits).otherwise(F.lpad(digits, F.greatest(width, F.char_length(digits)), F.lit("0")))
+        return _fail(padded, n.isNull() | (n < -(1 << bits - 1)) | (n >= (1 << bits - 1)) | F.coalesce(short, F.lit(False)))
+
+    rowwise(f"DEC2{_n}", "nn", "text", None)(_to)
+
+
+def _shift(sign: int):
+    def call(n: Column, k: Column) -> Typed:
+        n, k = toward_zero(n), toward_zero(k) * sign
+        out = F.when(k >= 0, n * F.pow(F.lit(2.0), k)).otherwise(F.floor(n / F.pow(F.lit(2.0), -k)).cast("double"))
+        return _fail(out, (n < 0) | (n >= float(1 << 48)) | (F.abs(k) > 53) | (out >= float(1 << 48)))
+
+    return call
+
+
+rowwise("BITLSHIFT", "nn", "number")(_shift(1))
+rowwise("BITRSHIFT", "nn", "number")(_shift(-1))
+
+
+def divisors(name: str):
+    """``GCD`` and ``LCM`` of the whole parts of numbers in a row."""
+
+    def call(c: Compiler, *args):
+        given = [c.compile(a) for a in args]
+        if not given or any(g.kind != "number" for g in given):
+            return c.by_library(Call(name, args))
+        nothing = F.lit(0.0 if name == "GCD" else 1.0)  # blanks don't count
+        whole = [F.abs(F.coalesce(g.col, nothing)).try_cast("long") for g in given]
+        out = whole[0]
+        for x in whole[1:]:
+            d = euclid(out, x)
+            out = d if name == "GCD" else F.when(d == 0, 0).otherwise(F.try_multiply(F.try_divide(out, d).cast("long"), x))
+        bad = _reduce(lambda a, b: a | b)([w.isNull() for w in whole])
+        return Typed("number", out.cast("double"), first_error(*[g.err for g in given], code(bad, "#NUM!")))
+
+    return call
+
+
+ROWWISE |= {name: divisors(name) for name in ("GCD", "LCM")}
+
 # Aggregates: only numbers of a column count, any error is the result
 
 
