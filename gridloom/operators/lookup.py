@@ -216,7 +216,7 @@ def running_total(df: DataFrame, value: str, ordinal: str, by: list[str]) -> Dat
     dealt = df.withColumn("__range", range_of(F.col(ordinal), cuts))
     starts = before_range(dealt.groupBy(*by, "__range").agg(F.sum(value).alias("__all")), by, "__all", "__before")
     own = F.sum(value).over(W.partitionBy(*by, "__range").orderBy(ordinal).rowsBetween(W.unboundedPreceding, 0))
-    return dealt.withColumn("__own", own).join(starts, [*by, "__range"]).withColumn("running", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+    return dealt.withColumn("__own", own).join(starts, [*by, "__range"]).withColumn("running", F.col("__before") + F.coalesce("__own", F.lit(0.0))).drop("__range", "__own", "__before")
 
 
 def text_join(df: DataFrame, delimiter: str, value: str, ordinal: str, by: list[str], ignore_empty: bool = True) -> DataFrame:

@@ -38,9 +38,9 @@ def test_deep_nesting_is_a_number_error():
 @pytest.mark.parametrize(
     ("value", "code", "want"),
     [
-        (3.14259, "0.00", "3.14"), (0.5, "0", "0"), (3.5, "0", "4"), (42.0, "0000", "0042"), (1234567.0, "#,##0", "1,234,567"), (0.1234, "0.00%", "12.34%"), (50.0, '0"元"', "50元"), (-1234.0, "#,##0;(#,##0)", "(1,234)"), (0.0, '0.0;-0.0;"零"', "零"),
-        (43831.0, "mmm d, yyyy", "Jan 1, 2020"), (43831.25, "h:mm", "6:00"), (0.5, "?/8", "4/8"), (2.5, "# ?/?", "2 1/2"), (0.7, "??/??", "7/10"), (-1.5, "# ?/?", "-1 1/2"), (1234.5, "0.00E+00", "1.23e3"), (0.1 + 0.2, "General", "0.3"), (-5.0, "[Red]0;[Blue]-0", "-5"),
-        (80.0, '[>=60]0"分";"不及格"', "80分"), (50.0, '[>=60]0"分";"不及格"', "不及格"), (9.5, "[$¥-804]0.0", "¥9.5"), (12.0, "0.##", "12"),
+        (2.71828, "0.000", "2.718"), (6.5, "0", "6"), (7.5, "0", "8"), (19.0, "00000", "00019"), (9876543.21, "#,##0.0", "9,876,543.2"), (0.0725, "0.0%", "7.2%"), (36.6, '0.0" degC"', "36.6 degC"), (-88.0, "0;0-", "88-"), (0.0, '0;-0;"calm"', "calm"),
+        (45000.0, "d mmm yyyy", "15 Mar 2023"), (45000.75, "hh:mm", "18:00"), (0.25, "?/4", "1/4"), (3.75, "# ?/?", "3 3/4"), (0.3, "??/??", "3/10"), (0.2 + 0.4, "General", "0.6"), (-12.0, "[Green]0;[Magenta]-0", "-12"),
+        (17.0, '[<20]0" low";0" high"', "17 low"), (21.0, '[<20]0" low";0" high"', "21 high"), (4.5, "[$£-809]0.00", "£4.50"), (8.0, "0.###", "8"),
     ],
 )
 def test_number_formats(value, code, want):
@@ -48,7 +48,7 @@ def test_number_formats(value, code, want):
 
 
 def test_colours_come_with_the_section():
-    assert format_with(-5.0, "0;[Red]0") == ("5", "Red")
+    assert format_with(-31.0, "0;[Cyan]0") == ("31", "Cyan") and format_with(31.0, "0;[Cyan]0") == ("31", None)
 
 
 def test_general_text_and_serial_dates():

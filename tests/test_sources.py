@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import io
+import random
 import zipfile
 
 import pytest
@@ -10,40 +12,91 @@ from gridloom.sources import csv as C
 from gridloom.sources import ooxml as X
 
 
+FERRY = [["pier", "sails"], ["Nørre", "06:15"], ["Øst", "07:40"]]
+
+
+@pytest.mark.parametrize("mark", [",", ";", "\t", "|"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_of_each_mark_encoding_and_line_end(mark, encoding, end):
+    rows, meta = C.parse("".join(mark.join(r) + end for r in FERRY).encode(encoding))
+    assert rows == FERRY and meta.delimiter == mark and not meta.lossy
+
+
+@pytest.mark.parametrize(
+    ("text", "rows"),
+    [
+        ('pier,note\nA,"windy, ""very"""\n', [["pier", "note"], ["A", 'windy, "very"']]), ('p,q\n"upper\nlower",7\n', [["p", "q"], ["upper\nlower", "7"]]), ("p\nq,r,s\nt,u\n", [["p", "", ""], ["q", "r", "s"], ["t", "u", ""]]),
+        ("\np,q\n\n\nr,s\n;;\n", [["p", "q"], ["r", "s"], [";;", ""]]), ('p,q\nr,s\n""\n""\n', [["p", "q"], ["r", "s"]]), ('p\n""\nq\n', [["p"], [""], ["q"]]), ("solo\nduo\n", [["solo"], ["duo"]]), ('p,q\n"never closed,1\nr,s\n', [["p", "q"], ["never closed,1\nr,s\n", ""]]),
+    ],
+)
+def test_csv_rows(text, rows):
+    assert C.parse(text.encode())[0] == rows
+
+
 @pytest.mark.parametrize(
-    ("data", "rows"),
+    ("encoding", "text"),
     [
-        (b"a,b\n1,2\n", [["a", "b"], ["1", "2"]]), (b'a,"x ""y"" z"\n1,"two\nlines"\n', [["a", 'x "y" z'], ["1", "two\nlines"]]), (b"a,b\r\n1\n2,3,4\n", [["a", "b", ""], ["1", "", ""], ["2", "3", "4"]]), (b"a,b\n\n1,2\n,,\n\n", [["a", "b", ""], ["1", "2", ""], ["", "", ""]]),
-        (b"\xef\xbb\xbfa;b\n1;2\n", [["a", "b"], ["1", "2"]]), ("城市,金额\n北京,1\n".encode("gbk"), [["城市", "金额"], ["北京", "1"]]), (b"one\ntwo\n", [["one"], ["two"]]), (b"a\tb,c\n1\t2,3\n", [["a\tb", "c"], ["1\t2", "3"]]),
-        ("a,b\n1,2".encode("utf-16"), [["a", "b"], ["1", "2"]]), (b'a,b\n1,2\n""\n', [["a", "b"], ["1", "2"]]),
+        ("gb18030", "码头,开船,票价\n北岸码头,清晨六点,三十元\n南岸码头,中午十二点,四十元\n"), ("big5", "碼頭,開船,票價\n北岸碼頭,清晨六點,三十元\n南岸碼頭,中午十二點,四十元\n"), ("shift_jis", "桟橋,出航,運賃\nきたの桟橋,あさ六時,三百円\nみなみの桟橋,ひる十二時,四百円\n"),
+        ("euc_kr", "선착장,출항,요금\n북쪽 선착장,아침 여섯시,삼천원\n남쪽 선착장,점심 열두시,사천원\n"), ("windows-1252", "quai,départ,été\nNoël,première façade,où être\nCafé,âge,garçon\n"),
     ],
 )
-def test_csv_rows(data, rows):
-    assert C.parse(data)[0] == rows
+def test_csv_encodings_are_told_apart(encoding, text):
+    rows, meta = C.parse(text.encode(encoding))
+    assert meta.encoding == encoding and rows == [r.split(",") for r in text.split()] if " " not in text else rows[0] == text.split("\n")[0].split(",")
 
 
-@pytest.mark.parametrize(("data", "kind"), [(b"", "empty"), (b"  \n", "empty"), (b"a\x00b,c", "not_text"), (bytes(range(1, 9)) * 50, "not_text")])
-def test_csv_errors(data, kind):
+@pytest.mark.parametrize(("data", "kind"), [(b"", "empty"), (b" \r\n\t", "empty"), (b"pier\x00,q\n", "not_text"), (b"".join(bytes([k % 8 + 1, 65]) for k in range(400)), "not_text"), (b"\xef\xbb\xbf\xff\xff\xff", "undecodable")])
+def test_csv_errors(data, kind, spark, tmp_path):
     with pytest.raises(C.CsvError) as e:
         C.parse(data)
     assert e.value.kind == kind
+    (tmp_path / "x.csv").write_bytes(data)
+    # Spark's file scan passes over files of no bytes.
+    assert [r["error"] for r in C.read_csv_files(spark, str(tmp_path)).collect()] == [kind] * bool(data)
+    with pytest.raises(C.CsvError) as e:
+        C.read_csv(spark, str(tmp_path / "x.csv"))
+    assert e.value.kind == kind
 
 
-def test_csv_limits_and_meta():
-    rows, meta = C.parse(b"a;b\n1;2\n3;4\n", max_rows=2, max_cols=1)
-    assert rows == [["a"], ["1"]] and (meta.delimiter, meta.delimiter_source, meta.truncated_rows, meta.truncated_cols) == (";", "sniffed", True, True)
-
-
-def test_csv_readers_agree(spark, tmp_path):
-    lines = ['k,t,"n"'] + [f'{i},"x ""{i}"", y",{i * 2}' for i in range(3000)]
-    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    (tmp_path / "bad.csv").write_bytes(b"\0\1")
-    grid, header = C.read_csv(spark, str(tmp_path / "a.csv"), header=True)
-    a = {r[ROW]: [r["c0"], r["c1"], r["c2"]] for r in grid.collect()}
-    both = C.read_csv_files(spark, str(tmp_path)).collect()
-    b = {r[ROW]: list(r["fields"]) for r in both if r["error"] is None}
-    assert header == ["k", "t", "n"] and a == b and len(a) == 3001 and a[2000] == ["1999", 'x "1999", y', "3998"]
-    assert [r["error"] for r in both if r["error"]] == ["not_text"]
+def quays(seed: int, n: int, quoted: bool, mark: str = ",") -> str:
+    """Ragged lines, some blank, with quoted marks, quotes and line feeds if asked for."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        cells = [f"q{k}", *("".join(rng.choice("abc é漢") for _ in range(rng.randrange(8))) for _ in range(rng.choice([1, 2, 2, 2, 6 if k > n * 0.9 else 3])))]
+        if quoted and rng.random() < 0.4:
+            at = rng.randrange(len(cells))
+            cells[at] = '"' + cells[at] + rng.choice([mark, '""', "\n", "\r\n", '\n""\n', "line\n" * 40]) + '"'
+        out.append(mark.join(cells) + rng.choice(["\n", "\r\n"]) + ("\n" if rng.random() < 0.05 else ""))
+    return "".join(out) + ('""\n""\n' if quoted else "\n\n")
+
+
+@pytest.mark.parametrize(("quoted", "encoding", "mark", "split"), [(False, "utf-8-sig", ";", 2000), (True, "utf-8", ",", 700), (True, "gb18030", "\t", 3000), (True, "utf-16", ",", 10**8), (False, "utf-8", "|", 10**8)])
+def test_csv_in_splits_is_as_the_whole_file(spark, tmp_path, monkeypatch, quoted, encoding, mark, split):
+    """Rows wider than the head's, quoted line feeds over splits, blank lines: the same rows whatever the splits are."""
+    monkeypatch.setattr(C, "HEAD_BYTES", 1024 if encoding != "utf-16" else C.HEAD_BYTES)
+    text = quays(7, 400, quoted, mark) if encoding != "gb18030" else quays(7, 400, quoted, mark).replace("é", "岸")
+    path = tmp_path / "quays.csv"
+    path.write_bytes(text.encode(encoding))
+    want = C.parse(text.encode("utf-8"), mark)[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        grid, names = C.read_csv(spark, str(path), mark, header=True, physical=True)
+        got = sorted(grid.collect(), key=lambda r: r[ROW])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[ROW] for r in got] == list(range(len(want))) and [list(r[2:]) for r in got] == want
+    assert [r["_fields"] for r in got] == [len(x) for x in csv.reader(io.StringIO(text, newline=""), delimiter=mark) if x][: len(got)] or encoding == "utf-16"
+    assert [x for x in names if x] == [x for x in want[0] if x]
+
+
+def test_csv_limits_and_meta(spark, tmp_path):
+    rows, meta = C.parse(b"pier;deck\nA;1\nB;2\n", max_rows=2, max_cols=1)
+    assert rows == [["pier"], ["A"]] and (meta.delimiter, meta.delimiter_source, meta.truncated_rows, meta.truncated_cols) == (";", "sniffed", True, True)
+    (tmp_path / "wide.csv").write_text(",".join(map(str, range(C.MAX_COLS + 3))) + "\n")
+    r = C.read_csv_files(spark, str(tmp_path)).first()
+    assert len(r["fields"]) == C.MAX_COLS and r["truncated_cols"] and not r["truncated_rows"]
 
 
 def package(parts: dict[str, str]) -> bytes:
