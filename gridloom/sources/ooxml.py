@@ -163,7 +163,10 @@ def sheet_parts(pkg: Package) -> list[tuple[str, str]]:
 
 
 def workbook_cells(data: bytes) -> Iterator[dict]:
-    """``sheet, row, col, kind, raw, display, formula, style``; cached values, nothing is calculated."""
+    """``sheet, row, col, kind, raw, display, formula, style``; cached values, nothing is calculated.
+
+    A sheet of more than ``MAX_CELLS`` ends with a row of the kind ``truncated`` and no place.
+    """
     pkg = Package(data)
     shared = pkg.xml("xl/sharedStrings.xml")
     strings = [] if shared is None else ["".join(t.text or "" for t in every(si, "t")) for si in shared]
@@ -187,6 +190,8 @@ def workbook_cells(data: bytes) -> Iterator[dict]:
             code = looks[style]["code"] if style < len(looks) else None
             display = shown(kind, raw, code) if raw else ""
             yield {"sheet": name, "row": at[0], "col": at[1], "kind": kind, "raw": raw, "display": display, "formula": None if f is None else "=" + (f.text or ""), "style": style}
+        if count > MAX_CELLS:
+            yield {"sheet": name, "row": None, "col": None, "kind": "truncated", "raw": "", "display": "", "formula": None, "style": None}
 
 
 def workbook_layout(data: bytes) -> Iterator[dict]:
@@ -402,19 +407,24 @@ FACETS: dict[str, tuple[Callable[[bytes], Iterator[dict]], str]] = {
 
 
 def read_packages(spark: SparkSession, path: str, facet: str) -> DataFrame:
-    """One facet of all packages at a path: ``path``, the facet's columns, ``error``."""
+    """One facet of all packages at a path: ``file``, the facet's columns, ``error``."""
+    return parse_packages(files(spark, path), facet)
+
+
+def parse_packages(packages: DataFrame, facet: str) -> DataFrame:
+    """The same of packages in a table (``path, content``), one package after the other in each task."""
     parse, schema = FACETS[facet]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [{"path": name, **r, "error": None} for r in parse(data)]
+                    rows = [{"file": name, **r, "error": None} for r in parse(data)]
                 except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, StopIteration) as e:
-                    rows = [{"path": name, "error": f"{type(e).__name__}: {e}"}]
+                    rows = [{"file": name, "error": f"{type(e).__name__}: {e}"}]
                 for k in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=arrow)
 
-    full = f"path string, {schema}, error string"
+    full = f"file string, {schema}, error string"
     arrow = to_arrow_schema(T._parse_datatype_string(full))
-    return files(spark, path).mapInArrow(run, full)
+    return packages.select("path", "content").mapInArrow(run, full)

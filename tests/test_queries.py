@@ -6,13 +6,13 @@ import oracle
 import pytest
 
 import __spark_entry__
-from gridloom import queries as Q
 from gridloom.streaming.events import windowed
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "agg_sumifs", "agg_countif", "agg_subtotal_4", "agg_error_value", "math_divide", "math_round", "math_gcd", "text_proper", "text_find", "text_text_percent", "logic_switch", "info_iserr", "date_eomonth", "date_date", "fin_npv", "eng_dec2hex", "grid_filter_conjunction", "grid_filter_then_sort",
     "grid_distinct", "grid_find", "grid_gather", "format_color_scale", "lookup_vlookup", "lookup_xlookup", "lookup_hlookup", "lookup_approximate", "lookup_match_unsorted", "win_rank_grouped", "win_mode", "win_running_total", "dyn_sequence", "text_textjoin_column", "stream_window", "workbook_evaluate",
+    "math_long_formula", "info_type", "date_second", "grid_sort_whole", "grid_find_document", "formula_vlookup", "formula_xlookup", "formula_lookup_last_of_equals", "formula_match", "formula_rank", "formula_sort_unique_filter", "formula_rand", "csv_ragged", "csv_quoted_lines", "csv_whole_files", "xlsx_cells", "docx_blocks", "pptx_shapes",
 ]
 
 
@@ -23,7 +23,7 @@ def con():
 
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_agrees_with_its_sql(spark, con, name):
-    got, want = Q.QUERIES[name](spark, SF).toPandas(), con.execute(Q.ORACLES[name]).df()
+    got, want = __spark_entry__.queries()[name](spark, SF).toPandas(), con.execute(__spark_entry__.oracle_sql()[name]).df()
     assert oracle.difference(got, want) is None
 
 
