@@ -7,9 +7,11 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import common, components, embedding_dedup, mixing, ngram_jaccard, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
@@ -143,6 +145,39 @@ def test_rates_meet_the_targets_and_are_not_negative(spark):
     assert np.mean([(r["p_q1t1"] > 0.5) == (r["doc_id"] % 4 == 0) for r in rows if r["doc_id"] < 400]) > 0.95
 
 
+def test_posteriors_and_rates_equal_brute_force(spark):
+    """Posteriors from the words anew; expected totals as near the targets as plain projected gradient comes, also where they cannot be met."""
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice(("red", "blue", "sun") if i % 4 == 0 else ("moon", "tide", "sun", "oar")) + rng.choice(["", "s", "!"]) for _ in range(rng.randint(0, 40))) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 4 == 0, i % 7 == 0) for i in range(0, 80, 2)], "doc_id long, quality boolean, toxic boolean").selectExpr("doc_id", "int(quality) quality", "int(toxic) toxic")
+    model = mixing.fit_domains(mixing.labelled(df, marks))
+    table = mixing.features(df, model, [F.col("doc_id")])
+    rows = {r["doc_id"]: r for r in table.collect()}
+    vocabulary = sorted({w for t in texts.values() for w in t.split()})
+    buckets = {r["w"]: (r["a"], r["b"]) for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", mixing.word_bucket(F.col("w")).alias("a"), mixing.last_bucket(F.col("w")).alias("b")).collect()}
+    for i, t in texts.items():
+        own = t.split()
+        share = min(1, mixing.EVIDENCE / max(1, len(own)))
+        z = model.priors.copy()
+        for w in own:
+            z[1:] += share * (model.ratios[:, buckets[w][0]] + model.ratios[:, buckets[w][1]])
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert rows[i]["n_tokens"] == len(own) and [rows[i][f"p_{d}"] for d in model.domains] == pytest.approx(want.tolist(), abs=1e-9)
+    p = np.array([[rows[i][f"p_{d}"] for d in model.domains] for i in texts])
+    t = np.array([rows[i]["n_tokens"] for i in texts], float)
+    there = dict(zip(model.domains, t @ p, strict=True))
+    for weights in ({d: there[d] * (1.4 if k % 2 else 0.8) for k, d in enumerate(model.domains)}, there | {model.domains[0]: 0.0}):
+        target = mixing.shares_of(model.domains, weights) * t.sum()
+        made = np.array([r["rate"] for r in table.select("doc_id", mixing.fit_rates(table, model.domains, weights).alias("rate")).orderBy("doc_id").collect()])
+        a, r = (p * t[:, None]).T, np.ones(len(t))
+        m = mixing.misfit_weights(a @ p)
+        misfit = lambda x: float((a @ x - target) @ m @ (a @ x - target))  # noqa: B023, E731
+        for _ in range(20_000):
+            r = np.maximum(0, r - p @ (m @ (a @ r - target)))
+        assert made.min() >= 0 and misfit(made) <= misfit(r) + 0.02 * misfit(np.ones(len(t))) and np.abs(a @ made - a @ r).max() <= 0.05 * t.sum()
+
+
 def test_mixing_of_odd_tables(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(docs, none).collect()
@@ -285,6 +320,36 @@ def test_best_fit_is_close_to_the_bound_and_places_every_piece_once():
     assert len(used) <= 1.01 * -(-sum(k * v for k, v in counts.items()) // 2048) + 1
 
 
+def test_best_fit_is_as_good_as_one_piece_at_a_time():
+    """Against plain best fit, longest first, with many pieces of one length and gaps of one size."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = [rng.choice([64, 64, 33, 20, 21, 22, rng.randint(1, 64)]) for _ in range(600)]
+        gaps: list[int] = []
+        for n in sorted(sizes, reverse=True):
+            fitting = [g for g in gaps if g >= n]
+            if fitting:
+                gaps.remove(min(fitting))
+                gaps.append(min(fitting) - n)
+            else:
+                gaps.append(64 - n)
+        plan = packing.best_fit(dict(Counter(sizes)), 64)
+        opened = int((plan[:, 3] + plan[:, 2]).max())
+        assert -(-sum(sizes) // 64) <= opened <= len(gaps) + 2
+
+
+def test_ids_of_the_faster_library_are_the_named_ones():
+    """Over all documents of a test table."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for t, ids in zip(texts, named.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.encode(t) == np.array(ids.ids, "<u4").tobytes()
+
+
 # Near duplicates
 
 
@@ -438,6 +503,26 @@ def test_shards_are_even_gapless_and_proportional(docs, empty, spark):
     assert (mix.max(axis=1) - mix.min(axis=1)).max() <= 2
 
 
+def test_shards_equal_brute_force(spark):
+    """Ranks within sources, their interleaving and the cut, anew, with ties, repeats and null sources."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, k, k, 7]), rng.choice([None, "hot", "hot", f"s{k % 4}"]), rng.choice([None, "", "same", f"text {k} é"])) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = sorted((r["position"], r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.stratified_shards(df, n_shards=7, range_rows=9).collect())
+    keyed = df.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).withColumn("size", (F.octet_length("t") + 16).cast("long")).withColumn("crc", F.crc32(F.col("t").cast("binary")))
+    keyed = keyed.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", "crc", "size"), 1)).withColumn("key", F.xxhash64("source")).collect()
+    groups: dict = {}
+    tie = lambda r: (r["h"], (0, 0) if r["doc_id"] is None else (1, r["doc_id"]), r["crc"], r["size"])
+    for r in keyed:
+        groups.setdefault(r["key"], []).append(r)
+    placed = [((2 * k + 1) / (2 * len(g)), key, tie(r), r) for key, g in groups.items() for k, r in enumerate(sorted(g, key=tie))]
+    want, n = [], len(rows)
+    for at, (_, _, _, r) in enumerate(sorted(placed, key=lambda x: x[:3])):
+        shard = at * 7 // n
+        want.append((at, r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["size"], r["crc"], shard, at - (shard * n + 6) // 7))
+    assert got == want
+
+
 # Embeddings
 
 
