@@ -116,9 +116,9 @@ def rels(*items: tuple[str, str, str]) -> str:
 
 CHART = '<c:chartSpace xmlns:c="c" xmlns:a="a"><c:chart><c:title><a:t>Sales</a:t></c:title><c:plotArea><c:barChart><c:ser><c:cat><c:strCache><c:pt><c:v>Jan</c:v></c:pt><c:pt><c:v>Feb</c:v></c:pt></c:strCache></c:cat><c:val><c:numCache><c:pt><c:v>10</c:v></c:pt><c:pt><c:v>20</c:v></c:pt></c:numCache></c:val></c:ser></c:barChart></c:plotArea></c:chart></c:chartSpace>'
 WORKBOOK = package({
-    "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="数据" r:id="r1"/></sheets></workbook>',
+    "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="Kai" r:id="r1"/></sheets></workbook>',
     "xl/_rels/workbook.xml.rels": rels(("r1", "worksheet", "worksheets/sheet1.xml")),
-    "xl/sharedStrings.xml": "<sst><si><t>商品</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>",
+    "xl/sharedStrings.xml": "<sst><si><t>boat</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>",
     "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy-mm-dd"/></numFmts><fonts><font/></fonts><fills><fill/></fills><borders><border/></borders><cellXfs><xf numFmtId="0"/><xf numFmtId="10"/><xf numFmtId="164"/></cellXfs></styleSheet>',
     "xl/worksheets/sheet1.xml": f'<worksheet xmlns:r="{REL}"><cols><col min="1" max="2" width="12"/></cols><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" s="1"><v>0.25</v></c><c r="B2" s="2"><v>43831</v></c><c r="C2" t="b"><v>1</v></c><c r="D2"><f>A2*2</f><v>0.5</v></c></row></sheetData><mergeCells><mergeCell ref="A3:B3"/></mergeCells><conditionalFormatting sqref="A1:A9"><cfRule type="cellIs" operator="greaterThan"><formula>5</formula></cfRule></conditionalFormatting><drawing r:id="d1"/></worksheet>',
     "xl/worksheets/_rels/sheet1.xml.rels": rels(("d1", "drawing", "../drawings/drawing1.xml")),
@@ -127,7 +127,7 @@ WORKBOOK = package({
     "xl/charts/chart1.xml": CHART,
 })
 DOCUMENT = package({
-    "word/document.xml": f'<w:document xmlns:w="w" xmlns:r="{REL}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Title</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>one</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:hyperlink r:id="h1"><w:r><w:t>two</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>城市</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2189</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
+    "word/document.xml": f'<w:document xmlns:w="w" xmlns:r="{REL}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Title</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>one</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:hyperlink r:id="h1"><w:r><w:t>two</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>pier</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>4410</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
     "word/_rels/document.xml.rels": f'<Relationships><Relationship Id="h1" Type="{REL}/hyperlink" Target="https://example.com/" TargetMode="External"/><Relationship Id="n1" Type="{REL}/footnotes" Target="footnotes.xml"/><Relationship Id="c1" Type="{REL}/comments" Target="comments.xml"/></Relationships>',
     "word/footnotes.xml": '<w:footnotes xmlns:w="w"><w:footnote w:id="0"/><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>',
     "word/comments.xml": '<w:comments xmlns:w="w"><w:comment w:id="0" w:author="Ann"><w:p><w:r><w:t>why?</w:t></w:r></w:p></w:comment></w:comments>',
@@ -142,8 +142,8 @@ SLIDES = package({
 
 def test_workbook_facets():
     cells = {(c["row"], c["col"]): c for c in X.workbook_cells(WORKBOOK)}
-    assert [cells[0, 0]["display"], cells[0, 1]["display"], cells[1, 0]["display"], cells[1, 1]["display"], cells[1, 2]["display"]] == ["商品", "ab", "25.00%", "2020-01-01", "TRUE"]
-    assert cells[1, 3]["formula"] == "=A2*2" and cells[1, 3]["display"] == "0.5" and cells[0, 0]["sheet"] == "数据"
+    assert [cells[0, 0]["display"], cells[0, 1]["display"], cells[1, 0]["display"], cells[1, 1]["display"], cells[1, 2]["display"]] == ["boat", "ab", "25.00%", "2020-01-01", "TRUE"]
+    assert cells[1, 3]["formula"] == "=A2*2" and cells[1, 3]["display"] == "0.5" and cells[0, 0]["sheet"] == "Kai"
     layout = {r["facet"]: (r["ref"], r["value"]) for r in X.workbook_layout(WORKBOOK)}
     assert layout["merge"] == ("A3:B3", None) and layout["width"] == ("1:2", "12") and layout["conditional"] == ("A1:A9", "cellIs:greaterThan:5")
     assert layout["chart"] == ("2,1-6,4", "bar|Sales|Jan,Feb|10,20")
@@ -151,7 +151,7 @@ def test_workbook_facets():
 
 def test_document_blocks():
     blocks = list(X.document_blocks(DOCUMENT))
-    assert [(b["path"], b["text"], b["list"]) for b in blocks if b["section"] == "body"] == [("0", "Title", None), ("1", "one", "3:0:1"), ("2", "two", "3:0:2"), ("3/0,0/0", "城市", None), ("3/0,1/0", "2189", None)]
+    assert [(b["path"], b["text"], b["list"]) for b in blocks if b["section"] == "body"] == [("0", "Title", None), ("1", "one", "3:0:1"), ("2", "two", "3:0:2"), ("3/0,0/0", "pier", None), ("3/0,1/0", "4410", None)]
     assert blocks[0]["style"] == "Heading1" and blocks[0]["runs"][0]["bold"] and blocks[2]["runs"][1]["link"] == "https://example.com/" and blocks[2]["runs"][0]["revision"] == "del"
     assert [b["text"] for b in blocks if b["kind"] == "note"] == ["1. note", "Ann:why?"]
 
