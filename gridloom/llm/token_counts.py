@@ -34,7 +34,7 @@ from gridloom.llm.common import documents, map_rows, text_or_empty
 
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
-#: Units (most of them words) whose tables a worker keeps.
+#: Units (most of them words) whose tables a worker keeps, twice over.
 CACHE = 500_000
 #: Longer units' tables are not kept; they are computed again where they are needed.
 LONG = 64
@@ -177,20 +177,29 @@ def fitting_prefix(deltas: bytes, budget: int) -> int:
 
 
 class _Units(dict):
-    """Units' deltas; a new unit's table is computed, and kept, when it is first asked for."""
+    """Units' deltas; a new unit's table is computed, and kept, when it is first asked for.
+
+    Of a full cache one more is kept while the next one fills, from which units that
+    are asked for again move on.
+    """
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.old = counter, {}
 
     def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
+        if found is None:
+            table = self.counter.table(unit)
+            if len(unit) > LONG:
+                deltas = np.diff(table)
+                assert np.abs(deltas).max() < 128, "a change of the count that a byte cannot hold"
+                return deltas.astype(np.int8).tobytes()
+            found = bytes([b - a & 255 for a, b in pairwise(table)])  # at most four for a character, and never below zero in all
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        deltas = np.diff(self.counter.table(unit))
-        assert np.abs(deltas).max() < 128, "a change of the count that a byte cannot hold"
-        found = deltas.astype(np.int8).tobytes()
-        if len(unit) <= LONG:
-            self[unit] = found
+        self[unit] = found
         return found
 
 
