@@ -61,7 +61,7 @@ def _quoted(s: SparkSession, d: str) -> DataFrame:
     return read_csv(s, lines_of(table(s, d, "part"), line, "p_partkey"))[0]
 
 
-@query("csv_whole_files", "SELECT count(*) AS files, sum(n) AS rows, 'not_text' AS error FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
+@query("csv_whole_files", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, 'not_text' AS error FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
 def _files(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s)
     made = table(s, d, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("value"), F.col("n_regionkey").alias("region"))
