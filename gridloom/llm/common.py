@@ -37,6 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that is not taken; what is written there is removed like scratch tables."""
+    path = f"{scratch_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    _scratch.append((weakref.ref(spark), path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -44,10 +51,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     is removed when the Python process ends or by :func:`drop_scratch`.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     free_shuffles(spark)
     df.write.parquet(path)
-    _scratch.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
