@@ -108,7 +108,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
 _BLOCKS = "conv long, depth long, before long, start binary, seq binary, words binary, node binary, next binary"
 
 
-def blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
+def blocks(rows: Iterator[tuple], block: int) -> Iterator[tuple]:
     """Sorted ``conv, digest, words`` rows cut into blocks; a null digest begins a conversation.
 
     A block's ``depth`` and ``before`` are the turns and words before it, ``node`` is its
@@ -122,9 +122,9 @@ def blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
             conv, depth, before, start, seq, counts, node = own, 0, 0, ROOT, bytearray(), [], ROOT
             continue
         after = following(node, digest)
-        if len(counts) == BLOCK:
+        if len(counts) == block:
             yield (conv, depth, before, start, bytes(seq), np.array(counts, "<i8").tobytes(), node, after)
-            depth, before, start, seq, counts = depth + BLOCK, before + sum(counts), node, bytearray(), []
+            depth, before, start, seq, counts = depth + block, before + sum(counts), node, bytearray(), []
         seq += digest
         counts.append(words)
         node = after
@@ -168,12 +168,12 @@ def parting_nodes(distinct: DataFrame) -> DataFrame:
     return found.where("edge = 0").select("node").unionByName(across)
 
 
-def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
+def pieces(rows: Iterator[tuple], piece: int) -> Iterator[tuple]:
     """Sorted ``node, conv`` rows as comma-joined pieces: ``node, first, n, text``."""
     node, out, n = None, [], 0
     for own, conv in rows:
         text = str(conv)
-        if own != node or n > PIECE:
+        if own != node or n > piece:
             if out:
                 yield (node, first, len(out), ",".join(out))
             node, first, out, n = own, conv, [], 0
@@ -197,10 +197,10 @@ def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield (node, rep, count, sha.hexdigest())
 
 
-def members(ends: DataFrame) -> DataFrame:
+def members(ends: DataFrame, piece: int = PIECE) -> DataFrame:
     """``node, rep, n_ends, ends_sha256`` of the conversations that end at each node."""
     ordered = ends.repartitionByRange(partitions(ends.sparkSession), "node", "conv").sortWithinPartitions("node", "conv")
-    parts = streamed(ordered.select("node", "conv"), pieces, "node binary, first long, n long, text string")
+    parts = streamed(ordered.select("node", "conv"), lambda rows: pieces(rows, piece), "node binary, first long, n long, text string")
     return streamed(parts.repartition("node").sortWithinPartitions("node", "first"), digests, "node binary, rep long, n_ends long, ends_sha256 string")
 
 
@@ -221,14 +221,14 @@ def steps(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield (rep, n_ends, depth + k, names[k], names[k + 1] if k < len(counts) else after, n, total)
 
 
-def trie(sequences: DataFrame) -> DataFrame:
+def trie(sequences: DataFrame, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """All nodes of ``conv, part, pos, digest, words`` sequences (see :func:`rebuilt`).
 
     ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``.
     """
     ordered = sequences.repartition("conv").sortWithinPartitions("conv", "part", "pos")
-    cut = materialize(streamed(ordered.select("conv", "digest", "words"), blocks, _BLOCKS), "trie-blocks")
-    ends = materialize(members(cut.where("next IS NULL").select("node", "conv")), "trie-ends")
+    cut = materialize(streamed(ordered.select("conv", "digest", "words"), lambda rows: blocks(rows, block), _BLOCKS), "trie-blocks")
+    ends = materialize(members(cut.where("next IS NULL").select("node", "conv"), piece), "trie-ends")
 
     ways = cut.join(ends.select(F.col("rep").alias("conv"), "n_ends"), "conv").withColumnRenamed("conv", "rep")
     forks = parting_nodes(ways.select("start", "seq").distinct())
