@@ -52,6 +52,14 @@ def target(url: Column) -> Column:
     return F.when(url.rlike(r"[\x00-\x20\x7F]"), F.array_join(coded, "")).otherwise(url)
 
 
+def _store(rows: DataFrame, path: str) -> None:
+    """Each distinct payload once; its plan, and with it the shuffle's files, can go when it is written."""
+    seen = F.struct(F.octet_length("__payload").alias("n"), F.sha1("__payload").alias("d"))
+    store = rows.withColumn("__seen", seen).groupBy("__address").agg(F.first("__payload").alias("payload"), F.min("__seen").alias("__low"), F.max("__seen").alias("__high"))
+    whole = F.when(F.col("__low") == F.col("__high"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads of one SHA-256")).cast("binary"))
+    store.select(F.col("__address").alias("address"), whole.alias("payload")).write.option("compression", "zstd").parquet(path)
+
+
 def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> None:
     """Archives each row of ``df`` under ``path``, which driver and executors share."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -59,10 +67,7 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = rows.withColumn("__address", F.unhex(F.sha2("__payload", 256)))
 
     sha1, size = F.sha1("__payload"), F.octet_length("__payload")
-    store = rows.withColumn("__seen", F.struct(size.alias("n"), sha1.alias("d"))).groupBy("__address").agg(F.first("__payload").alias("payload"), F.min("__seen").alias("__low"), F.max("__seen").alias("__high"))
-    whole = F.when(F.col("__low") == F.col("__high"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads of one SHA-256")).cast("binary"))
-    store.select(F.col("__address").alias("address"), whole.alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-
+    _store(rows, f"{path}/payloads")
     index = materialize(rows.select("__id", "__url", "__address", size.cast("long").alias("__n"), sha1.alias("__sha1"), F.monotonically_increasing_id().alias("__at")), "warc-index")
     last = F.max(F.struct(F.col("__id").alias("id"), F.col("__at").alias("at"))).alias("__last")
     shared = index.where(F.col("__n") >= revisit_bytes).groupBy("__address").agg(last, F.count("*").alias("__copies")).where("__copies > 1")
@@ -100,18 +105,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     first = F.locate(END * 2, head)
     parsed = parsed.withColumn("__http", F.octet_length("header") - F.octet_length(F.left(head, first + 3)))
 
-    full = parsed.join(payloads, "address", "left")
+    # What a revisit refers to is joined while rows are narrow.
+    responses = parsed.where("record_type = 'response'").select(F.col("record_id").alias("__refers"), F.col("source_id").alias("refers_to"), F.lit(True).alias("__there"))
+    linked = parsed.join(responses, "__refers", "left")
+    lost = F.col("__refers").isNotNull() & F.col("__there").isNull()
+    linked = linked.withColumn("refers_to", F.when(lost, F.raise_error(F.concat(F.lit("no response "), F.col("__refers"))).cast("string")).otherwise(F.col("refers_to")))
+
+    full = linked.join(payloads, "address", "left")
     in_block = F.when(F.col("record_type") == "revisit", 0).otherwise(F.octet_length("payload"))
     right = (F.concat(F.lit("sha1:"), F.sha1("payload")) == F.col("__digest")) & (F.col("__http") + in_block == F.col("__length").cast("long"))
     full = full.withColumn("payload", F.when(F.coalesce(right, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("not the payload of "), F.col("record_id"))).cast("binary")))
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    full = full.withColumn("record", F.concat("header", body, F.lit((END * 2).encode())))
-
-    responses = parsed.where("record_type = 'response'").select(F.col("record_id").alias("__refers"), F.col("source_id").alias("refers_to"), F.lit(True).alias("__there"))
-    full = full.join(responses, "__refers", "left")
-    lost = F.col("__refers").isNotNull() & F.col("__there").isNull()
-    refers = F.when(lost, F.raise_error(F.concat(F.lit("no response "), F.col("__refers")))).otherwise(F.col("refers_to"))
-    return full.select("source_id", "record_id", "record_type", "url", refers.cast("string").alias("refers_to"), "header", "payload", "record")
+    return full.select("source_id", "record_id", "record_type", "url", "refers_to", "header", "payload", F.concat("header", body, F.lit((END * 2).encode())).alias("record"))
 
 
 def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
