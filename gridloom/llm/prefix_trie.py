@@ -241,7 +241,7 @@ def trie(sequences: DataFrame, block: int = BLOCK, piece: int = PIECE) -> DataFr
     on_way = all_steps.join(points, "node", "left_semi")
     on_way = materialize(on_way.withColumn("above", F.lag("total", 1, 0).over(down)).withColumn("up_depth", F.lag("depth", 1, -1).over(down)), "trie-ways")
     children = on_way.groupBy("node", "next").agg(F.min("rep").alias("rep"), F.sum("n_ends").alias("n"))
-    nodes = children.groupBy("node").agg(F.min("rep").alias("owner"), F.sum("n").alias("n_convs"), F.count("next").alias("n_children"))
+    nodes = materialize(children.groupBy("node").agg(F.min("rep").alias("owner"), F.sum("n").alias("n_convs"), F.count("next").alias("n_children")), "trie-nodes")
     met = on_way.join(nodes, "node")
     owned = F.col("rep") == F.col("owner")
     met = met.withColumn("gain", F.when(owned, (F.col("n_convs") - 1) * (F.col("total") - F.col("above"))).otherwise(0))
