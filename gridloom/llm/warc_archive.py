@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, scratch_folder
+from gridloom.llm.common import free_shuffles, materialize, scratch_folder
 
 REVISIT_BYTES = 1000
 #: Fixed values of the record format.
@@ -67,9 +67,9 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = rows.withColumn("__address", F.unhex(F.sha2("__payload", 256)))
 
     sha1, size = F.sha1("__payload"), F.octet_length("__payload")
-    _store(rows, f"{path}/payloads")
     index = materialize(rows.select("__id", "__url", "__address", size.cast("long").alias("__n"), sha1.alias("__sha1"), F.monotonically_increasing_id().alias("__at")), "warc-index")
     last = F.max(F.struct(F.col("__id").alias("id"), F.col("__at").alias("at"))).alias("__last")
+    _store(rows, f"{path}/payloads")
     shared = index.where(F.col("__n") >= revisit_bytes).groupBy("__address").agg(last, F.count("*").alias("__copies")).where("__copies > 1")
     records = index.join(shared, "__address", "left")
     again = F.col("__last").isNotNull() & (F.col("__last.at") != F.col("__at"))
@@ -82,6 +82,7 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(f"Content-Type: application/http; msgtype=response{END}"), line("Content-Length", block.cast("string")), F.lit(END),
     )
     records.select(F.concat(header, http).cast("binary").alias("header"), F.col("__address").alias("address")).write.option("compression", "zstd").parquet(f"{path}/records")
+    free_shuffles(df.sparkSession)
 
 
 def field(head: Column, name: str) -> Column:
