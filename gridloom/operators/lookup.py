@@ -57,15 +57,13 @@ def ranges_of(df: DataFrame, column: str) -> list:
 
 
 def range_of(col: Column, cuts: list) -> Column:
-    """How many cuts are at most the value, found by halving; 0 for nulls."""
-
-    def halved(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(cuts[mid]), halved(mid + 1, hi)).otherwise(halved(lo, mid))
-
-    return halved(0, len(cuts))
+    """How many cuts are at most the value, found by halving in an array of them; 0 for nulls."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    held = F.lit(cuts)
+    at_most = lambda n: F.coalesce(F.get(held, n - 1) <= col, F.lit(False))
+    return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(at_most(low + step), low + step).otherwise(low))
 
 
 def before_range(counts: DataFrame, keys: list[str], n: str, alias: str) -> DataFrame:

@@ -674,14 +674,25 @@ def numeric(x: Typed) -> Column:
     return x.col if x.kind == "number" else F.lit(None).cast("double")
 
 
-def aggregate(name: str, f: Callable[[Column], Column], empty: float | str) -> None:
-    """Of one column; ``empty`` is the result without numbers: a value or an error."""
+def some(op: Callable[[Column, Column], Column]) -> Callable[[list[Column]], Column]:
+    """Folds what is not null."""
+    return _reduce(lambda a, b: F.coalesce(op(a, b), a, b))
+
+
+def aggregate(name: str, f: Callable[[Column], Column], empty: float | str, joined: Callable[[list[Column]], Column] | None = None) -> None:
+    """Of columns; ``empty`` is the result without numbers: a value or an error.
+
+    ``joined`` makes one of several columns' results; a constant is a column of one cell.
+    """
 
     def call(c: Compiler, *args):
         given, err = whole_column(c, args)
-        if len(given) != 1:
+        if len(given) == 1 and not isinstance(args[0], Const):
+            out = f(numeric(given[0]))
+        elif joined is None or not given:
             raise Unsupported(f"{name} of several columns")
-        out = f(numeric(given[0]))
+        else:
+            out = joined([(numeric(g), isinstance(a, Const)) for g, a in zip(given, args, strict=True)])
         if isinstance(empty, str):
             return finite(Typed("number", out, first_error(err, code(out.isNull(), empty))))
         return finite(Typed("number", F.coalesce(out, F.lit(empty)), err))
@@ -689,11 +700,42 @@ def aggregate(name: str, f: Callable[[Column], Column], empty: float | str) -> N
     AGGREGATES[name] = call
 
 
-for _n, _f, _e in (
-    ("SUM", F.sum, 0.0), ("PRODUCT", F.product, 0.0), ("SUMSQ", lambda x: F.sum(x * x), 0.0), ("AVERAGE", F.avg, "#DIV/0!"), ("AVERAGEA", F.avg, "#DIV/0!"), ("MAX", F.max, 0.0), ("MIN", F.min, 0.0),
-    ("MEDIAN", F.median, "#NUM!"), ("STDEV", F.stddev_samp, "#DIV/0!"), ("STDEVP", F.stddev_pop, "#DIV/0!"), ("VAR", F.var_samp, "#DIV/0!"), ("VARP", F.var_pop, "#DIV/0!"),
+def each(f: Callable[[Column], Column], op: Callable[[Column, Column], Column], one: Callable[[Column], Column] = lambda x: x):
+    """Results of columns, folded; ``one`` is the result of a single cell."""
+    return lambda given: some(op)([one(x) if const else f(x) for x, const in given])
+
+
+def spread(root: bool, sample: bool):
+    """Variance over several columns from each one's count, mean and squares."""
+
+    def call(given: list) -> Column:
+        ns = [x.isNotNull().cast("double") if const else F.count(x).cast("double") for x, const in given]
+        means = [F.coalesce(x if const else F.avg(x), F.lit(0.0)) for x, const in given]
+        inner = [F.lit(0.0) if const else F.coalesce(F.var_pop(x), F.lit(0.0)) for x, const in given]
+        add = _reduce(lambda a, b: a + b)
+        n = add(ns)
+        mean = F.try_divide(add([k * m for k, m in zip(ns, means, strict=True)]), n)
+        squares = add([k * (v + (m - mean) * (m - mean)) for k, v, m in zip(ns, inner, means, strict=True)])
+        out = F.try_divide(squares, n - 1 if sample else n)
+        return F.sqrt(out) if root else out
+
+    return call
+
+
+def mean_of(given: list) -> Column:
+    add = _reduce(lambda a, b: a + b)
+    total = add([F.coalesce(x if const else F.sum(x), F.lit(0.0)) for x, const in given])
+    return F.try_divide(total, add([x.isNotNull().cast("double") if const else F.count(x).cast("double") for x, const in given]))
+
+
+_plus, _times = lambda a, b: a + b, lambda a, b: a * b
+_squares = lambda x: F.sum(x * x)
+for _n, _f, _e, _j in (
+    ("SUM", F.sum, 0.0, each(F.sum, _plus)), ("PRODUCT", F.product, 0.0, each(F.product, _times)), ("SUMSQ", _squares, 0.0, each(_squares, _plus, lambda x: x * x)), ("AVERAGE", F.avg, "#DIV/0!", mean_of), ("AVERAGEA", F.avg, "#DIV/0!", mean_of),
+    ("MAX", F.max, 0.0, each(F.max, F.greatest)), ("MIN", F.min, 0.0, each(F.min, F.least)), ("MEDIAN", F.median, "#NUM!", None),
+    ("STDEV", F.stddev_samp, "#DIV/0!", spread(True, True)), ("STDEVP", F.stddev_pop, "#DIV/0!", spread(True, False)), ("VAR", F.var_samp, "#DIV/0!", spread(False, True)), ("VARP", F.var_pop, "#DIV/0!", spread(False, False)),
 ):
-    aggregate(_n, _f, _e)
+    aggregate(_n, _f, _e, _j)
 
 
 def counting(f: Callable[[Typed, Column], Column]):

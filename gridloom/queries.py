@@ -350,7 +350,7 @@ query("lookup_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1
 
 
 def tables_of(s: SparkSession, d: str) -> dict[str, Table]:
-    keys = {"customer": "c_custkey", "nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey"}
+    keys = {"customer": "c_custkey", "nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
     return {name: Table(table(s, d, name), key) for name, key in keys.items()}
 
 
@@ -374,6 +374,35 @@ beyond("formula_row_column", "part", "p_partkey", "ROW()*10+COLUMN(part.p_brand)
 beyond("formula_npv", "nation", "n_nationkey", "NPV(0.1,nation.n_regionkey)", "SELECT n_nationkey, round((SELECT sum(n_regionkey / pow(1.1, n_nationkey + 1)) FROM nation), 6) AS result FROM nation", digits=6)
 
 
+# Criteria that vary by row, aggregates beside row values, computed places
+
+beyond("formula_sumif_key", "customer", "c_custkey", "SUMIF(orders.o_custkey,c_custkey,orders.o_totalprice)+COUNTIF(orders.o_custkey,c_custkey*2)", "SELECT c_custkey, round(coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 0) + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey * 2), 2) AS result FROM customer", digits=2)
+beyond("formula_countif_less", "customer", "c_custkey", 'COUNTIF(orders.o_totalprice,"<"&c_acctbal*30)', "SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_totalprice < c_acctbal * 30) AS DOUBLE) AS result FROM customer")
+beyond("formula_sumifs_two", "supplier", "s_suppkey", 'SUMIFS(orders.o_totalprice,orders.o_custkey,">"&s_suppkey*3,orders.o_totalprice,"<="&s_acctbal*40)', "SELECT s_suppkey, round(coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_custkey > s_suppkey * 3 AND o_totalprice <= s_acctbal * 40), 0), 2) AS result FROM supplier", digits=2)
+beyond("formula_averageifs_key", "customer", "c_custkey", 'AVERAGEIFS(orders.o_totalprice,orders.o_custkey,c_custkey,orders.o_orderstatus,"F",orders.o_totalprice,">="&c_acctbal)', "SELECT c_custkey, round((SELECT avg(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice >= c_acctbal), 4) AS result FROM customer", digits=4)
+beyond("formula_maxifs_not", "nation", "n_nationkey", 'MAXIFS(supplier.s_acctbal,supplier.s_nationkey,"<>"&n_nationkey)-MINIFS(supplier.s_acctbal,supplier.s_nationkey,n_nationkey)', "SELECT n_nationkey, round(coalesce((SELECT max(s_acctbal) FROM supplier WHERE s_nationkey <> n_nationkey), 0) - coalesce((SELECT min(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey), 0), 4) AS result FROM nation", digits=4)
+beyond("formula_countif_text", "nation", "n_nationkey", 'COUNTIF(customer.c_mktsegment,"*"&LEFT(n_name,1)&"*")+100*COUNTIF(customer.c_mktsegment,">="&n_name)', "SELECT n_nationkey, CAST((SELECT count(*) FROM customer WHERE contains(lower(c_mktsegment), lower(left(n_name, 1)))) + 100 * (SELECT count(*) FROM customer WHERE lower(c_mktsegment) >= lower(n_name)) AS DOUBLE) AS result FROM nation")
+beyond("formula_share", "orders", "o_orderkey", 'o_totalprice/SUM(o_totalprice)*100+COUNTIF(o_orderstatus,"F")/COUNTA(o_orderstatus)', "SELECT o_orderkey, round(o_totalprice / (sum(o_totalprice) OVER ()) * 100 + count_if(o_orderstatus = 'F') OVER () / CAST(count(o_orderstatus) OVER () AS DOUBLE), 9) AS result FROM orders", digits=9)
+beyond("formula_zscore", "lineitem", "l_orderkey l_linenumber", "(l_quantity-AVERAGE(l_quantity))/STDEV(l_quantity)+SUM((l_tax-AVERAGE(l_tax))^2)", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / (stddev_samp(l_quantity) OVER ()) + (var_pop(l_tax) OVER ()) * (count(*) OVER ()), 6) AS result FROM lineitem", digits=6)
+beyond("formula_share_other", "nation", "n_nationkey", "SUMIF(supplier.s_nationkey,n_nationkey,supplier.s_acctbal)/SUM(supplier.s_acctbal)", "SELECT n_nationkey, round(coalesce((SELECT sum(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey), 0) / (SELECT sum(s_acctbal) FROM supplier), 9) AS result FROM nation", digits=9)
+grouped("agg_several_columns", "lineitem", "SUM(l_quantity,l_tax)+MAX(l_quantity,l_discount,49.5)+AVERAGE(l_quantity,l_tax,l_discount)+VAR(l_quantity,l_extendedprice)/1000000", "sum(l_quantity) + sum(l_tax) + greatest(max(l_quantity), max(l_discount), 49.5) + (sum(l_quantity) + sum(l_tax) + sum(l_discount)) / (3 * count(*)) + (sum(l_quantity * l_quantity) + sum(l_extendedprice * l_extendedprice) - pow(sum(l_quantity) + sum(l_extendedprice), 2) / (2 * count(*))) / (2 * count(*) - 1) / 1000000", "l_returnflag", 3)
+beyond("formula_index_match", "orders", "o_orderkey", 'IFERROR(INDEX(customer.c_name,MATCH(o_custkey*2,customer.c_custkey,0)),"none")&INDEX(nation,MOD(o_custkey,30),2)', "SELECT o_orderkey, coalesce((SELECT c_name FROM customer WHERE c_custkey = o_custkey * 2), 'none') || n_name AS result FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30 - 1")
+beyond("formula_large_varying", "nation", "n_nationkey", 'LARGE(supplier.s_acctbal,n_nationkey*5)-SMALL(supplier.s_acctbal,n_nationkey+1)', "SELECT n_nationkey, round((SELECT s_acctbal FROM (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC) AS r FROM supplier) WHERE r = n_nationkey * 5) - (SELECT s_acctbal FROM (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal) AS r FROM supplier) WHERE r = n_nationkey + 1), 4) AS result FROM nation", digits=4)
+query("formula_match_descending", "SELECT o_orderkey, CAST((SELECT count(*) FROM customer WHERE -c_custkey * 100.0 >= -o_totalprice) AS DOUBLE) AS result FROM orders")(
+    lambda s, d: with_table_formulas(table(s, d, "orders"), {"result": "IFNA(MATCH(-o_totalprice,steps.down,-1),0)"}, {"steps": Table(table(s, d, "customer").select((F.col("c_custkey") * -100.0).alias("down"), F.col("c_custkey").alias("_at")), "_at")}).select("o_orderkey", "result")
+)
+query("formula_hlookup", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = 0) WHEN 1 THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = 1) WHEN 2 THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = 2) ELSE (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = 3) END + CASE WHEN p_size % 6 < 3 THEN 1000 ELSE 0 END AS result FROM part")(
+    lambda s, d: with_table_formulas(table(s, d, "part"), {"result": "HLOOKUP(MOD(p_size,6),across,2)+IF(ISNA(HLOOKUP(MOD(p_size,6),across,1,FALSE)),0,IF(MOD(p_size,6)<3,1000,0))"}, {"across": across(table(s, d, "nation"))}).select("p_partkey", "result")
+)
+
+
+def across(nation: DataFrame) -> Table:
+    """The first four regions side by side: their keys, and below these the sums of their nations' keys."""
+    sums = [F.sum(F.when(F.col("n_regionkey") == r, F.col("n_nationkey"))).cast("double") for r in range(4)]
+    wide = nation.agg(F.array(*[F.lit(float(r)) for r in range(4)]).alias("k"), F.array(*sums).alias("v"))
+    return Table(wide.select(F.posexplode(F.array("k", "v")).alias("_at", "x")).select("_at", *[F.col("x")[r].alias(f"r{r}") for r in range(4)]), "_at")
+
+
 @query("formula_rand", "SELECT true AS inside, true AS varies")
 def _rand(s: SparkSession, d: str) -> DataFrame:
     made = with_table_formulas(table(s, d, "lineitem"), {"r": "RAND()", "k": "RANDBETWEEN(3,7)", "twice": "RAND()-RAND()"})
