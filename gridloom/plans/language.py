@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from gridloom.functions.cells import BY_CODE, NAME, NUM, REF, Err
 
@@ -17,9 +17,12 @@ class Const:
 
 @dataclass(frozen=True)
 class Cell:
+    """``fixed``: whether row and column are written with a dollar sign."""
+
     row: int
     col: int
     sheet: str | None = None
+    fixed: tuple[bool, bool] = field(default=(False, False), compare=False)
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,7 @@ class Area:
     row1: int
     col1: int
     sheet: str | None = None
+    ends: tuple[Cell, Cell] | None = field(default=None, compare=False)
 
     @property
     def height(self) -> int:
@@ -111,12 +115,17 @@ def parse_a1(text: str) -> tuple[int, int] | None:
     return (row, col) if row < MAX_ROW and col < MAX_COL else None
 
 
+def dollars(text: str) -> tuple[bool, bool]:
+    """Whether a reference's row and column are fixed."""
+    return "$" in text[1:], text.startswith("$")
+
+
 def a1(row: int, col: int) -> str:
     return f"{column_name(col)}{row + 1}"
 
 
 def area(a: Cell, b: Cell, sheet: str | None = None) -> Area:
-    return Area(min(a.row, b.row), min(a.col, b.col), max(a.row, b.row), max(a.col, b.col), sheet)
+    return Area(min(a.row, b.row), min(a.col, b.col), max(a.row, b.row), max(a.col, b.col), sheet, (a, b))
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -194,7 +203,7 @@ class _Parser:
             if self.peek() == ("op", ":"):
                 self.take()
                 return area(first, self.cell(), text)
-            return Cell(first.row, first.col, text)
+            return Cell(first.row, first.col, text, first.fixed)
         if self.peek() == ("op", "(") and not quoted:
             self.take()
             args = []
@@ -208,14 +217,14 @@ class _Parser:
         if text.upper() in ("TRUE", "FALSE") and not quoted:
             return Const(text.upper() == "TRUE")
         at = None if quoted else parse_a1(text)
-        return Cell(*at) if at else Name(text.upper())
+        return Cell(*at, fixed=dollars(text)) if at else Name(text.upper())
 
     def cell(self) -> Cell:
         kind, text = self.take()
         at = parse_a1(text) if kind == "ident" else None
         if at is None:
             raise FormulaError(REF if kind == "ident" else NAME)
-        return Cell(*at)
+        return Cell(*at, fixed=dollars(text))
 
 
 def parse(text: str):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import grid as G
 from gridloom.operators import lookup as L
 from gridloom.plans.compiler import aggregate_formulas, formula_column, outputs
+from gridloom.plans.filldown import ROW, fill_down
 from gridloom.plans.relational import Table, spilled, with_table_formulas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +404,34 @@ def across(nation: DataFrame) -> Table:
     return Table(wide.select(F.posexplode(F.array("k", "v")).alias("_at", "x")).select("_at", *[F.col("x")[r].alias(f"r{r}") for r in range(4)]), "_at")
 
 
+# Formulas filled down a sheet, from their A1 text, and other sheets' cells
+
+
+def numbered_sheet(s: SparkSession, d: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table as a sheet: its rows by the key, its columns A, B, C, ..."""
+    return L.numbered(table(s, d, name), key, "_n").select((F.col("_n") - 1).cast("long").alias(ROW), *columns)
+
+
+def filled(name: str, formula: str, at: int, sql: str, digits: int = 4) -> None:
+    """Over orders by their key: A the key, B the price, C the customer; sheets Customers and Parts beside it."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sheets = {"Customers": numbered_sheet(s, d, "customer", "c_custkey", "c_acctbal", "c_name"), "Parts": numbered_sheet(s, d, "part", "p_partkey", "p_size", "p_brand")}
+        made = fill_down(numbered_sheet(s, d, "orders", "o_orderkey", "o_orderkey", "o_totalprice", "o_custkey"), {"result": formula}, at, sheets)
+        return made.select("o_orderkey", F.round("result", digits).alias("result"))
+
+    rows = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)"
+    query(name, f"SELECT o_orderkey, round(CAST({sql} AS DOUBLE), {digits}) AS result FROM {rows} o LEFT JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rc FROM customer) c ON rc = r LEFT JOIN (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rp FROM part) p ON rp = r - 1 WINDOW w AS (ORDER BY r)")(run)
+
+
+filled("formula_fill_running", "=SUM(B$1:B5)+COUNT(C$1:C5)", 4, "sum(o_totalprice) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) + r + 1", 2)
+filled("formula_fill_average", "=AVERAGE(B3:B5)", 4, "CASE WHEN r >= 2 THEN avg(o_totalprice) OVER (ORDER BY r ROWS 2 PRECEDING) END")
+filled("formula_fill_difference", '=IFERROR(B5-B4,B5)*IF(C6>C5,1,-1)', 4, "(o_totalprice - coalesce(lag(o_totalprice) OVER w, 0)) * CASE WHEN coalesce(lead(o_custkey) OVER w, 0) > o_custkey THEN 1 ELSE -1 END")
+filled("formula_fill_remaining", "=B5/SUM(B5:B$100)+MAX(B$1:B$50)", 4, "o_totalprice / CASE WHEN r <= 99 THEN sum(CASE WHEN r <= 99 THEN o_totalprice END) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE sum(CASE WHEN r >= 99 THEN o_totalprice END) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) END + max(CASE WHEN r < 50 THEN o_totalprice END) OVER ()", 6)
+filled("formula_cross_sheet", '=B5-Customers!A5*2+IF(ISBLANK(Parts!B4),0.5,Parts!A4)+Customers!$A$3', 4, "o_totalprice - coalesce(c_acctbal, 0) * 2 + CASE WHEN r >= 1 THEN CASE WHEN p_brand IS NULL THEN 0.5 ELSE p_size END END + max(CASE WHEN r = 2 THEN c_acctbal END) OVER ()")
+filled("formula_cross_sheet_range", '=SUM(Customers!A$1:A5)+COUNT(Parts!A5:A9)*1000+IFERROR(SUM(Nowhere!A1:A9),7)', 4, "sum(coalesce(c_acctbal, 0)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) + 1000 * greatest(0, least(5, (SELECT count(*) FROM part) - r)) + 7")
+
+
 @query("formula_rand", "SELECT true AS inside, true AS varies")
 def _rand(s: SparkSession, d: str) -> DataFrame:
     made = with_table_formulas(table(s, d, "lineitem"), {"r": "RAND()", "k": "RANDBETWEEN(3,7)", "twice": "RAND()-RAND()"})
