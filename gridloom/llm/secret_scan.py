@@ -91,12 +91,23 @@ class Known:
         return spans
 
 
-#: Spans inside one of these are not secrets: ids, digests of known kind, placeholders, runs of the alphabet, host and
-#: path of a URL (not its user info or query).
+#: What may not follow a digest, if it is one.
+_END = r"(?![A-Za-z0-9+/=])"
+#: Hexadecimal digests by their lengths; base64 ones by the hash's name.
+_HEX = "|".join(f"[0-9a-f]{{{n}}}" for n in (128, 96, 64, 56, 40, 32))
+_BASE64 = "|".join(f"(?i:{name})[-:= ]{{1,3}}[A-Za-z0-9+/]{{{n}}}{end}" for name, n, end in (("md5", 22, "=="), ("sha1", 27, "="), ("sha224", 38, "=="), ("sha256", 43, "="), ("sha384", 64, ""), ("sha512", 86, "==")))
+#: Spans inside one of these are not secrets: ids, digests of known kind and length, placeholders (words as far as they
+#: are written in one case, with a short number behind), runs of the alphabet, host and path of a URL (not its user info
+#: or query). What stands beside a placeholder or behind a digest's name counts as anywhere else.
 ALLOWED = (
     Known(r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"),
-    Known(r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[A-Za-z0-9+/=]+"),
-    Known(r"(?i:example|placeholder|changeme|dummy|redacted)|xxxx|XXXX", "[A-Za-z0-9+/_=-]"),
+    Known(rf"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{{1,3}}[\"']?(?:{_HEX}){_END}"),
+    Known(rf"(?i)\bcommit[-:= ]{{1,3}}[0-9a-f]{{7,40}}{_END}"),
+    Known(rf"\b(?:{_BASE64}){_END}"),
+    Known(rf"(?:[Ee]xample|[Pp]laceholder|[Cc]hangeme|[Dd]ummy|[Rr]edacted)[a-z_.-]*(?:[0-9]{{1,6}}{_END})?", "[a-z_.-]"),
+    Known(rf"(?:EXAMPLE|PLACEHOLDER|CHANGEME|DUMMY|REDACTED)[A-Z_.-]*(?:[0-9]{{1,6}}{_END})?", "[A-Z_.-]"),
+    Known(r"EXAMPLE(?:KEY)?(?![A-Za-z0-9+/=_-])", "[A-Za-z0-9+/]"),
+    Known(r"x{4,}|X{4,}"),
     Known(r"(?i)abcdefghijk|0123456789", "[A-Za-z0-9+/]"),
     Known(r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?"),
     Known(r"https?://[^\s/?#]*@(?P<known>[^\s/?#@]+(?:/[^\s?#]*)?)"),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 import re
 import string
@@ -56,8 +58,9 @@ def brute_entropy(text: str) -> list[tuple[int, int, str]]:
                 marks.append((a, b))
     base = SecretScanner().base(text)
     known = [
-        r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[A-Za-z0-9+/=]+",
-        r"(?i)[A-Za-z0-9+/_=-]*(?:example|placeholder|changeme|dummy|redacted|(?-i:xxxx|XXXX))[A-Za-z0-9+/_=-]*", r"(?i)[a-z0-9+/]*(?:abcdefghijk|0123456789)[a-z0-9+/]*", r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?",
+        r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|integrity|checksum|commit|etag)[-:= ]{1,3}[\"']?(?:[0-9a-f]{128}|[0-9a-f]{96}|[0-9a-f]{64}|[0-9a-f]{56}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9+/=])",
+        r"(?i)\bcommit[-:= ]{1,3}[0-9a-f]{7,40}(?![A-Za-z0-9+/=])", r"(?i)\bsha256[-:= ]{1,3}[A-Za-z0-9+/]{43}=(?![A-Za-z0-9+/=])", r"[a-z_.-]*(?:[Ee]xample|[Pp]laceholder|[Cc]hangeme|[Dd]ummy|[Rr]edacted)(?:[a-z_.-]*[0-9]{1,6}(?![A-Za-z0-9+/=])|[a-z_.-]*)",
+        r"[A-Z_.-]*(?:EXAMPLE|PLACEHOLDER|CHANGEME|DUMMY|REDACTED)(?:[A-Z_.-]*[0-9]{1,6}(?![A-Za-z0-9+/=])|[A-Z_.-]*)", r"[A-Za-z0-9+/]*EXAMPLE(?:KEY)?(?![A-Za-z0-9+/=_-])", r"x{4,}|X{4,}", r"(?i)[a-z0-9+/]*(?:abcdefghijk|0123456789)[a-z0-9+/]*", r"https?://(?![^\s/?#]*@)[^\s/?#]+(?:/[^\s?#]*)?",
     ]
     inside = [m.span() for p in known for m in re.finditer(p, text)]
     return [(a, b, "entropy") for a, b in marks if not any(x < b and a < y for x, y, _ in base) and not any(x <= a and b <= y for x, y in inside)]
@@ -85,3 +88,22 @@ def test_a_very_long_run_takes_linear_time(piece):
     base, every = SecretScanner().scan(text)
     assert time.process_time() - began < 2
     assert piece or not base and sum(b - a for a, b, _ in every) > 0.999 * len(run)
+
+
+def test_a_key_beside_harmless_words_is_found():
+    scan = SecretScanner().scan
+    for key in keys(string.ascii_letters + string.digits, 40)[:60]:
+        for text in (f"EXAMPLE_KEY={key}", f"s3/example/{key}", f"dummy-{key}", f"commit {key}", f"etag={key}", f"sha256-{key}", f"see {key}"):
+            hidden = redact(text, scan(text)[1])
+            assert key[4:16] not in hidden and key[24:36] not in hidden, text
+        inside = f"{key[:20]}xxxx{key[20:]}"  # nothing of what its windows show is taken back
+        assert scan(inside) == SecretScanner(allowed=()).scan(inside)
+
+
+def test_true_digests_and_placeholders_are_known():
+    scan = SecretScanner().scan
+    digest = hashlib.sha256(b"x")
+    for text in ("commit 3f786850e387", f"sha256-{base64.b64encode(digest.digest()).decode()}", "AbC9xkQ2mPzR7tLwEXAMPLEKEY", "your_dummy_token_placeholder_value_1234", "YOUR_EXAMPLE_API_KEY_GOES_HERE_42", "x" * 40, "123e4567-e89b-12d3-a456-426614174000"):
+        assert scan(text)[1] == [], text
+    for text in (f"commit {hashlib.sha1(b'x').hexdigest()}", f"etag={hashlib.md5(b'x').hexdigest()}", f"sha256:{digest.hexdigest()}"):
+        assert [k for *_, k in scan(text)[1]] == ["hex"], text
