@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import documents, map_rows, materialize, partitions, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
+LIBRARY = "byte_bpe_50k.json"
 RANKS, SPECIAL, SPECIAL_ID = "byte_bpe_50k.tiktoken", "<|endoftext|>", 50256
 #: Pieces of one length that are ranked together, on average, when there are many.
 RANK_ROWS = 200_000
@@ -54,8 +55,27 @@ def encoding(name: str = RANKS):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
+@cache
+def library(name: str = LIBRARY):
+    """The tokenizer as its own library reads it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def encode(text: str) -> bytes:
-    """A text's ids, four bytes each; the special token's string gives its id, as is the library's default."""
+    """A text's ids, four bytes each; the special token's string gives its id, as is the library's default.
+
+    The faster library gives up on some texts, such as a million spaces in a row; these
+    go to the tokenizer's own library.
+    """
+    try:
+        return _encode(text)
+    except ValueError:
+        return np.array(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _encode(text: str) -> bytes:
     return encoding().encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
