@@ -38,6 +38,8 @@ LETTER = re.compile(r"[^\W\d_]")
 CACHE = 500_000
 #: Longer units' tables are not kept; they are computed again where they are needed.
 LONG = 64
+#: Begins deltas of four bytes; as a signed byte it would be a change of -128, which the narrow form never has.
+WIDE = b"\x80"
 NEVER = float("-inf")
 LIMIT = 4096
 
@@ -148,10 +150,17 @@ class PrefixCounter:
         return self.cut(MARK + text.replace(" ", MARK)) if text else []
 
     def deltas(self, text: str) -> bytes:
-        """The change of the count with each character of a text, a signed byte each."""
+        """The change of the count with each character of a text, a signed byte each.
+
+        Where a change is too large for that, all are four bytes after a mark; see :func:`changes`.
+        """
         if not text:
             return b""
-        joined = b"".join(map(self.kept.__getitem__, self.units(text)))
+        parts = list(map(self.kept.__getitem__, self.units(text)))
+        joined = b"".join(parts)
+        if WIDE in joined:  # no byte of the narrow form
+            wide = np.concatenate([changes(p) for p in parts])
+            return WIDE + np.concatenate([[wide[0] + wide[1]], wide[2:]]).astype("<i4").tobytes()
         # The first is that of the mark before the text, which comes with its first character.
         return ((joined[0] + joined[1]) & 255).to_bytes(1, "little") + joined[2:]
 
@@ -160,11 +169,16 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> list[int]:
         """The count at each prefix of 0 to ``len(text)`` characters."""
-        return [0, *np.cumsum(np.frombuffer(self.deltas(text), np.int8), dtype=np.int64).tolist()]
+        return [0, *np.cumsum(changes(self.deltas(text)), dtype=np.int64).tolist()]
+
+
+def changes(deltas: bytes) -> np.ndarray:
+    """Stored deltas as numbers."""
+    return np.frombuffer(deltas, "<i4", offset=1) if deltas[:1] == WIDE else np.frombuffer(deltas, np.int8)
 
 
 def total(deltas: bytes) -> int:
-    return int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64))
+    return int(changes(deltas).sum(dtype=np.int64))
 
 
 def fitting_prefix(deltas: bytes, budget: int) -> int:
@@ -172,7 +186,7 @@ def fitting_prefix(deltas: bytes, budget: int) -> int:
 
     Counts can fall by a merge, so the last prefix within budget is meant.
     """
-    fits = np.flatnonzero(np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64) <= budget)
+    fits = np.flatnonzero(np.cumsum(changes(deltas), dtype=np.int64) <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
@@ -193,7 +207,8 @@ class _Units(dict):
             table = self.counter.table(unit)
             if len(unit) > LONG:
                 deltas = np.diff(table)
-                assert np.abs(deltas).max() < 128, "a change of the count that a byte cannot hold"
+                if np.abs(deltas).max() >= 128:
+                    return WIDE + deltas.astype("<i4").tobytes()
                 return deltas.astype(np.int8).tobytes()
             found = bytes([b - a & 255 for a, b in pairwise(table)])  # at most four for a character, and never below zero in all
         if len(self) >= CACHE:

@@ -80,7 +80,7 @@ def test_entropy_finds_keys_and_spares_words_and_known_ids():
     kinds = lambda t: [s[2] for s in scan(t)[1]]
     assert kinds("key Zk3x9Qp2LmT7vB8nRw4YsD1fGh6J end") == ["entropy"]
     assert kinds("supercalifragilisticexpialidocious Donaudampfschifffahrtsgesellschaft") == []
-    assert kinds("id 123e4567-e89b-12d3-a456-426614174000") == [] and kinds("sha256:Zk3x9Qp2LmT7vB8nRw4YsD1fGh6JZk3x9Qp2LmT7") == []
+    assert kinds("id 123e4567-e89b-12d3-a456-426614174000") == [] and kinds("sha256:Zk3x9Qp2LmT7vB8nRw4YsD1fGh6JZk3x9Qp2LmT7abc=") == []
     assert secret_scan.redact("a password=abcdefgh1 b", scan("a password=abcdefgh1 b")[1]) == "a [SECRET] b"
 
 
@@ -614,3 +614,33 @@ def test_prefix_counts_equal_the_library(docs, empty):
             k = r["budget_chars"]
             assert len(model.encode(t[:k])) <= budget and (k == len(t) or len(model.encode(t[: k + 1])) > budget)
     assert token_counts.token_counts(empty).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", " "])
+def test_two_megabytes_of_one_space(spark, space):
+    texts = [space * 2_000_000, "word" + space * 1_000_000 + "word"]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        ids = packing.library().encode(t, add_special_tokens=False).ids
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in own) == len(ids) + 1
+        raw = np.array([*ids, 0], "<u4").tobytes()
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(raw[4 * r["start"] : 4 * (r["start"] + r["length"])]) for r in own]
+
+
+def test_changes_that_a_byte_cannot_hold(monkeypatch):
+    own = token_counts.PrefixCounter(token_counts.public_tokenizers.path("piece_bpe_32k.model"))
+    table = own.table
+
+    def jumpy(unit: str) -> list[int]:
+        counts = list(table(unit))
+        return counts if len(unit) <= token_counts.LONG else [*counts[:-3], counts[-3] + 300, counts[-2] - 1, counts[-1]]
+
+    text = "plain words " + "q" * 200 + " and an end"
+    plain = own.prefixes(text)
+    own.kept = token_counts._Units(own)
+    monkeypatch.setattr(own, "table", jumpy)
+    wide = own.deltas(text)
+    assert wide[:1] == token_counts.WIDE and token_counts.total(wide) == plain[-1]
+    assert [i for i, (a, b) in enumerate(zip(own.prefixes(text), plain, strict=True)) if a != b]
+    assert token_counts.fitting_prefix(wide, 3) == max(k for k, c in enumerate(own.prefixes(text)) if c <= 3)
