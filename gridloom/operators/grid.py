@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import display
+from gridloom.operators.lookup import numbered, range_of, ranges_of
 from gridloom.plans.compiler import NUMBER_RE, general
 
 ROW = "_row"
@@ -125,6 +126,33 @@ class Grid:
     def view(self) -> DataFrame:
         return self.rows().orderBy(*self.order())
 
+    def placed(self) -> DataFrame:
+        """The visible rows with ``_place``, from 0, in the order of :meth:`view`.
+
+        Rows are numbered within ranges of what they are sorted by, and each range's count
+        is carried into the next, so no task numbers them all.
+        """
+        rows = self.rows()
+        if self.sort_key is None:
+            return numbered(rows, ROW, "_place").withColumn("_place", (F.col("_place") - 1).cast("long"))
+        name, direction = self.sort_key
+        up = direction == "asc"
+        text = cell_text(self.df, name)
+        rows = rows.withColumns({"__n": cell_number(self.df, name, percent=False), "__t": F.lower(text), "__blank": F.trim(text) == ""})
+        kind = F.when(self.in_header, 0).when(F.col("__blank"), 3).when(F.col("__n").isNull(), 2 if up else 1).otherwise(1 if up else 2)
+        rows = rows.withColumn("__kind", kind)
+        number, by_row = F.col("__kind") == (1 if up else 2), F.col("__kind").isin(0, 3)
+        cuts = {"__n": ranges_of(rows.where(number), "__n"), "__t": ranges_of(rows.where(~number & ~by_row), "__t"), ROW: ranges_of(rows.where(by_row), ROW)}
+        at = {c: range_of(F.col(c), v) if up or c == ROW else F.lit(len(v)) - range_of(F.col(c), v) for c, v in cuts.items()}
+        rows = rows.withColumn("__range", F.when(by_row, at[ROW]).when(number, at["__n"]).otherwise(at["__t"]))
+        way = (lambda c: c.asc()) if up else (lambda c: c.desc())
+        order = [way(F.when(~by_row, F.col("__n"))), way(F.when(~by_row, F.col("__t"))), F.col(ROW).asc()]
+        counts = rows.groupBy("__kind", "__range").agg(F.count("*").alias("__all"))
+        before = W.orderBy("__kind", "__range").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+        starts = counts.select("__kind", "__range", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))
+        own = F.row_number().over(W.partitionBy("__kind", "__range").orderBy(*order)) - 1
+        return rows.withColumn("__own", own).join(F.broadcast(starts), ["__kind", "__range"]).withColumn("_place", F.col("__before") + F.col("__own")).select(*self.df.columns, "_place")
+
     def window(self, row0: int, row1: int, col0: int = 0, col1: int | None = None) -> DataFrame:
         """Visible rows row0 to row1 (exclusive) and columns col0 to col1: limit and offset over the view."""
         cols = self.columns[max(0, col0) : col1]

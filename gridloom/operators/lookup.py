@@ -171,6 +171,35 @@ def large(df: DataFrame, column: str, k: int, smallest: bool = False) -> DataFra
     return top.agg(F.count("*").alias("__n"), end.alias("value")).where(F.col("__n") == k).select("value")
 
 
+def median(df: DataFrame, value: str, by: list[str], alias: str = "median", accuracy: int = 10_000) -> DataFrame:
+    """``by, alias``: the exact median of each group, null where a group has no value; one row without ``by``.
+
+    Approximate quantiles bracket each group's middle; what lies below and above the
+    bracket is counted, and only the distinct values inside, a few in ``accuracy`` of the
+    group's rows, are ranked with their counts.
+    """
+    v, step = F.col(value), 2 / accuracy
+    groups = df.groupBy(*by).agg(F.percentile_approx(v, F.lit([0.5 - step, 0.5 + step]), F.lit(accuracy)).alias("__ends"))
+    ends = groups.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__ends")[0].alias("__low"), F.col("__ends")[1].alias("__high"))
+    rows = df.where(v.isNotNull())
+    if by:
+        same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(by)]
+        rows = rows.join(ends, same, "inner")
+    else:
+        rows = rows.join(F.broadcast(ends))  # one row
+    side = F.when(v < F.col("__low"), -1).when(v > F.col("__high"), 1).otherwise(0)
+    counts = rows.groupBy(*by, side.alias("__side"), F.when(side == 0, v).alias("__x")).agg(F.count("*").alias("__n"))
+    group = W.partitionBy(*by)
+    run = counts.withColumn("__to", F.sum("__n").over(group.orderBy("__side", "__x"))).withColumn("__all", F.sum("__n").over(group)).where("__side = 0")
+    at = lambda r: F.min(F.when(F.col("__to") >= r, F.col("__x")))
+    found = run.groupBy(*by).agg(((at(F.floor((F.col("__all") + 1) / 2)) + at(F.floor(F.col("__all") / 2) + 1)) / 2).alias(alias))
+    if not by:
+        return found
+    own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    left = groups.select(*by)
+    return left.join(found.select(*own, alias), [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)], "left").select(*by, alias)
+
+
 def mode(df: DataFrame, column: str, ordinal: str) -> DataFrame:
     """The most frequent value that occurs twice at least; of several the one that comes first."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.min(ordinal).alias("o")).where("n > 1")

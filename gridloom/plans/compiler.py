@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from gridloom.functions.cells import Criterion, Err, criterion, wildcard
 from gridloom.functions.library import FUNCTIONS
-from gridloom.functions.numfmt import choose, number_code, sections
 from gridloom.operators.lookup import euclid
+from gridloom.operators.lookup import median as selected_median
+from gridloom.plans.formats import compiled
 from gridloom.plans.language import Binary, Call, Const, FormulaError, Name, Unary, parse
 
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -389,24 +390,22 @@ def text_join(c: Compiler, sep, skip, *args):
 
 
 def formatted(c: Compiler, value, form):
-    """``TEXT``: number codes of plain sections compile to format_number, which rounds half to even as it must."""
+    """``TEXT``: a constant code becomes an expression for each of its sections."""
     v = c.compile(value)
     if v.kind == "text":
         return text(v)
     if not isinstance(form, Const) or not isinstance(form.value, str) or v.kind != "number":
         return c.by_library(Call("TEXT", (value, form)))
-    parts = sections(form.value.strip())
-    if len(parts) > 1 or any(p.kind != "number" or p.condition for p in parts) or number_code(choose(parts, 1.0)[0].body).scientific:
-        return c.by_library(Call("TEXT", (value, form)))
-    f = number_code(parts[0].body)
-    if not f.placeholder:
-        return Typed("text", F.lit(f.prefix + f.suffix), v.err)
-    n = number(v).col * (100 if f.percent else 1)
-    pattern = ("#,##" if f.thousands else "") + ("0" * max(1, f.whole)) + ("." + "0" * f.decimals if f.decimals else "")
-    if f.thousands and f.whole > 1:
-        return c.by_library(Call("TEXT", (value, form)))
-    body = F.call_function("format_number", F.abs(n), F.lit(pattern))
-    return Typed("text", F.concat(F.when(n < 0, "-").otherwise(""), F.lit(f.prefix), body, F.lit("%" * f.percent + f.suffix)), v.err)
+    out = compiled(number(v).col, form.value, general, date_parts)
+    return c.by_library(Call("TEXT", (value, form))) if out is None else Typed("text", out, v.err)
+
+
+def date_parts(n: Column) -> tuple[Column, ...]:
+    """Year, month, day, hour, minute and second of a serial number; a negative one has the date of day 1."""
+    day = day_of(F.when(n < 0, 1.0).otherwise(n))
+    parts = [F.when(F.floor(n) == 60, at60).otherwise(f(day)) for f, at60 in ((F.year, 1900), (F.month, 2), (F.day, 29))]
+    s = _seconds(n)
+    return (*parts, F.floor(s / 3600).cast("int"), (F.floor(s / 60) % 60).cast("int"), (s % 60).cast("int"))
 
 
 ROWWISE |= {"SUBSTITUTE": substitute, "CONCAT": concat, "CONCATENATE": concat, "TEXTJOIN": text_join, "TEXT": formatted}
@@ -864,6 +863,58 @@ def outputs(made: dict[str, Typed], errors: bool) -> list[Column]:
 
 
 def aggregate_formulas(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, errors: bool = False, now: float = 0.0) -> DataFrame:
-    """One row, or one per group, with a column for each formula of aggregates."""
+    """One row, or one per group, with a column for each formula of aggregates.
+
+    Medians are selected, not gathered: see :func:`gridloom.operators.lookup.median`.
+    """
+    if any("MEDIAN" in f.upper() for f in formulas.values()):
+        return _with_medians(df, formulas, by or [], errors, now)
     made = {k: formula_column(df, f, now) for k, f in formulas.items()}
     return df.groupBy(*(by or [])).agg(*outputs(made, errors))
+
+
+def _with_medians(df: DataFrame, formulas: dict[str, str], by: list[str], errors: bool, now: float) -> DataFrame:
+    """Aggregates in one pass, each median by selection; the formulas are compiled over both, joined by group."""
+    columns = columns_of(df)
+    inner, known, aggregates, medians = Compiler(columns, now), {}, [], []
+
+    def taken(node):
+        if node in known:
+            return known[node]
+        if isinstance(node, Call) and node.name in AGGREGATES:
+            own = f"__A{len(known)}"
+            known[node] = Name(own)
+            if node.name == "MEDIAN":
+                given, err = whole_column(inner, node.args)
+                if not given or any(isinstance(a, Const) for a in node.args):
+                    raise Unsupported("MEDIAN of columns")
+                medians.append((own, F.array(*[numeric(g) for g in given])))
+                x = Typed("number", F.col(own), err)
+            else:
+                x = AGGREGATES[node.name](inner, *node.args)
+                aggregates.append(x.col.alias(own))
+            aggregates.append((x.err if x.err is not None else F.lit(None).cast("string")).alias(f"{own}_e"))
+            bad = F.col(f"{own}_e")
+            finals[own] = Typed("number", F.col(own), bad if node.name != "MEDIAN" else first_error(bad, code(F.col(own).isNull(), "#NUM!")))
+            return known[node]
+        if isinstance(node, Unary):
+            return Unary(node.op, taken(node.of))
+        if isinstance(node, Binary):
+            return Binary(node.op, taken(node.left), taken(node.right))
+        return Call(node.name, tuple(map(taken, node.args))) if isinstance(node, Call) else node
+
+    finals: dict[str, Typed] = {}
+    trees = {k: taken(parse(f.removeprefix("="))) for k, f in formulas.items()}
+    keys = [f"__g{i}" for i in range(len(by))]
+    grouped = df.select("*", *[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)])
+    out = grouped.groupBy(*keys).agg(*aggregates)
+    for own, values in medians:
+        found = selected_median(grouped.select(*keys, F.explode(values).alias("__v")), "__v", keys, own)
+        if keys:
+            own_keys = {k: f"{k}_{own}" for k in keys}
+            found = found.withColumnsRenamed(own_keys)
+            out = out.join(found, _reduce(lambda a, b: a & b)([F.col(k).eqNullSafe(F.col(n)) for k, n in own_keys.items()]), "left").drop(*own_keys.values())
+        else:
+            out = out.join(F.broadcast(found))  # one row
+    made = {k: Compiler(finals, now).compile(t) for k, t in trees.items()}
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *outputs(made, errors))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import criterion
 from gridloom.operators import criteria as C
 from gridloom.operators import lookup as L
-from gridloom.plans.compiler import AGGREGATES, Compiler, Typed, Unsupported, code, columns_of, first_error, number, numeric, outputs, predicate, text, toward_zero
+from gridloom.plans.compiler import AGGREGATES, Compiler, Typed, Unsupported, code, columns_of, first_error, number, numeric, outputs, predicate, text, toward_zero, whole_column
 from gridloom.plans.language import Binary, Call, Const, Name, Unary, parse, walk
 
 SEED = 20240229
@@ -99,6 +99,14 @@ class Binder:
             df, columns = (self.df, self.columns()) if owner is None else (self.tables[owner].df, self.columns_named(owner))
             made, names = [], []
             for c in own:
+                if c.name == "MEDIAN" and c.args and not any(isinstance(a, Const) for a in c.args):
+                    given, err = whole_column(Compiler(columns, self.now), c.args)
+                    name, out = self.keep("number")
+                    self.df = self.df.join(F.broadcast(L.median(df.select(F.explode(F.array(*map(numeric, given))).alias("__v")), "__v", [], name)))  # one row
+                    made.append((err if err is not None else F.max(F.lit(None).cast("string"))).alias(f"{name}_e"))
+                    self.made[name.upper()] = Typed("number", F.col(name), first_error(F.col(f"{name}_e"), code(F.col(name).isNull(), "#NUM!")), solid=True)
+                    names.append(out)
+                    continue
                 x = Compiler(columns, self.now).compile(c)
                 name, out = self.keep(x.kind)
                 bad = F.col(f"{name}_e")
@@ -514,29 +522,44 @@ def with_table_formulas(df: DataFrame, formulas: dict[str, str], tables: Mapping
 
 def spilled(df: DataFrame, formula: str, ordinal: str, tables: Mapping[str, Table] | None = None, now: float = 0.0) -> DataFrame:
     """The rows of an array formula: ``place, value``; ``UNIQUE``, ``SORT``, ``FILTER`` and ``SEQUENCE`` in each other."""
-    made = _array(Binder(df, tables or {}, ordinal, now), parse(formula.removeprefix("=")))
+    made = array_rows(Binder(df, tables or {}, ordinal, now), parse(formula.removeprefix("=")))
     return L.numbered(made, "__o", "place").select("place", "value")
 
 
-def _array(b: Binder, node) -> DataFrame:
-    """``value, __o``: the array's values and what orders them."""
-    if isinstance(node, Call) and node.name == "SEQUENCE":
-        given = [a.value if isinstance(a, Const) else -a.of.value for a in node.args]
-        n, cols, start, step = (*given, *(1.0, 1.0, 1.0, 1.0)[len(given) :])
-        return L.sequence(b.df.sparkSession, int(n), int(cols), start, step).select("value", (F.col("row") * int(cols) + F.col("col")).alias("__o"))
-    if isinstance(node, Call) and node.name == "FILTER":
-        values, keep = node.args[0], b.compile(Call("AND", (node.args[1],)))
-        return _array(b_where(b, keep), values)
-    if isinstance(node, Call) and node.name == "UNIQUE":
-        return L.unique(_array(b, node.args[0]), "value", "__o").select("value", F.col("first").alias("__o"))
-    if isinstance(node, Call) and node.name == "SORT":
-        inner, downwards = _array(b, node.args[0]), len(node.args) > 2 and isinstance(node.args[2], Unary)
-        return L.sorted_places(inner, "value", "__o", downwards).select("value", F.col("__place").alias("__o"))
+def constant_value(node):
+    return -node.of.value if isinstance(node, Unary) else node.value
+
+
+def array_rows(b: Binder, node) -> DataFrame:
+    """``value, __o``: an array's values and what orders them."""
+    if isinstance(node, Call) and node.name in ARRAYS:
+        return ARRAYS[node.name](b, *node.args)
     x = b.compile(node)
     value = F.when(x.err.isNull(), x.col) if x.err is not None else x.col
     return b.df.select(value.alias("value"), F.col(f"`{b.ordinal}`").alias("__o"))
 
 
+def sequence(b: Binder, *args) -> DataFrame:
+    n, cols, start, step = (*map(constant_value, args), *(1.0, 1.0, 1.0)[len(args) - 1 :])
+    return L.sequence(b.df.sparkSession, int(n), int(cols), start, step).select("value", (F.col("row") * int(cols) + F.col("col")).alias("__o"))
+
+
+def filtered(b: Binder, values, test) -> DataFrame:
+    return array_rows(b_where(b, b.compile(Call("AND", (test,)))), values)
+
+
+def unique(b: Binder, values) -> DataFrame:
+    return L.unique(array_rows(b, values), "value", "__o").select("value", F.col("first").alias("__o"))
+
+
+def sort(b: Binder, values, _=None, direction=None) -> DataFrame:
+    return L.sorted_places(array_rows(b, values), "value", "__o", isinstance(direction, Unary)).select("value", F.col("__place").alias("__o"))
+
+
+#: Functions that make an array's rows.
+ARRAYS = {"SEQUENCE": sequence, "FILTER": filtered, "UNIQUE": unique, "SORT": sort}
+
+
 def b_where(b: Binder, keep: Typed) -> Binder:
     own = Binder(b.df.where(keep.col & keep.err.isNull() if keep.err is not None else keep.col), b.tables, b.ordinal, b.now)
     own.made = b.made

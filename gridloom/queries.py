@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import grid as G
 from gridloom.operators import lookup as L
+from gridloom.plans import registry
 from gridloom.plans.compiler import aggregate_formulas, formula_column, outputs
 from gridloom.plans.filldown import ROW, fill_down
 from gridloom.plans.relational import Table, spilled, with_table_formulas
@@ -162,6 +163,12 @@ rowwise("text_text_percent", "lineitem", K, 'TEXT(l_discount,"0%")', "CAST(CAST(
 rowwise("text_text_date", "orders", "o_orderkey", 'TEXT(o_orderdate,"yyyy-mm-dd")', "strftime(o_orderdate, '%Y-%m-%d')")
 rowwise("text_text_thousands", "orders", "o_orderkey", 'TEXT(INT(o_totalprice),"#,##0")', "format('{:,}', CAST(floor(o_totalprice) AS BIGINT))")
 
+rowwise("text_fraction", "part", P, 'TEXT(p_size/8,"# ?/8")&"|"&TEXT(p_size/7,"# ?/?")&"|"&TEXT(-p_size/97,"??/??")', "CASE WHEN p_size % 8 = 0 THEN CAST(p_size // 8 AS VARCHAR) ELSE CASE WHEN p_size >= 8 THEN p_size // 8 || ' ' ELSE '' END || p_size % 8 || '/8' END || '|' || CASE WHEN p_size % 7 = 0 THEN CAST(p_size // 7 AS VARCHAR) ELSE CASE WHEN p_size >= 7 THEN p_size // 7 || ' ' ELSE '' END || p_size % 7 || '/7' END || '|-' || p_size || '/97'")
+rowwise("text_sections", "customer", "c_custkey", 'TEXT(c_acctbal,"0.00;(0.00);""nil""")&TEXT(INT(c_acctbal/5000),"0;-0;""zero""")', "CASE WHEN c_acctbal < 0 THEN '(' || printf('%.2f', -c_acctbal) || ')' WHEN c_acctbal = 0 THEN 'nil' ELSE printf('%.2f', c_acctbal) END || CASE WHEN floor(c_acctbal / 5000) < 0 THEN '-' || CAST(CAST(-floor(c_acctbal / 5000) AS BIGINT) AS VARCHAR) WHEN floor(c_acctbal / 5000) = 0 THEN 'zero' ELSE CAST(CAST(floor(c_acctbal / 5000) AS BIGINT) AS VARCHAR) END")
+rowwise("text_conditions", "customer", "c_custkey", 'TEXT(c_acctbal,"[>=5000]#,##0;[Red][<0]""neg ""0;0.0")', "CASE WHEN c_acctbal >= 5000 THEN format('{:,}', CAST(round_even(c_acctbal, 0) AS BIGINT)) WHEN c_acctbal < 0 THEN '-neg ' || CAST(CAST(round_even(-c_acctbal, 0) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', c_acctbal) END")
+rowwise("text_date_time", "events", "event_id", 'TEXT(ts,"d mmm yyyy hh:mm:ss")', "strftime(date_trunc('second', ts), '%-d %b %Y %H:%M:%S')")
+grouped("agg_median_columns", "lineitem", "MEDIAN(l_quantity,l_linenumber)+SUM(l_quantity)/COUNT(l_quantity)", "median(l_quantity) * 0 + (SELECT median(v) FROM (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, l_linenumber FROM lineitem) WHERE g = l_returnflag) + avg(l_quantity)", "l_returnflag", 4)
+
 # Logic and information
 
 rowwise("logic_if", "lineitem", K, 'IF(l_quantity>25,"big","small")', "CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END")
@@ -314,6 +321,26 @@ query("grid_width_wide", "SELECT CAST(least(greatest(max(length(text) + len(rege
     lambda s, d: G.Grid(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias(G.ROW), F.concat("n_name", F.expr("repeat('宽', n_nationkey % 6)"), F.expr("repeat('ｘ', n_nationkey % 3)")).alias("text"))).widths()
 )
 
+
+
+def mixed_grid(s: SparkSession, d: str, header_rows: int = 0) -> G.Grid:
+    """Parts with a column of numbers as text, words in two spellings and blanks."""
+    k = F.col("p_partkey")
+    mixed = F.when(k % 7 == 0, None).when(k % 7 == 1, " ").when(k % 7 < 4, F.col("p_size").cast("string")).when(k % 7 == 4, F.concat(F.col("p_size"), F.lit(".50"))).when(k % 7 == 5, F.upper("p_brand")).otherwise(F.lower("p_brand"))
+    return G.Grid(table(s, d, "part").select(k.cast("long").alias(G.ROW), mixed.alias("mixed"), "p_size"), header_rows)
+
+
+_MIXED = "SELECT p_partkey AS _row, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN ' ' WHEN p_partkey % 7 < 4 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 7 = 4 THEN p_size || '.50' WHEN p_partkey % 7 = 5 THEN upper(p_brand) ELSE lower(p_brand) END AS mixed, p_size FROM part"
+for _name, _way, _head, _where in (("grid_view_ascending", "asc", 0, "true"), ("grid_view_descending", "desc", 3, "_row < 3 OR p_size > 20")):
+    _by = f"n IS NULL {_way}, n {_way}, lower(mixed) {_way}"
+    query(_name, f"SELECT _row, mixed, p_size, row_number() OVER (ORDER BY _row >= {_head}, CASE WHEN _row < {_head} THEN _row END, trim(coalesce(mixed, '')) = '', CASE WHEN trim(coalesce(mixed, '')) <> '' THEN n IS NULL END {_way}, n {_way} NULLS LAST, CASE WHEN trim(coalesce(mixed, '')) <> '' THEN lower(mixed) END {_way} NULLS LAST, _row) - 1 AS _place FROM (SELECT *, TRY_CAST(trim(mixed) AS DOUBLE) AS n FROM ({_MIXED}) WHERE {_where})")(
+        lambda s, d, way=_way, head=_head: mixed_grid(s, d, head).filter(*[{"column": "p_size", "kind": "number", "op": "gt", "value": 20}] * bool(head)).sort("mixed", way).placed()
+    )
+query("grid_view_numbers", f"SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, _row) - 1 AS _place FROM ({_CUSTOMER}) WHERE c_acctbal > 0")(lambda s, d: customer_grid(s, d).filter({"column": "c_acctbal", "kind": "number", "op": "gt", "value": 0}).sort("c_acctbal", "desc").placed())
+query("grid_number_of_text", "SELECT p_partkey AS _row, CASE WHEN p_partkey % 5 = 0 THEN p_size / 100.0 WHEN p_partkey % 5 < 3 THEN p_size END AS n FROM part")(
+    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("_row"), G.parsed_number(F.expr("CASE p_partkey % 5 WHEN 0 THEN concat(' ', p_size, '% ') WHEN 1 THEN concat('  +', p_size, 'e0') WHEN 2 THEN concat(p_size, '.') WHEN 3 THEN p_brand ELSE concat(p_size, ' kg') END")).alias("n"))
+)
+
 # Lookups
 
 
@@ -432,6 +459,22 @@ filled("formula_cross_sheet", '=B5-Customers!A5*2+IF(ISBLANK(Parts!B4),0.5,Parts
 filled("formula_cross_sheet_range", '=SUM(Customers!A$1:A5)+COUNT(Parts!A5:A9)*1000+IFERROR(SUM(Nowhere!A1:A9),7)', 4, "sum(coalesce(c_acctbal, 0)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) + 1000 * greatest(0, least(5, (SELECT count(*) FROM part) - r)) + 7")
 
 
+@query("formula_user_functions", "SELECT s_suppkey, round(s_acctbal * s_nationkey * 1.5 / ((SELECT max(s_acctbal) - min(s_acctbal) FROM supplier)), 6) AS result FROM supplier")
+def _user_functions(s: SparkSession, d: str) -> DataFrame:
+    """A function of columns and an aggregate that a user registers."""
+    registry.function("weighed", "nn", "number", 1.5)(lambda x, w: x * w)
+    registry.aggregate_function("spanof")(lambda x: F.max(x) - F.min(x))
+    made = with_table_formulas(table(s, d, "supplier"), {"result": "WEIGHED(s_acctbal)*s_nationkey/SPANOF(s_acctbal)"})
+    return made.select("s_suppkey", F.round("result", 6).alias("result"))
+
+
+@query("formula_user_table", "SELECT CAST(row_number() OVER (ORDER BY v DESC, k) AS DOUBLE) AS place, v AS value FROM (SELECT s_acctbal AS v, s_suppkey AS k FROM supplier WHERE s_suppkey % 3 = 1)")
+def _user_table(s: SparkSession, d: str) -> DataFrame:
+    """A table function that a user registers, inside a sort."""
+    registry.table_function("everynth")(lambda rows, n, at: rows.where(F.col("__o") % int(n) == int(at)))
+    return spilled(table(s, d, "supplier"), "SORT(EVERYNTH(s_acctbal,3,1),1,-1)", "s_suppkey")
+
+
 @query("formula_rand", "SELECT true AS inside, true AS varies")
 def _rand(s: SparkSession, d: str) -> DataFrame:
     made = with_table_formulas(table(s, d, "lineitem"), {"r": "RAND()", "k": "RANDBETWEEN(3,7)", "twice": "RAND()-RAND()"})
