@@ -526,7 +526,9 @@ def spilled(df: DataFrame, formula: str, ordinal: str, tables: Mapping[str, Tabl
     return L.numbered(made, "__o", "place").select("place", "value")
 
 
-def constant_value(node):
+def constant_value(node, b: Binder | None = None):
+    if b is not None and isinstance(node, Call) and node.name == "ROWS":
+        return float(b.table(node.args[0]).df.count())
     return -node.of.value if isinstance(node, Unary) else node.value
 
 
@@ -540,7 +542,7 @@ def array_rows(b: Binder, node) -> DataFrame:
 
 
 def sequence(b: Binder, *args) -> DataFrame:
-    n, cols, start, step = (*map(constant_value, args), *(1.0, 1.0, 1.0)[len(args) - 1 :])
+    n, cols, start, step = (*[constant_value(a, b) for a in args], *(1.0, 1.0, 1.0)[len(args) - 1 :])
     return L.sequence(b.df.sparkSession, int(n), int(cols), start, step).select("value", (F.col("row") * int(cols) + F.col("col")).alias("__o"))
 
 

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import grid as G
 from gridloom.operators import lookup as L
+from gridloom.operators import rules as R
 from gridloom.plans import registry
 from gridloom.plans.compiler import aggregate_formulas, formula_column, outputs
 from gridloom.plans.filldown import ROW, fill_down
+from gridloom.plans.lineage import closure
 from gridloom.plans.relational import Table, spilled, with_table_formulas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,7 +311,25 @@ query("format_color_scale", "SELECT s_suppkey, color FROM (SELECT s_suppkey, (s_
     lambda s, d: G.color_scale(table(s, d, "supplier"), "s_acctbal", ["000000", "00FF00"]).select("s_suppkey", "color")
 )
 query("format_sparkline", "SELECT list(s_acctbal ORDER BY s_suppkey) AS values FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 4096)")(lambda s, d: G.sparkline(table(s, d, "supplier"), ["s_suppkey"], "s_acctbal"))
-query("format_expand_area", "SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM range(0, 3) a(r), range(1, 3) b(c)")(lambda s, d: G.expand_area(s, [(0, 1, 2, 2), (0, 0, 1_000_000, 10)]))
+
+
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    """A rule for each nation, over areas that overlap: comparisons, and every fifth a colour scale."""
+    n = F.col("n_nationkey")
+    op = F.when(n % 5 == 4, "scale").when(n % 5 == 3, "notBetween").when(n % 5 == 2, "between").when(n % 5 == 1, "lessThan").otherwise("greaterThanOrEqual")
+    color = F.lpad(F.hex((n * 9973 + 4660).cast("long")), 6, "0")
+    rules = table(s, d, "nation").select(n.alias("rule"), (n * 37).cast("int").alias("r0"), (n % 2).cast("int").alias("c0"), (n * 37 + 60 + n * n).cast("int").alias("r1"), (n % 2 + n % 3).cast("int").alias("c1"), op.alias("op"), (n * 2.0).alias("a"), F.lit(30.0).alias("b"), color.alias("color"), F.lit("FFFFFF").alias("color2"))
+    sheet = table(s, d, "part").select(F.col("p_partkey").alias(ROW), "p_size", "p_retailprice")
+    return R.formatted(R.cells_of(sheet, ["p_size", "p_retailprice"]), rules)
+
+
+query("format_rules", """WITH rules AS (SELECT n_nationkey AS rule, n_nationkey * 37 AS r0, n_nationkey % 2 AS c0, n_nationkey * 37 + 60 + n_nationkey * n_nationkey AS r1, n_nationkey % 2 + n_nationkey % 3 AS c1, n_nationkey * 2.0 AS a, upper(lpad(format('{:x}', n_nationkey * 9973 + 4660), 6, '0')) AS color FROM nation),
+cells AS (SELECT p_partkey AS row, 0 AS col, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 1, p_retailprice FROM part),
+met AS (SELECT *, min(value) OVER (PARTITION BY rule) AS lo, max(value) OVER (PARTITION BY rule) AS hi FROM cells JOIN rules ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1),
+made AS (SELECT row, col, rule, CASE rule % 5 WHEN 4 THEN true WHEN 3 THEN NOT value BETWEEN least(a, 30) AND greatest(a, 30) WHEN 2 THEN value BETWEEN least(a, 30) AND greatest(a, 30) WHEN 1 THEN value < a ELSE value >= a END AS hit,
+  CASE WHEN rule % 5 = 4 THEN (SELECT string_agg(upper(lpad(format('{:x}', CAST(floor(k + (255 - k) * CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.5 END + 0.5) AS BIGINT)), 2, '0')), '' ORDER BY i) FROM (SELECT i, CAST('0x' || substring(color, 1 + 2 * i, 2) AS BIGINT) AS k FROM range(0, 3) t(i))) ELSE color END AS color FROM met)
+SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, max(rule) AS rule, arg_max(color, rule) AS color FROM made WHERE hit GROUP BY row, col""")(_rules)
+
 
 query("grid_sort_whole", f"SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, _row) AS pos FROM ({_CUSTOMER})")(
     lambda s, d: L.sorted_places(customer_grid(s, d).df, "c_acctbal", G.ROW, True).withColumnRenamed("__place", "pos")
@@ -489,7 +509,7 @@ def arrayed(name: str, source: str, formula: str, ordinal: str, sql: str) -> Non
 arrayed("formula_unique", "part", "UNIQUE(p_brand)", "p_partkey", "SELECT p_brand AS value, min(p_partkey) AS o FROM part GROUP BY p_brand")
 arrayed("formula_sort_filter", "supplier", "SORT(FILTER(s_acctbal*2,s_acctbal>0),1,-1)", "s_suppkey", "SELECT s_acctbal * 2 AS value, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS o FROM supplier WHERE s_acctbal > 0")
 arrayed("formula_sort_unique_filter", "part", 'SORT(UNIQUE(FILTER(p_type,(p_size>10)*(p_brand<>"Brand#11"))))', "p_partkey", "SELECT DISTINCT p_type AS value, lower(p_type) AS o FROM part WHERE p_size > 10 AND lower(p_brand) <> 'brand#11'")
-arrayed("formula_sequence", "region", "SEQUENCE(4,3,10,-0.5)", "r_regionkey", "SELECT 10 - 0.5 * i::DOUBLE AS value, i AS o FROM range(0, 12) t(i)")
+arrayed("formula_sequence", "region", "SEQUENCE(ROWS(part),3,10,-0.5)", "r_regionkey", "SELECT 10 - 0.5 * i::DOUBLE AS value, i AS o FROM range(0, 3 * (SELECT count(*) FROM part)) t(i)")
 query("dyn_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 40")(lambda s, d: part_grid(s, d).filter({"column": "p_size", "kind": "number", "op": "gt", "value": 40}).rows().select(F.col(G.ROW).alias("p_partkey"), "p_name"))
 
 # Windows, order statistics, dynamic arrays
@@ -504,7 +524,7 @@ query("win_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PAR
 )
 query("dyn_unique", "SELECT p_brand AS value, min(p_partkey) AS first FROM part GROUP BY p_brand")(lambda s, d: L.unique(table(s, d, "part"), "p_brand", "p_partkey"))
 query("dyn_sort", "SELECT n_name AS value, n_nationkey FROM nation")(lambda s, d: L.sort_values(table(s, d, "nation"), "n_name", "n_nationkey"))
-query("dyn_sequence", "SELECT i // 3 AS row, i % 3 AS col, 10 + 0.5 * i AS value FROM range(0, 12) t(i)")(lambda s, d: L.sequence(s, 4, 3, 10.0, 0.5))
+query("dyn_sequence", "SELECT i // 3 AS row, i % 3 AS col, 10 + 0.5 * i AS value FROM range(0, 3 * (SELECT count(*) FROM part)) t(i)")(lambda s, d: L.sequence(s, table(s, d, "part").count(), 3, 10.0, 0.5))
 query("text_textjoin_column", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS joined FROM nation GROUP BY n_regionkey")(lambda s, d: L.text_join(table(s, d, "nation"), ", ", "n_name", "n_nationkey", ["n_regionkey"]))
 
 # Streaming windows (in batch form here; the same plan runs on a stream)
@@ -518,6 +538,44 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return made.withColumn("total", F.round("total", 4))
 
 
+# Lineage: a workbook for each customer, and all orders as one large workbook
+
+
+def order_books(s: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as a workbook: A the price, B the price plus the tax of the row above, C a sum of the last B, D of all A."""
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(s, d, "orders").select("o_custkey", (n - 1).alias("r"), F.round("o_totalprice").cast("long").alias("x"))
+    k = F.col("r") + 1
+    texts = [F.col("x").cast("string"), F.when(k % 4 == 1, F.concat(F.lit("=A"), k, F.lit("*2"))).otherwise(F.concat(F.lit("=A"), k, F.lit("+$B$"), k - 1)), F.concat(F.lit('=IF(B'), k, F.lit('>0,"B1",SUM(B$'), F.greatest(k - 2, F.lit(1)), F.lit(":B"), k, F.lit("))")), F.when(k == 1, F.lit("=SUM(A1:A1000)-Other!C1"))]
+    cells = rows.select(F.col("o_custkey").cast("string").alias("book"), F.col("r").alias("row"), F.posexplode(F.array(*texts)).alias("col", "input"))
+    return cells.where("input IS NOT NULL")
+
+
+def large_book(s: SparkSession, d: str) -> DataFrame:
+    """All parts as one workbook: B reads stretches of A, C stretches of B."""
+    k = F.col("p_partkey") + 1
+    texts = [F.col("p_size").cast("string"), F.concat(F.lit("=SUM(A"), F.floor(k / 2) + 1, F.lit(":A"), k, F.lit(")")), F.concat(F.lit("=MAX(B"), k, F.lit(":$B$"), k + 100, F.lit(")"))]
+    return table(s, d, "part").select(F.lit("parts").alias("book"), F.col("p_partkey").alias("row"), F.posexplode(F.array(*texts)).alias("col", "input"))
+
+
+_ORDER_BOOKS = "SELECT CAST(o_custkey AS VARCHAR) AS book, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders"
+#: Direct reads of the order books, written out: from (row, col) to (row, col).
+_ORDER_READS = f"""SELECT book, r AS row, 0 AS col, r AS to_row, 1 AS to_col FROM rows UNION ALL SELECT book, r - 1, 1, r, 1 FROM rows WHERE r % 4 <> 0
+UNION ALL SELECT a.book, a.r, 1, b.r, 2 FROM rows a JOIN rows b ON a.book = b.book AND a.r BETWEEN greatest(b.r - 2, 0) AND b.r UNION ALL SELECT book, r, 0, 0, 3 FROM rows WHERE r < 1000"""
+_WALK = "WITH RECURSIVE rows AS ({rows}), reads AS ({reads}), found(book, row, col, step) AS (SELECT book, {to}, 1 FROM reads WHERE {start} UNION SELECT f.book, {next}, f.step + 1 FROM found f JOIN reads e ON e.book = f.book AND {link}) SELECT book, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(min(step) AS BIGINT) AS step FROM found GROUP BY book, row, col"
+_DOWN = {"to": "to_row, to_col", "next": "e.to_row, e.to_col", "link": "e.row = f.row AND e.col = f.col"}
+_UP = {"to": "row, col", "next": "e.row, e.col", "link": "e.to_row = f.row AND e.to_col = f.col"}
+_PART_READS = "SELECT 'parts' AS book, a.p_partkey AS row, 0 AS col, b.p_partkey AS to_row, 1 AS to_col FROM part a JOIN part b ON a.p_partkey BETWEEN (b.p_partkey + 1) // 2 AND b.p_partkey UNION ALL SELECT 'parts', a.p_partkey, 1, b.p_partkey, 2 FROM part a JOIN part b ON a.p_partkey BETWEEN b.p_partkey AND b.p_partkey + 100"
+query("lineage_dependents", _WALK.format(rows=_ORDER_BOOKS, reads=_ORDER_READS, start="row = 0 AND col = 0", **_DOWN))(lambda s, d: lineage(order_books(s, d), F.expr("row = 0 AND col = 0")))
+query("lineage_precedents", _WALK.format(rows=_ORDER_BOOKS, reads=_ORDER_READS, start="to_row = 3 AND to_col = 2", **_UP))(lambda s, d: lineage(order_books(s, d), F.expr("row = 3 AND col = 2"), True))
+query("lineage_large_dependents", _WALK.format(rows="SELECT 1", reads=_PART_READS, start="row % 50 = 7 AND col = 0", **_DOWN))(lambda s, d: lineage(large_book(s, d), F.expr("row % 50 = 7 AND col = 0")))
+query("lineage_large_precedents", _WALK.format(rows="SELECT 1", reads=_PART_READS, start="to_row = 90 AND to_col = 2", **_UP))(lambda s, d: lineage(large_book(s, d), F.expr("row = 90 AND col = 2"), True))
+
+
+def lineage(cells: DataFrame, start, upwards: bool = False) -> DataFrame:
+    return closure(cells, cells.where(start), upwards).select("book", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("step").cast("long").alias("step"))
+
+
 # Workbooks: one small workbook per customer, evaluated cell by cell
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -17,6 +15,7 @@ from gridloom.operators.grid import ROW
 from gridloom.plans.language import a1
 from gridloom.sources.csv import read_csv, read_csv_files
 from gridloom.sources.ooxml import detect, parse_packages
+from gridloom.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,12 +31,6 @@ def query(name: str, sql: str):
     return register
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both reach it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/')}/gridloom-{uuid.uuid4().hex}" if found else tempfile.mkdtemp(prefix="gridloom-") + "/out"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
