@@ -54,6 +54,26 @@ def _quoted(s: SparkSession, d: str) -> DataFrame:
     return read_csv(s, lines_of(table(s, d, "part"), line, "p_partkey"))[0]
 
 
+@query("csv_encoded", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, CAST(n_nationkey AS VARCHAR) AS c0, n_name || '中国的人' AS c1, CASE WHEN n_regionkey > 2 THEN n_name ELSE '我们，是' END AS c2 FROM nation")
+def _encoded(s: SparkSession, d: str) -> DataFrame:
+    """Text in a double-byte encoding that the reader has to find out."""
+    path = shared_folder(s)
+    made = table(s, d, "nation").orderBy("n_nationkey").select("n_nationkey", F.concat("n_name", F.lit("中国的人")), F.when(F.col("n_regionkey") > 2, F.col("n_name")).otherwise("我们，是"))
+    s.conf.set("spark.sql.legacy.javaCharsets", "true")  # the writer takes few encodings otherwise
+    try:
+        made.coalesce(1).write.option("encoding", "GB18030").csv(path)
+    finally:
+        s.conf.unset("spark.sql.legacy.javaCharsets")
+    return read_csv(s, path)[0]
+
+
+@query("csv_blank_end", "SELECT p_partkey AS _row, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE p_name END AS c0, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE p_brand END AS c1 FROM part WHERE p_partkey <= (SELECT max(p_partkey) FROM part WHERE p_partkey % 3 <> 1 AND p_partkey < (SELECT count(*) - 5 FROM part))")
+def _blank_end(s: SparkSession, d: str) -> DataFrame:
+    """Rows of one empty field are rows in the middle and none at the end."""
+    parts = table(s, d, "part")
+    return read_csv(s, lines_of(parts, f"CASE WHEN p_partkey % 3 = 1 OR p_partkey >= {parts.count() - 5} THEN '\"\"' ELSE concat(p_name, '\t', p_brand) END", "p_partkey"))[0]
+
+
 @query("csv_whole_files", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, 'not_text' AS error FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
 def _files(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s)

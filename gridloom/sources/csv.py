@@ -21,6 +21,7 @@ import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +42,7 @@ GUESS_LINES = 200
 
 
 class CsvError(ValueError):
-    """``kind``: empty, too_large, undecodable, not_text or malformed (with the line)."""
+    """``kind``: empty, too_large, undecodable, not_text, several_files (one grid is one file) or malformed (with the line)."""
 
     def __init__(self, kind: str, detail: str = "", line: int | None = None):
         super().__init__(" ".join(filter(None, (kind, detail, f"line {line}" if line is not None else ""))))
@@ -194,17 +195,24 @@ def read_csv_files(spark: SparkSession, path: str, delimiter: str | None = None)
     return files(spark, path).mapInPandas(run, f"path string, {ROW} long, fields array<string>, encoding string, delimiter string, truncated_rows boolean, truncated_cols boolean, error string")
 
 
-def head_of(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, or of the first file of a folder, whatever store it is in."""
+def ends_of(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
+    """The first bytes and the last one of a file, or of a folder's only file, whatever store it is in."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(p).isDirectory():
-        names = sorted(f.getPath().toString() for f in fs.listStatus(p) if not f.getPath().getName().startswith(("_", ".")))
-        p = jvm.org.apache.hadoop.fs.Path(names[0]) if names else p
-    stream = fs.open(p)
+    status = fs.getFileStatus(p)
+    if status.isDirectory():
+        files = [f for f in fs.listStatus(p) if not f.getPath().getName().startswith(("_", "."))]
+        files = [f for f in files if f.getLen()] or files[:1]
+        if len(files) != 1:
+            raise CsvError("empty" if not files else "several_files")
+        status = files[0]
+    stream = fs.open(status.getPath())
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)))
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream
+        head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded(stream, HEAD_BYTES)))
+        stream.seek(max(0, status.getLen() - 1))
+        return head, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded(stream, 1)))
     finally:
         stream.close()
 
@@ -284,8 +292,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select("value", F.spark_partition_id().alias("__part"))
 
 
-def quoted_grid(lines: DataFrame, encoding: str, delimiter: str) -> tuple[DataFrame, int]:
-    """``_row, fields`` and the greatest number of fields."""
+def quoted_grid(lines: DataFrame, encoding: str, delimiter: str, fed: bool) -> tuple[DataFrame, int]:
+    """``_row, fields`` and the greatest number of fields; ``fed`` tells whether the file ends in a line feed."""
     raw = lines.select("__part", F.col("value").cast("binary").alias("value"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, list[str]]:
@@ -310,11 +318,14 @@ def quoted_grid(lines: DataFrame, encoding: str, delimiter: str) -> tuple[DataFr
         part, inside = d.pop("part"), d.pop("inside")
         found.setdefault(part, {})[inside] = Split(**d)
     at, width, last = starts(found)
+    end = max(found, default=None)
 
     def parse_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, text = own(batches)
         if part is None:
             return
+        if part == end and not fed:
+            text[-1] = text[-1].removesuffix("\n")
         inside, first = at[part]
         rows, ends, open_ = records(text, delimiter, inside)
         pieces = []
@@ -345,13 +356,13 @@ def quoted_grid(lines: DataFrame, encoding: str, delimiter: str) -> tuple[DataFr
 
 def plain_grid(lines: DataFrame, delimiter: str, sizes: dict[int, int]) -> DataFrame:
     """``_row, fields`` of a file without quotes, in DataFrame functions only; a split's rows follow those before it."""
-    before, cases = 0, []
-    for part in sorted(sizes):
-        cases += [F.lit(part), F.lit(before)]
-        before += sizes[part]
+    parts = sorted(sizes)
+    befores = [0, *accumulate(sizes[p] for p in parts)]
+    starts = pd.DataFrame({"__part": parts, "__before": befores[: len(parts)]})
+    known = lines.sparkSession.createDataFrame(starts, "__part int, __before long")
     kept = lines.select(plain_line().alias("line"), "__part").where("line <> ''").withColumn("__id", F.monotonically_increasing_id())
-    offset = F.element_at(F.create_map(*cases), F.col("__part")) if cases else F.lit(0)
-    return kept.select((offset.cast("long") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(ROW), F.split("line", re.escape(delimiter), -1).alias("fields"))
+    kept = kept.join(F.broadcast(known), "__part")  # one row for each split
+    return kept.select((F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(ROW), F.split("line", re.escape(delimiter), -1).alias("fields"))
 
 
 def plain_line() -> Column:
@@ -362,7 +373,7 @@ def plain_line() -> Column:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = False, physical: bool = False) -> tuple[DataFrame, list[str]]:
     """A grid (``_row, c0 ... cN``) and the first row's fields if it is a header; with ``physical`` also ``_fields``, the fields that a row really has."""
-    head = head_of(spark, path)
+    head, end = ends_of(spark, path)
     if not head.strip():
         raise CsvError("empty")
     whole = len(head) < HEAD_BYTES
@@ -396,7 +407,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     if encoding == "utf-8" and not any(r["odd"] for r in seen):
         rows, width = plain_grid(lines, mark, {r["__part"]: r["rows"] for r in seen}), max(r["marks"] for r in seen) + 1
     else:
-        rows, width = quoted_grid(lines, encoding, mark)
+        rows, width = quoted_grid(lines, encoding, mark, end == b"\n")
     names: list[str] = []
     if header:
         names = next(iter(without_blank(records(list(io.StringIO(text, newline="")), mark, False)[0])), [])
