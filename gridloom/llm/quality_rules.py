@@ -136,12 +136,16 @@ def order_rules(rows: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id"
     return out
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """The name of the first rule that rejects the row, in this order; null for kept rows."""
+def cascade(rules: list[Rule], ready: bool = False) -> Column:
+    """The name of the first rule that rejects the row, in this order; null for kept rows.
+
+    ``ready``: the metrics are columns of the row, as the caller wants them for all rows.
+    """
+    test = lambda rule: F.expr(rule.condition if ready else spelled(rule.condition))
     first, *rest = rules
-    out = F.when(F.expr(spelled(first.condition)), first.name)
+    out = F.when(test(first), first.name)
     for rule in rest:
-        out = out.when(F.expr(spelled(rule.condition)), rule.name)
+        out = out.when(test(rule), rule.name)
     return out
 
 
@@ -149,7 +153,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, text``, the metrics if asked for, ``rejected_by`` (the first rejecting rule in the cascade's order) and ``kept``."""
     rows = word_rows(df, id_col, text_col)
     order = [rule for rule, _, _ in order_rules(rows, rules, id_col)]
-    made = rows.select(id_col, "text", *(metric_columns() if with_metrics else []), cascade(order).alias("rejected_by"))
+    made = rows.select(id_col, "text", *metric_columns()) if with_metrics else rows
+    made = made.withColumn("rejected_by", cascade(order, with_metrics)).drop("__words")
     return made.withColumn("kept", F.col("rejected_by").isNull())
 
 
