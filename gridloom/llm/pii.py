@@ -11,10 +11,11 @@ Every kind of span holds a digit, an ``@``, an at-mark or a dot-mark, so only
 stretches around such triggers, grown to the white space beyond ``MARGIN`` characters,
 can hold a span; all of these, in the whole text, are cut into overlapping windows.
 Each window is decoded by Viterbi. A span that a window's edge cuts gives way to a
-window that sees it whole; where no window did, one is decoded around it. The windows'
-spans are then reconciled over the whole text: of all non-overlapping sets that of the
-largest total score is kept (weighted interval scheduling). Model spans are at most
-``WINDOW - 2`` characters long; base spans have no limit.
+window that sees it whole; where no window did, one is decoded around it, and for an
+address twice as long ones up to ``LONGEST`` characters, over which there is none (64 for
+the name, 255 for the host, and marks between); other kinds have too few digits to be
+cut twice. The windows' spans are then reconciled over the whole text: of all non-overlapping sets that of the
+largest total score is kept (weighted interval scheduling). Base spans have no limit.
 
 Training is deterministic: ``training_spans`` writes labelled sentences from a seed
 (``TRAIN_SENTENCES``, the documented bound), so no label of the corpus is used.
@@ -52,6 +53,8 @@ TRIGGER = re.compile(r"(?i)[0-9@]|[\[(](?:at|dot)[\])]")
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STEP, MARGIN = 96, 48, 32
+#: The widest window around a span that narrower ones cut.
+LONGEST = 384
 TRAIN_SENTENCES, EPOCHS, EMBED, HIDDEN = 3000, 12, 8, 16
 #: What a span's characters score over the tag O on average, at least.
 SURE = 0.3
@@ -368,11 +371,11 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def decoded(texts: list[str], where: list[tuple[int, int, int]], model: BiLstmCrf) -> Iterator[tuple[int, int, int, str, float, bool]]:
+def decoded(texts: list[str], where: list[tuple[int, int, int]], model: BiLstmCrf, width: int = WINDOW) -> Iterator[tuple[int, int, int, str, float, bool]]:
     """``text, start, end, kind, score over O, cut`` of each span in each window (text, start, end); cut: by the window's edge."""
     for k in range(0, len(where), 512):
         part = where[k : k + 512]
-        ids = np.full((len(part), WINDOW), N_CLASSES - 1)
+        ids = np.full((len(part), width), N_CLASSES - 1)
         for r, (i, a, b) in enumerate(part):
             ids[r, : b - a] = classes(texts[i][a:b])
         path, gain = model.decode(ids)
@@ -396,14 +399,17 @@ def spans_of(texts: list[str], model: BiLstmCrf) -> list[tuple[list[tuple[int, i
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     again: set[tuple[int, int, int]] = set()
     todo = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
-    for turn in range(2):
-        for i, a, b, kind, score, cut in decoded(texts, todo, model):
-            if cut and not turn:
-                at = max(0, (a + b - WINDOW) // 2)
-                again.add((i, at, min(len(texts[i]), at + WINDOW)))
+    width = WINDOW
+    for turn in range(2 + (LONGEST // WINDOW).bit_length() - 1):
+        wider = WINDOW if not turn else 2 * width
+        for i, a, b, kind, score, cut in decoded(texts, todo, model, width):
+            if cut and (not turn or kind == "email") and wider <= LONGEST:
+                at = max(0, (a + b - wider) // 2)
+                again.add((i, at, min(len(texts[i]), at + wider)))
             elif not cut and score >= SURE * (b - a) and plausible(texts[i][a:b], kind):
                 found[i].append((a, b, kind, score))
-        todo = sorted(again.difference(todo))
+        todo, width = sorted(again.difference(todo)), wider
+        again = set()
     out = []
     for own, more in zip(base, found, strict=True):
         taken = sorted((a, b) for a, b, _ in own)

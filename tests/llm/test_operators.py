@@ -644,3 +644,17 @@ def test_changes_that_a_byte_cannot_hold(monkeypatch):
     assert wide[:1] == token_counts.WIDE and token_counts.total(wide) == plain[-1]
     assert [i for i, (a, b) in enumerate(zip(own.prefixes(text), plain, strict=True)) if a != b]
     assert token_counts.fitting_prefix(wide, 3) == max(k for k, c in enumerate(own.prefixes(text)) if c <= 3)
+
+
+def test_addresses_longer_than_a_window():
+    model, rng = pii.trained(), random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for name, host in ((40, 60), (60, 70), (20, 30)):
+        texts, want = [], []
+        for k in range(6):
+            want.append(f"{letters(name)} [at] {letters(host)} [dot] com")
+            texts.append(f"{prose(k, 12)} please write to {want[-1]} today, thanks")
+        found = [[t[a:b] for a, b, _ in every] for t, (_, every) in zip(texts, pii.spans_of(texts, model), strict=True)]
+        assert sum(w in f for w, f in zip(want, found, strict=True)) >= 5
+    run = letters(200_000) + "@[at]" + "7" * 50_000
+    assert all(b - a <= pii.LONGEST for a, b, _ in pii.spans_of([run], model)[0][1])
