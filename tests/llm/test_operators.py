@@ -656,5 +656,5 @@ def test_addresses_longer_than_a_window():
             texts.append(f"{prose(k, 12)} please write to {want[-1]} today, thanks")
         found = [[t[a:b] for a, b, _ in every] for t, (_, every) in zip(texts, pii.spans_of(texts, model), strict=True)]
         assert sum(w in f for w, f in zip(want, found, strict=True)) >= 5
-    run = letters(200_000) + "@[at]" + "7" * 50_000
+    run = letters(4_000) + "@[at]" + "7" * 1_000
     assert all(b - a <= pii.LONGEST for a, b, _ in pii.spans_of([run], model)[0][1])
