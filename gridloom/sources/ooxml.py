@@ -7,6 +7,7 @@ folder of files is one DataFrame. A package that cannot be read is a row with an
 from __future__ import annotations
 
 import io
+import math
 import posixpath
 import re
 import zipfile
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.functions.cells import general
 from gridloom.functions.numfmt import BUILTIN, Section, format_with, sections
-from gridloom.functions.serial import from_serial, time_of
+from gridloom.functions.serial import from_serial
 from gridloom.plans.language import parse_a1
 from gridloom.sources.csv import DELIMITERS, files
 
@@ -129,15 +130,20 @@ def styles(pkg: Package) -> list[dict]:
         at = lambda items, key, x=xf: items[int(x.get(key, 0))] if int(x.get(key, 0)) < len(items) else None
         font, fill, border = at(fonts, "fontId"), at(fills, "fillId"), at(borders, "borderId")
         color = None if fill is None else next((attr(c, "rgb") for c in every(fill, "fgColor")), None)
-        out.append({"code": codes.get(fid, BUILTIN.get(fid)), "bold": flag(first(font, "b")), "italic": flag(first(font, "i")), "color": attr(first(font, "color"), "rgb"), "fill": color, "border": border is not None and any(b.get("style") for b in border)})
+        code = codes.get(fid, BUILTIN.get(fid))
+        out.append({"code": code, "date": is_date(code) if code else fid in DATE_IDS, "bold": flag(first(font, "b")), "italic": flag(first(font, "i")), "color": attr(first(font, "color"), "rgb"), "fill": color, "border": border is not None and any(b.get("style") for b in border)})
     return out
 
 
+#: The built-in format ids of dates and times, which have no declared code.
+DATE_IDS = frozenset((*range(14, 23), 45, 46, 47))
+
+
 def is_date(code: str | None) -> bool:
     return code is not None and any(Section(s.body).kind == "date" for s in sections(code))
 
 
-def shown(kind: str, raw: str, code: str | None) -> str:
+def shown(kind: str, raw: str, code: str | None, date: bool = False) -> str:
     """A cell's text: numbers by their format code, dates without one in ISO form."""
     if kind == "b":
         return "TRUE" if raw == "1" else "FALSE"
@@ -147,13 +153,14 @@ def shown(kind: str, raw: str, code: str | None) -> str:
         n = float(raw)
     except ValueError:
         return raw
-    return format_with(n, code)[0] if code else str(general(n))
+    return format_with(n, code)[0] if code else iso(n) if date and math.isfinite(n) else str(general(n))
 
 
 def iso(serial: float) -> str:
-    y, m, d = from_serial(serial)
-    hh, mi, ss = time_of(serial)
-    return f"{y:04}-{m:02}-{d:02}" + (f" {hh:02}:{mi:02}:{ss:02}" if serial % 1 else "")
+    """Date, and the time to the second unless it is midnight."""
+    day, seconds = divmod(math.floor(serial * 86400 + 0.5), 86400)
+    y, m, d = from_serial(day)
+    return f"{y:04}-{m:02}-{d:02}" + (f" {seconds // 3600:02}:{seconds // 60 % 60:02}:{seconds % 60:02}" if seconds else "")
 
 
 def sheet_parts(pkg: Package) -> list[tuple[str, str]]:
@@ -187,8 +194,8 @@ def workbook_cells(data: bytes) -> Iterator[dict]:
             elif kind == "inlineStr":
                 raw = "".join(t.text or "" for t in every(c, "t"))
             style = int(c.get("s", 0))
-            code = looks[style]["code"] if style < len(looks) else None
-            display = shown(kind, raw, code) if raw else ""
+            look = looks[style] if style < len(looks) else {"code": None, "date": False}
+            display = shown(kind, raw, look["code"], look["date"]) if raw else ""
             yield {"sheet": name, "row": at[0], "col": at[1], "kind": kind, "raw": raw, "display": display, "formula": None if f is None else "=" + (f.text or ""), "style": style}
         if count > MAX_CELLS:
             yield {"sheet": name, "row": None, "col": None, "kind": "truncated", "raw": "", "display": "", "formula": None, "style": None}

@@ -13,6 +13,7 @@ SAMPLE = [
     "agg_sumifs", "agg_countif", "agg_subtotal_4", "agg_error_value", "math_divide", "math_round", "math_gcd", "text_proper", "text_find", "text_text_percent", "logic_switch", "info_iserr", "date_eomonth", "date_date", "fin_npv", "eng_dec2hex", "grid_filter_conjunction", "grid_filter_then_sort",
     "grid_distinct", "grid_find", "grid_gather", "format_color_scale", "lookup_vlookup", "lookup_xlookup", "lookup_hlookup", "lookup_approximate", "lookup_match_unsorted", "win_rank_grouped", "win_mode", "win_running_total", "dyn_sequence", "text_textjoin_column", "stream_window", "workbook_evaluate",
     "math_long_formula", "info_type", "date_second", "grid_sort_whole", "grid_find_document", "formula_vlookup", "formula_xlookup", "formula_lookup_last_of_equals", "formula_match", "formula_rank", "formula_sort_unique_filter", "formula_rand", "csv_ragged", "csv_quoted_lines", "csv_whole_files", "xlsx_cells", "docx_blocks", "pptx_shapes",
+    "formula_sumif_key", "formula_share", "agg_several_columns", "formula_hlookup", "formula_fill_remaining", "formula_cross_sheet_range", "text_fraction", "agg_median_columns", "formula_user_table", "grid_view_descending", "format_rules", "lineage_precedents", "csv_blank_end",
 ]
 
 

@@ -173,3 +173,8 @@ def test_packages_are_read_as_dataframes(spark, tmp_path):
     rows = X.read_packages(spark, str(tmp_path), "cells").collect()
     assert sum(r["error"] is None for r in rows) == 6 and sum(r["error"] is not None for r in rows) == 1
     assert X.detect(WORKBOOK) == "xlsx" and X.detect(DOCUMENT) == "docx" and X.detect(SLIDES) == "pptx" and X.detect(b"a,b\n1,2") == "csv" and X.detect(b"\0\1") == "unknown"
+
+
+def test_a_date_without_a_code_is_shown_in_iso_form():
+    assert [X.shown("n", raw, None, True) for raw in ("43890", "43890.75", "43890.9999999")] == ["2020-02-29", "2020-02-29 18:00:00", "2020-03-01"]
+    assert X.shown("n", "43890", None) == "43890" and X.shown("n", "43890", "yyyy", True) == "2020"
