@@ -15,6 +15,7 @@ from gridloom.operators.grid import ROW
 from gridloom.plans.language import a1
 from gridloom.sources.csv import read_csv, read_csv_files
 from gridloom.sources.ooxml import detect, parse_packages
+from gridloom.sources.packed import pack, unpack, widths_of
 from gridloom.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +75,20 @@ def _blank_end(s: SparkSession, d: str) -> DataFrame:
     return read_csv(s, lines_of(parts, f"CASE WHEN p_partkey % 3 = 1 OR p_partkey >= {parts.count() - 5} THEN '\"\"' ELSE concat(p_name, '\t', p_brand) END", "p_partkey"))[0]
 
 
+@query("packed_round_trip", "SELECT p_partkey AS _row, CAST(p_size AS VARCHAR) AS c0, p_name AS c1, p_brand || '－' AS c2 FROM part")
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    """A grid packed, written, read, checked and cut up again."""
+    path = shared_folder(s)
+    grid = table(s, d, "part").select(F.col("p_partkey").alias(ROW), "p_size", "p_name", F.concat("p_brand", F.lit("－")).alias("b"))
+    pack(grid, 512).write.parquet(path)
+    return unpack(s.read.parquet(path)).select(ROW, *[F.col("fields")[i].alias(f"c{i}") for i in range(3)])
+
+
+@query("packed_widths", "SELECT CAST(col AS INTEGER) AS col, CAST(least(greatest(max(w), 3), 60) AS INTEGER) AS width FROM (SELECT 0 AS col, length(CAST(p_size AS VARCHAR)) AS w FROM part UNION ALL SELECT 1, length(p_name) FROM part UNION ALL SELECT 2, length(p_brand) + 2 FROM part) GROUP BY col")
+def _packed_widths(s: SparkSession, d: str) -> DataFrame:
+    return widths_of(pack(table(s, d, "part").select(F.col("p_partkey").alias(ROW), "p_size", "p_name", F.concat("p_brand", F.lit("－")).alias("b")), 300))
+
+
 @query("csv_whole_files", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, 'not_text' AS error FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
 def _files(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s)

@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators.grid import ROW
 from gridloom.sources import csv as C
@@ -178,3 +179,22 @@ def test_packages_are_read_as_dataframes(spark, tmp_path):
 def test_a_date_without_a_code_is_shown_in_iso_form():
     assert [X.shown("n", raw, None, True) for raw in ("43890", "43890.75", "43890.9999999")] == ["2020-02-29", "2020-02-29 18:00:00", "2020-03-01"]
     assert X.shown("n", "43890", None) == "43890" and X.shown("n", "43890", "yyyy", True) == "2020"
+
+
+def test_packed_rows_come_back_and_corrupt_ones_do_not(spark):
+    from gridloom.sources import packed as K
+
+    rows = [(0, ["a", "", "漢字"]), (1, []), (2, ["x" * 300, None]), (7, ["é"]), (9, ["1", "2", "3", "4"])]
+    df = spark.createDataFrame(rows, "_row long, fields array<string>").repartition(3)
+    made = K.pack(df, 4, "fields")
+    assert {r["_row"]: r["fields"] for r in K.unpack(made).collect()} == {i: [c or "" for c in f] for i, f in rows}
+    assert {r["col"]: r["width"] for r in K.widths_of(made).collect()} == {0: 60, 1: 3, 2: 4, 3: 3}
+    good = {"text": "aé".encode(), "cell_ends": [1, 3], "row_starts": [0, 1, 2], "cols": 1, "widths": [3], "numbers": [4, 5]}
+    assert K.checked(**good) == [["a"], ["é"]]
+    wrong = {"not UTF-8": {"text": b"a\xff\xff"}, "no row starts": {"row_starts": []}, "widths": {"widths": []}, "number of cells": {"row_starts": [0, 1]}, "row starts fall": {"row_starts": [0, 3, 2]}, "cell ends fall": {"cell_ends": [4, 3]}, "length of text": {"cell_ends": [1, 2]}, "do not fit": {"numbers": [1]}, "inside a character": {"cell_ends": [2, 3]}}
+    for reason, part in wrong.items():
+        with pytest.raises(K.CorruptPacked, match=reason):
+            K.checked(**good | part)
+    with pytest.raises(Exception, match="corrupt_packed"):
+        K.unpack(made.withColumn("cols", F.lit(0))).collect()
+    assert K.unpack(K.pack(df.limit(0), 4, "fields")).collect() == []
