@@ -56,10 +56,24 @@ def ranges_of(df: DataFrame, column: str) -> list:
     return sorted({r["c"] for r in cut})[1:]
 
 
+#: Up to so many cuts are compared in generated code; more would make the plan grow with the cluster.
+TREE = 32
+
+
 def range_of(col: Column, cuts: list) -> Column:
-    """How many cuts are at most the value, found by halving in an array of them; 0 for nulls."""
-    if not cuts:
-        return F.lit(0)
+    """How many cuts are at most the value, found by halving; 0 for nulls.
+
+    Many cuts are one array, which a fold of a step for each halving looks up.
+    """
+
+    def halved(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col >= F.lit(cuts[mid]), halved(mid + 1, hi)).otherwise(halved(lo, mid))
+
+    if len(cuts) <= TREE:
+        return halved(0, len(cuts))
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
     held = F.lit(cuts)
     at_most = lambda n: F.coalesce(F.get(held, n - 1) <= col, F.lit(False))

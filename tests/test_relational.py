@@ -94,6 +94,6 @@ def test_no_plan_compares_all_with_all(tables):
 
 def test_cuts_by_halving(spark):
     df = spark.range(-3, 60).selectExpr("CAST(id AS DOUBLE) AS x", "id")
-    for cuts in ([], [5.0], [1.0, 2.0, 3.5, 40.0], [float(i) for i in range(0, 50, 3)]):
+    for cuts in ([], [5.0], [1.0, 2.0, 3.5, 40.0], [float(i) for i in range(0, 50, 3)], [i / 2 for i in range(-4, 90)]):
         got = df.select("x", L.range_of(df["x"], cuts).alias("r")).collect()
         assert all(r["r"] == sum(c <= r["x"] for c in cuts) for r in got)
