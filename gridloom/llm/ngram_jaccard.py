@@ -23,7 +23,8 @@ that everything follows:
    pivot has, a pair of similarity 0.8 has at least ``(d(x) + d(y) - (|x| + |y|) / 9) /
    2`` such differences in common, and this is positive unless both are linked to
    the pivot, hence in one component. Differences that no class of another component
-   has count as not shared. The others are ordered by frequency and cut
+   has count as not shared. A class much of which the pivot lacks is first looked up
+   by a few such tokens. Open differences are ordered by frequency and cut
    to a prefix; rare ones (``RARE_DIFFERENCE``) are indexed alone, of frequent ones
    combinations of two, which a prefix that is extended by one makes safe. A class that may share just one
    difference with a partner looks for it among the single ones.
@@ -63,6 +64,8 @@ RARE = 32
 #: Classes that share a difference of the rare kind at most. A class has many differences
 #: to combine by two, while few pairs of those that share one pass the bounds.
 RARE_DIFFERENCE = 256
+#: Tokens beyond those that a partner may lack by which a class is looked up, and a quarter of those.
+PROBE = 17
 #: Turns of pivots.
 STAR_ROUNDS = 3
 #: Tasks that the rows of one component are dealt to at least when its id is told to them.
@@ -266,6 +269,84 @@ def least_shared(d: Column, n: Column, m: Column, t: Fraction) -> Column:
     return F.greatest(F.lit(1), F.when(linked, near).otherwise(d - F.floor(n * (b - a) / F.lit(a))))
 
 
+def unshared(n: Column, t: Fraction) -> Column:
+    """Tokens of a set of ``n`` that a partner may lack."""
+    return n - F.floor((t.numerator * n + t.denominator - 1) / F.lit(t.denominator))
+
+
+def open_differences(tokens: DataFrame) -> DataFrame:
+    """``pivot, token, df``: the differences from a pivot that classes of several components have.
+
+    Labels and counts are aggregated before the shuffle, however many classes have one.
+    """
+    return tokens.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
+
+
+def promising(apart: DataFrame, t: Fraction) -> DataFrame:
+    """The rows of :func:`differences` whose class can share enough of what the pivot lacks.
+
+    A partner lacks :func:`unshared` tokens of a class at most. Where the pivot lacks
+    more, the partner has the rest, so in any few of these tokens beyond that number
+    are open ones; a class is looked up by so few of its tokens.
+    """
+    added = F.slice("tokens", F.lit(1), F.col("added").cast("int"))
+    may = unshared(F.col("n"), t)
+    doubtful = apart.where(F.col("added") > may)
+    few = F.least(F.col("added"), may + F.floor(may / 4) + PROBE)
+    open_ = open_differences(apart.select("pivot", "label", F.explode(added).alias("token"))).select("pivot", "token")
+    asked = doubtful.select("pivot", "set_key", (few - may).alias("least"), F.explode(F.slice("tokens", F.lit(1), few.cast("int"))).alias("token"))
+    found = asked.join(open_, ["pivot", "token"], "left_semi").groupBy("pivot", "set_key", "least").agg(F.count("*").alias("c")).where("c >= least")
+    return apart.where(F.col("added") <= may).union(doubtful.join(found.select("pivot", "set_key"), ["pivot", "set_key"], "left_semi").select(*apart.columns))
+
+
+def first_differences(apart: DataFrame, t: Fraction) -> DataFrame:
+    """``pivot, set_key, n, label, d, o, q, k, token, df, r``: each class's prefix of open differences, rarest first.
+
+    ``k`` counts a class's open differences and ``q`` what it can have in common with a
+    partner; classes that have too few are left out. What only the pivot has is counted
+    once for each of its tokens, and the counts go to its classes as one array, no
+    longer than the pivot's text.
+    """
+
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, added, o = (batch.column(c).to_numpy() for c in ("n", "added", "o"))
+            (at, all_), (at_new, new), (_, new_df), (at_old, old), (_, old_df) = (lists(batch.column(c)) for c in ("tokens", "new", "new_df", "old", "old_df"))
+            rows, sizes, rest, tokens, counts, ranks = [], [], [], [], [], []
+            for i in range(batch.num_rows):
+                fresh = slice(at_new[i], at_new[i + 1])
+                known = slice(at_old[i], at_old[i + 1])
+                _, _, place = np.intersect1d(all_[at[i] + added[i] : at[i + 1]], old[known], assume_unique=True, return_indices=True)
+                token, df = np.concatenate([new[fresh], old[known][place]]), np.concatenate([new_df[fresh], old_df[known][place]])
+                k, q = len(token), n[i] - added[i] + fresh.stop - fresh.start
+                if k < o[i] or q * t.denominator < n[i] * t.numerator:
+                    continue
+                best = np.lexsort((token, df))[: k - o[i] + 2]
+                rows.append(np.full(len(best), i))
+                sizes.append(np.full(len(best), k))
+                rest.append(np.full(len(best), q))
+                tokens.append(token[best])
+                counts.append(df[best])
+                ranks.append(np.arange(1, len(best) + 1))
+            of, k, q, token, df, r = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, sizes, rest, tokens, counts, ranks))
+            own = batch.select(["pivot", "set_key", "n", "label", "d", "o"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, (q, k, token, df, r))], names=[*own.schema.names, "q", "k", "token", "df", "r"])
+
+    added = F.col("added").cast("int")
+    fresh = apart.select("pivot", "set_key", "label", F.explode(F.slice("tokens", F.lit(1), added)).alias("token"))
+    new = fresh.join(open_differences(fresh), ["pivot", "token"]).groupBy("pivot", "set_key").agg(F.collect_list(F.struct("token", "df")).alias("new"))
+    # Slices start inside the array, so rows without such tokens are left out first.
+    lacked = apart.where("d > added").select("pivot", "label", F.explode(F.slice("tokens", added + 1, (F.col("d") - F.col("added")).cast("int"))).alias("token"))
+    old = open_differences(lacked).groupBy("pivot").agg(F.collect_list(F.struct("token", "df")).alias("old"))
+    none = F.array().cast("array<struct<token:bigint,df:bigint>>")
+    both = apart.join(new, ["pivot", "set_key"], "left").join(old, "pivot", "left").withColumn("new", F.coalesce("new", none)).withColumn("old", F.coalesce("old", none))
+    wide = both.select("pivot", "set_key", "n", "label", "added", "d", "o", "tokens", F.col("new.token").alias("new"), F.col("new.df").alias("new_df"), F.col("old.token").alias("old"), F.col("old.df").alias("old_df"))
+    return wide.mapInArrow(choose, "pivot long, set_key long, n long, label long, d long, o long, q long, k long, token long, df long, r long")
+
+
 def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """``a, b``: pairs across components that share a frequent token, by their differences from its pivot."""
     # What is here shares no rare token, hence so many frequent ones that one is among the rarest of each.
@@ -273,17 +354,8 @@ def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fr
     often = placed.where(F.col("df") > RARE).withColumn("f", F.count("*").over(own)).where(F.col("f") >= need(F.col("n"), t))
     often = often.withColumn("r", F.row_number().over(own.orderBy("df", "token"))).where(F.col("r") <= F.col("f") - need(F.col("n"), t) + 1)
     members = often.join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
-    apart = materialize(differences(members, sets), "jaccard-differences").withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
-    apart = apart.select("pivot", "set_key", "n", "label", "added", "d", "o", F.posexplode("tokens").alias("at", "token")).withColumn("new", F.col("at") < F.col("added")).drop("at")
-    mine = W.partitionBy("pivot", "set_key")
-    for turn in range(2):
-        # A difference counts if classes of several components have it; tokens of a class that don't count are shared with no partner.
-        open_ = apart.groupBy("pivot", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("df")).where("l0 <> l1").select("pivot", "token", "df")
-        held = apart.join(open_, ["pivot", "token"]).withColumn("k", F.count("*").over(mine)).withColumn("q", F.col("n") - F.col("added") + F.count_if("new").over(mine))
-        held = held.where((F.col("k") >= F.col("o")) & (F.col("q") * t.denominator >= F.col("n") * t.numerator))
-        apart = held if turn else materialize(held.drop("df", "k", "q"), "jaccard-apart")
-    ranked = held.withColumn("r", F.row_number().over(mine.orderBy("df", "token"))).where("r <= k - o + 2")
-    chosen = materialize(ranked, "jaccard-chosen")
+    apart = promising(materialize(differences(members, sets), "jaccard-differences"), t).withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
+    chosen = materialize(first_differences(materialize(apart, "jaccard-apart"), t), "jaccard-chosen")
     # A key is a pair's first common one somewhere; from there on it has ``s`` differences in common at most.
     own = ["set_key", "n", "d", "q", "label"]
     # A class that shares two of its prefix with any partner meets those of its kind by two; if it may share just one, it meets all by one.
