@@ -246,8 +246,9 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(list(map(len, added)), pa.int64()), pa.array(sizes, pa.int64()), lists], names=["pivot", "m", "set_key", "n", "label", "added", "d", "tokens"])
 
-    own = members.join(sets.select("set_key", F.col("grams").alias("g")), "set_key")
-    both = own.join(sets.select(F.col("set_key").alias("pivot"), F.col("grams").alias("gp")), "pivot")
+    # The join by class comes last and deals the rows evenly, however many of them are of one pivot.
+    own = members.join(sets.select(F.col("set_key").alias("pivot"), F.col("grams").alias("gp")), "pivot")
+    both = own.join(sets.select("set_key", F.col("grams").alias("g")), "set_key")
     return both.select("pivot", "m", "set_key", "n", "label", "g", "gp").mapInArrow(compare, "pivot long, m long, set_key long, n long, label long, added long, d long, tokens array<long>")
 
 
@@ -349,11 +350,14 @@ def first_differences(apart: DataFrame, t: Fraction) -> DataFrame:
 
 def frequent_pairs(placed: DataFrame, centres: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """``a, b``: pairs across components that share a frequent token, by their differences from its pivot."""
-    # What is here shares no rare token, hence so many frequent ones that one is among the rarest of each.
+    # What is here shares no rare token, hence so many frequent ones that one is among the first of each, in any one order.
     own = W.partitionBy("set_key")
     often = placed.where(F.col("df") > RARE).withColumn("f", F.count("*").over(own)).where(F.col("f") >= need(F.col("n"), t))
-    often = often.withColumn("r", F.row_number().over(own.orderBy("df", "token"))).where(F.col("r") <= F.col("f") - need(F.col("n"), t) + 1)
-    members = often.join(centres, "token").select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
+    # Tokens of the pivots that most classes meet go first, so a class meets few pivots. A pivot's tokens are no more than its prefix.
+    heads = placed.where(F.col("df") > RARE).select("token", "df").distinct().join(centres, "token")
+    heads = heads.withColumn("met", F.sum("df").over(W.partitionBy("pivot"))).select("token", "pivot", "m", "met")
+    often = often.join(heads, "token").withColumn("r", F.row_number().over(own.orderBy(F.desc("met"), "pivot", "token"))).where(F.col("r") <= F.col("f") - need(F.col("n"), t) + 1)
+    members = often.select("pivot", "m", "set_key", "n", "label").where("pivot <> set_key").distinct()
     apart = promising(materialize(differences(members, sets), "jaccard-differences"), t).withColumn("o", least_shared(F.col("d"), F.col("n"), F.col("m"), t))
     chosen = materialize(first_differences(materialize(apart, "jaccard-apart"), t), "jaccard-chosen")
     # A key is a pair's first common one somewhere; from there on it has ``s`` differences in common at most.

@@ -423,6 +423,27 @@ def test_jaccard_of_dense_groups_equals_brute_force(spark, monkeypatch, seed, ra
     assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)})
 
 
+def test_classes_of_one_passage_meet_few_pivots(spark, monkeypatch):
+    """Texts that share a passage, in groups and alone: the differences are linear in the classes, and the links whole."""
+    monkeypatch.setattr(ngram_jaccard, "RARE", 2)
+    rng = random.Random(8)
+    line, texts = prose(55, 40).split(), []
+    for g in range(12):
+        own = prose(600 + g, rng.choice([30, 60, 90])).split()
+        for _ in range(9):
+            w = line + own
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    seen, compared = [], ngram_jaccard.differences
+    monkeypatch.setattr(ngram_jaccard, "differences", lambda members, sets: seen.append((members.count(), members.select("set_key").distinct().count())) or compared(members, sets))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(df).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)})
+    [(rows, classes)] = seen
+    assert classes >= 50 and rows <= 3 * classes, seen
+
+
 def test_jaccard_of_odd_tables(docs, empty):
     rows = ngram_jaccard.jaccard_components(docs).collect()
     assert len(rows) == len(TEXTS) + 2
