@@ -64,7 +64,7 @@ RARE = 32
 #: Classes that share a difference of the rare kind at most. A class has many differences
 #: to combine by two, while few pairs of those that share one pass the bounds.
 RARE_DIFFERENCE = 256
-#: Tokens beyond those that a partner may lack by which a class is looked up, and a quarter of those.
+#: Tokens beyond those that a partner may lack by which a class is looked up; a quarter of those if that is more.
 PROBE = 17
 #: Turns of pivots.
 STAR_ROUNDS = 3
@@ -275,6 +275,11 @@ def unshared(n: Column, t: Fraction) -> Column:
     return n - F.floor((t.numerator * n + t.denominator - 1) / F.lit(t.denominator))
 
 
+def probe(n: Column, t: Fraction) -> Column:
+    """Tokens beyond :func:`unshared` by which a set of ``n`` is looked up; no fewer for larger sets."""
+    return F.greatest(F.lit(PROBE), F.floor(unshared(n, t) / 4))
+
+
 def open_differences(tokens: DataFrame) -> DataFrame:
     """``pivot, token, df``: the differences from a pivot that classes of several components have.
 
@@ -287,17 +292,20 @@ def promising(apart: DataFrame, t: Fraction) -> DataFrame:
     """The rows of :func:`differences` whose class can share enough of what the pivot lacks.
 
     A partner lacks :func:`unshared` tokens of a class at most. Where the pivot lacks
-    more, the partner has the rest, so in any few of these tokens beyond that number
-    are open ones; a class is looked up by so few of its tokens.
+    more, the partner has the rest. All classes have these tokens in one order, so the
+    ``c``-th common one is among the first ``unshared + c`` of either, and no class is
+    indexed or looked up by more: of those of a class, as many as its smallest partner
+    goes beyond :func:`unshared` are open.
     """
-    added = F.slice("tokens", F.lit(1), F.col("added").cast("int"))
-    may = unshared(F.col("n"), t)
-    doubtful = apart.where(F.col("added") > may)
-    few = F.least(F.col("added"), may + F.floor(may / 4) + PROBE)
-    open_ = open_differences(apart.select("pivot", "label", F.explode(added).alias("token"))).select("pivot", "token")
-    asked = doubtful.select("pivot", "set_key", (few - may).alias("least"), F.explode(F.slice("tokens", F.lit(1), few.cast("int"))).alias("token"))
+    n, added = F.col("n"), F.col("added")
+    may = unshared(n, t)
+    few = apart.withColumn("few", F.least(added, may + probe(n, t)).cast("int"))
+    open_ = open_differences(few.select("pivot", "label", F.explode(F.slice("tokens", F.lit(1), F.col("few"))).alias("token"))).select("pivot", "token")
+    smallest = F.floor((t.numerator * n + t.denominator - 1) / F.lit(t.denominator))
+    least = F.least(added - may, probe(smallest, t))
+    asked = few.where(added > may).select("pivot", "set_key", least.alias("least"), F.explode(F.slice("tokens", F.lit(1), F.col("few"))).alias("token"))
     found = asked.join(open_, ["pivot", "token"], "left_semi").groupBy("pivot", "set_key", "least").agg(F.count("*").alias("c")).where("c >= least")
-    return apart.where(F.col("added") <= may).union(doubtful.join(found.select("pivot", "set_key"), ["pivot", "set_key"], "left_semi").select(*apart.columns))
+    return apart.where(added <= may).union(apart.where(added > may).join(found.select("pivot", "set_key"), ["pivot", "set_key"], "left_semi").select(*apart.columns))
 
 
 def first_differences(apart: DataFrame, t: Fraction) -> DataFrame:

@@ -444,6 +444,20 @@ def test_classes_of_one_passage_meet_few_pivots(spark, monkeypatch):
     assert classes >= 50 and rows <= 3 * classes, seen
 
 
+def test_look_up_of_tokens_that_a_pivot_lacks(spark):
+    """Of sets of 100 a partner lacks 20 tokens; what is shared beyond a partner's first ones is no sign of it."""
+    shared = list(range(1000, 1090))
+    rows = {
+        1: shared[:80] + list(range(5000, 5010)),  # partner of 2
+        2: list(range(10)) + shared[:80],
+        3: list(range(2000, 2045)) + list(range(6000, 6045)),  # 4 has its first tokens, but as its last ones
+        4: list(range(100, 145)) + list(range(2000, 2045)),
+        5: list(range(7000, 7015)),  # the pivot lacks no more than a partner may lack
+    }
+    apart = spark.createDataFrame([(0, 100, k, 100, k, len(x), len(x), x) for k, x in rows.items()], "pivot long, m long, set_key long, n long, label long, added long, d long, tokens array<long>")
+    assert sorted(r["set_key"] for r in ngram_jaccard.promising(apart, ngram_jaccard.THRESHOLD).collect()) == [1, 2, 5]
+
+
 def test_jaccard_of_odd_tables(docs, empty):
     rows = ngram_jaccard.jaccard_components(docs).collect()
     assert len(rows) == len(TEXTS) + 2
