@@ -308,13 +308,28 @@ def promising(apart: DataFrame, t: Fraction) -> DataFrame:
     return apart.where(added <= may).union(apart.where(added > may).join(found.select("pivot", "set_key"), ["pivot", "set_key"], "left_semi").select(*apart.columns))
 
 
+def with_additions(apart: DataFrame, t: Fraction) -> DataFrame:
+    """The rows of :func:`promising` that can have a partner, ``new``, what of a class's additions is open, and ``q``.
+
+    ``q`` is what a class can have in common with a partner: what it shares with the
+    pivot, and its open additions. Where that is too little, or where these and all
+    that the pivot alone has are fewer than a partner shares, no partner is left, and
+    what the pivot alone has need not be counted for the class.
+    """
+    fresh = apart.select("pivot", "set_key", "label", F.explode(F.slice("tokens", F.lit(1), F.col("added").cast("int"))).alias("token"))
+    new = fresh.join(open_differences(fresh), ["pivot", "token"]).groupBy("pivot", "set_key").agg(F.collect_list(F.struct("token", "df")).alias("new"))
+    both = apart.join(new, ["pivot", "set_key"], "left").withColumn("new", F.coalesce("new", F.array().cast("array<struct<token:bigint,df:bigint>>")))
+    both = both.withColumn("q", F.col("n") - F.col("added") + F.size("new"))
+    return both.where((F.col("q") * t.denominator >= F.col("n") * t.numerator) & (F.col("d") - F.col("added") + F.size("new") >= F.col("o")))
+
+
 def first_differences(apart: DataFrame, t: Fraction) -> DataFrame:
     """``pivot, set_key, n, label, d, o, q, k, token, df, r``: each class's prefix of open differences, rarest first.
 
     ``k`` counts a class's open differences and ``q`` what it can have in common with a
     partner; classes that have too few are left out. What only the pivot has is counted
-    once for each of its tokens, and the counts go to its classes as one array, no
-    longer than the pivot's text.
+    once for each of its tokens, for the classes that :func:`with_additions` leaves, and
+    the counts go to its classes as one array, no longer than the pivot's text.
     """
 
     def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,37 +337,34 @@ def first_differences(apart: DataFrame, t: Fraction) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, added, o = (batch.column(c).to_numpy() for c in ("n", "added", "o"))
+            added, o = (batch.column(c).to_numpy() for c in ("added", "o"))
             (at, all_), (at_new, new), (_, new_df), (at_old, old), (_, old_df) = (lists(batch.column(c)) for c in ("tokens", "new", "new_df", "old", "old_df"))
-            rows, sizes, rest, tokens, counts, ranks = [], [], [], [], [], []
+            rows, sizes, tokens, counts, ranks = [], [], [], [], []
             for i in range(batch.num_rows):
                 fresh = slice(at_new[i], at_new[i + 1])
                 known = slice(at_old[i], at_old[i + 1])
                 _, _, place = np.intersect1d(all_[at[i] + added[i] : at[i + 1]], old[known], assume_unique=True, return_indices=True)
                 token, df = np.concatenate([new[fresh], old[known][place]]), np.concatenate([new_df[fresh], old_df[known][place]])
-                k, q = len(token), n[i] - added[i] + fresh.stop - fresh.start
-                if k < o[i] or q * t.denominator < n[i] * t.numerator:
+                k = len(token)
+                if k < o[i]:
                     continue
                 best = np.lexsort((token, df))[: k - o[i] + 2]
                 rows.append(np.full(len(best), i))
                 sizes.append(np.full(len(best), k))
-                rest.append(np.full(len(best), q))
                 tokens.append(token[best])
                 counts.append(df[best])
                 ranks.append(np.arange(1, len(best) + 1))
-            of, k, q, token, df, r = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, sizes, rest, tokens, counts, ranks))
-            own = batch.select(["pivot", "set_key", "n", "label", "d", "o"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, (q, k, token, df, r))], names=[*own.schema.names, "q", "k", "token", "df", "r"])
+            of, k, token, df, r = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, sizes, tokens, counts, ranks))
+            own = batch.select(["pivot", "set_key", "n", "label", "d", "o", "q"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, (k, token, df, r))], names=[*own.schema.names, "k", "token", "df", "r"])
 
+    left = materialize(with_additions(apart, t), "jaccard-left")
     added = F.col("added").cast("int")
-    fresh = apart.select("pivot", "set_key", "label", F.explode(F.slice("tokens", F.lit(1), added)).alias("token"))
-    new = fresh.join(open_differences(fresh), ["pivot", "token"]).groupBy("pivot", "set_key").agg(F.collect_list(F.struct("token", "df")).alias("new"))
     # Slices start inside the array, so rows without such tokens are left out first.
-    lacked = apart.where("d > added").select("pivot", "label", F.explode(F.slice("tokens", added + 1, (F.col("d") - F.col("added")).cast("int"))).alias("token"))
+    lacked = left.where("d > added").select("pivot", "label", F.explode(F.slice("tokens", added + 1, (F.col("d") - F.col("added")).cast("int"))).alias("token"))
     old = open_differences(lacked).groupBy("pivot").agg(F.collect_list(F.struct("token", "df")).alias("old"))
-    none = F.array().cast("array<struct<token:bigint,df:bigint>>")
-    both = apart.join(new, ["pivot", "set_key"], "left").join(old, "pivot", "left").withColumn("new", F.coalesce("new", none)).withColumn("old", F.coalesce("old", none))
-    wide = both.select("pivot", "set_key", "n", "label", "added", "d", "o", "tokens", F.col("new.token").alias("new"), F.col("new.df").alias("new_df"), F.col("old.token").alias("old"), F.col("old.df").alias("old_df"))
+    both = left.join(old, "pivot", "left").withColumn("old", F.coalesce("old", F.array().cast("array<struct<token:bigint,df:bigint>>")))
+    wide = both.select("pivot", "set_key", "n", "label", "added", "d", "o", "q", "tokens", F.col("new.token").alias("new"), F.col("new.df").alias("new_df"), F.col("old.token").alias("old"), F.col("old.df").alias("old_df"))
     return wide.mapInArrow(choose, "pivot long, set_key long, n long, label long, d long, o long, q long, k long, token long, df long, r long")
 
 

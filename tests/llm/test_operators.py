@@ -458,6 +458,23 @@ def test_look_up_of_tokens_that_a_pivot_lacks(spark):
     assert sorted(r["set_key"] for r in ngram_jaccard.promising(apart, ngram_jaccard.THRESHOLD).collect()) == [1, 2, 5]
 
 
+def test_tokens_of_a_pivot_are_counted_for_classes_that_can_have_a_partner(spark, monkeypatch):
+    """A class that is too far for its additions, and one that has too few differences for a partner, are left out first."""
+    rows = {
+        2: (100, list(range(1000, 1010)), list(range(10))),  # partner of 3
+        3: (100, list(range(1005, 1015)), list(range(1, 11))),
+        4: (100, list(range(2000, 2060)), list(range(60))),  # 40 in common with others at most
+        5: (106, list(range(3000, 3013)), list(range(7))),  # a partner shares 10 differences, it has 7
+    }
+    apart = spark.createDataFrame([(0, 100, k, n, k, len(new), len(new + old), new + old) for k, (n, new, old) in rows.items()], "pivot long, m long, set_key long, n long, label long, added long, d long, tokens array<long>")
+    apart = apart.withColumn("o", ngram_jaccard.least_shared(F.col("d"), F.col("n"), F.col("m"), ngram_jaccard.THRESHOLD))
+    seen, count = [], ngram_jaccard.open_differences
+    monkeypatch.setattr(ngram_jaccard, "open_differences", lambda tokens: seen.append(tokens.count()) or count(tokens))
+    chosen = ngram_jaccard.first_differences(apart, ngram_jaccard.THRESHOLD).collect()
+    assert {(r["set_key"], r["q"], r["k"], r["o"]) for r in chosen} == {(2, 95, 14, 11), (3, 95, 14, 11)}
+    assert seen == [93, 20]
+
+
 def test_jaccard_of_odd_tables(docs, empty):
     rows = ngram_jaccard.jaccard_components(docs).collect()
     assert len(rows) == len(TEXTS) + 2
