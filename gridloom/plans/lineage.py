@@ -3,8 +3,9 @@
 Cells come as ``book, row, col, input`` (rows and columns from 0), many books at once. A
 formula's references are taken from its text by built-in functions; each is a rectangle,
 of one cell or more, and cells are joined with rectangles by tiles. What depends on a
-cell, or what it depends on, is found round by round from the last round's new cells;
-each round is written to the shared folder.
+cell, or what it depends on, is found round by round from the last round's new cells,
+by sweeps that ask whether a rectangle holds any, not which; each round is written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.tiles import contained
+from gridloom.operators.tiles import blocks, contained, covered, holding
 from gridloom.sources.scratch import stored
 
 _REF = r"\$?[A-Za-z]{1,3}\$?[1-9][0-9]{0,6}"
@@ -52,15 +53,16 @@ def closure(cells: DataFrame, start: DataFrame, upwards: bool = False) -> DataFr
     ``step`` is the least number of reads between; the cells of ``start`` themselves are
     in only if they depend on themselves through others.
     """
-    areas = stored(reads(cells))
-    filled = cells.select(*CELL)
+    areas = stored(blocks(reads(cells)))
+    levels, last = areas.agg(F.collect_set("level"), F.coalesce(F.max("r1"), F.lit(0))).first()
+    filled = stored(cells.select(*CELL)) if upwards else None
     reader = [F.col("reader_row").alias("row"), F.col("reader_col").alias("col")]
 
     def next_of(frontier: DataFrame) -> DataFrame:
         if upwards:
             own = frontier.select("book", F.col("row").alias("reader_row"), F.col("col").alias("reader_col"))
-            return contained(filled, areas.join(own, ["book", "reader_row", "reader_col"]), ["book"]).select(*CELL)
-        return contained(frontier, areas, ["book"]).select("book", *reader)
+            return covered(filled, areas.join(own, ["book", "reader_row", "reader_col"]), ["book"], levels, last).select(*CELL)
+        return holding(areas, frontier, ["book"], levels, last).select("book", *reader)
 
     frontier, step, known = start.select(*CELL).distinct(), 0, None
     while True:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import rules as R
-from gridloom.operators.tiles import contained
+from gridloom.operators.tiles import blocks, contained, covered, holding
 from gridloom.plans import lineage
 from gridloom.plans.workbook import Workbook, evaluate_workbooks
 from gridloom.sources.csv import CsvError, parse, read_csv
@@ -117,3 +117,47 @@ def test_a_folder_of_several_files_is_no_grid(spark, tmp_path):
         (tmp_path / name).write_text("1,2\n")
     with pytest.raises(CsvError, match="several_files"):
         read_csv(spark, str(tmp_path))
+
+
+def test_areas_that_hold_any_cell_and_cells_in_any_area_make_no_pairs(spark):
+    rng = random.Random(3)
+    span = lambda n: sorted((rng.randint(0, n), rng.randint(0, n)))
+    near = lambda: (r := rng.randint(0, 70_000), r + rng.randint(0, 40_000))
+    areas = [(i, *(near() if i % 3 else span(300)), *(span(40) if i % 2 else [rng.randint(0, 5)] * 2)) for i in range(150)] + [(150, 0, 1_048_575, 3, 16_383), (151, 5, 5, 5, 5), (152, 0, 80_000, 50, 50)]
+    areas = [(b, *a) for a in areas for b in "xyz"[a[0] % 2 :]]
+    df = blocks(spark.createDataFrame([(b, i, r0, c0, r1, c1) for b, i, r0, r1, c0, c1 in areas], "book string, rule int, r0 int, c0 int, r1 int, c1 int"))
+    levels, last = df.agg(F.collect_set("level"), F.max("r1")).first()
+    cells = sorted({(b, rng.choice([rng.randint(0, 300), rng.randint(0, 120_000)]), rng.randint(0, 45)) for b in "xy" for _ in range(60)})
+    held = spark.createDataFrame(cells, "book string, row int, col int").repartition(3)
+    inside = lambda a, c: a[0] == c[0] and a[2] <= c[1] <= a[3] and a[4] <= c[2] <= a[5]
+    for few in (areas, [a for a in areas if a[3] < 301]):
+        own = df.where(F.lit(True) if few is areas else F.col("r1") < 301)
+        for end in (last, 300) if few is not areas else (last,):
+            got = {(r["book"], r["rule"]) for r in holding(own, held, ["book"], levels, end).collect()}
+            assert got == {a[:2] for a in few if any(inside(a, c) for c in cells)}
+            got = {tuple(r) for r in covered(held, own, ["book"], levels, end).collect()}
+            assert got == {c for c in cells if any(inside(a, c) for a in few)}
+
+
+def test_a_round_takes_as_many_rows_as_there_are_areas(spark):
+    n = 2000
+    cells = spark.range(n).select(F.lit("x").alias("book"), F.col("id").alias("row"), F.posexplode(F.array(F.lit("1"), F.concat(F.lit("=SUM(A1:A"), F.col("id") + 1, F.lit(")")))).alias("col", "input")).repartition(4)
+    areas = blocks(lineage.reads(cells))
+    for made, most in ((holding(areas, cells.where("col = 0").select(*lineage.CELL), ["book"], [0], n), n), (covered(cells.select(*lineage.CELL), areas, ["book"], [0], n), n)):
+        assert made.count() == most
+        plan, counts = [made._jdf.queryExecution().executedPlan()], []
+        made.collect()
+        while plan:
+            p = plan.pop()
+            if p.getClass().getSimpleName() in ("AdaptiveSparkPlanExec",):
+                plan.append(p.executedPlan())
+                continue
+            if p.getClass().getSimpleName().endswith("QueryStageExec"):
+                plan.append(p.plan())
+                continue
+            if (m := p.metrics().get("numOutputRows")).isDefined():
+                counts.append(m.get().value())
+            plan += [p.children().apply(i) for i in range(p.children().size())]
+        assert counts and max(counts) <= 3 * n
+    got = lineage.closure(cells, cells.where("row = 0 AND col = 0"))
+    assert got.count() == n
