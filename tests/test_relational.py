@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions.cells import Err
 from gridloom.operators import lookup as L
@@ -97,3 +98,9 @@ def test_cuts_by_halving(spark):
     for cuts in ([], [5.0], [1.0, 2.0, 3.5, 40.0], [float(i) for i in range(0, 50, 3)], [i / 2 for i in range(-4, 90)]):
         got = df.select("x", L.range_of(df["x"], cuts).alias("r")).collect()
         assert all(r["r"] == sum(c <= r["x"] for c in cuts) for r in got)
+
+
+def test_a_sequence_may_have_more_cells_than_one_array(spark):
+    made = L.sequence(spark, 400_000, 3, 10.0, 0.5)
+    got = made.agg(F.count("*"), F.count_distinct("row", "col"), F.max("row"), F.max("col"), F.sum("value"), F.max(F.abs(F.col("value") - 10 - 0.5 * (F.col("row") * 3 + F.col("col"))))).first()
+    assert tuple(got) == (1_200_000, 1_200_000, 399_999, 2, 10 * 1_200_000 + 0.25 * 1_200_000 * 1_199_999, 0.0)
