@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import Err
 from gridloom.operators import lookup as L
 from gridloom.plans.compiler import Unsupported
-from gridloom.plans.relational import Table, with_table_formulas
+from gridloom.plans.relational import Table, spilled, with_table_formulas
 from gridloom.plans.workbook import Workbook
 
 CELLS = [(i, (None, 1.0, 2.0, 2.5, 3.0, -1.0, 10.0)[i * 5 % 7], (None, "", "a", "A", "ab", "abc", "b", "2", "2.5%", "x*y", "<3")[i * 3 % 11], (True, False, None)[i % 3], (None, 1.5, 2.0, -3.0, 7.0)[i * 2 % 5]) for i in range(40)]
@@ -104,3 +104,10 @@ def test_a_sequence_may_have_more_cells_than_one_array(spark):
     made = L.sequence(spark, 400_000, 3, 10.0, 0.5)
     got = made.agg(F.count("*"), F.count_distinct("row", "col"), F.max("row"), F.max("col"), F.sum("value"), F.max(F.abs(F.col("value") - 10 - 0.5 * (F.col("row") * 3 + F.col("col"))))).first()
     assert tuple(got) == (1_200_000, 1_200_000, 399_999, 2, 10 * 1_200_000 + 0.25 * 1_200_000 * 1_199_999, 0.0)
+
+
+def test_a_spilled_sequence_may_have_more_cells_than_one_array(spark):
+    table = Table(spark.range(350_000).withColumnRenamed("id", "_at"), "_at")
+    made = spilled(spark.range(1), "SEQUENCE(ROWS(long),3,10,-0.5)", "id", {"long": table})
+    got = made.agg(F.count("*"), F.count_distinct("place"), F.min("place"), F.max("place"), F.max(F.abs(F.col("value") - 10 + 0.5 * (F.col("place") - 1)))).first()
+    assert tuple(got) == (1_050_000, 1_050_000, 1.0, 1_050_000.0, 0.0)
