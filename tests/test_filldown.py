@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions.cells import Err
 from gridloom.plans.compiler import Unsupported
@@ -73,3 +74,13 @@ def test_what_cannot_be_filled(sheets):
         with pytest.raises(Unsupported):
             fill_down(df, {"d": formula}, AT)
     assert fill_down(df.limit(0), {"d": "SUM(A$1:A6)+A5"}, AT).collect() == []
+
+
+def test_an_area_down_to_a_fixed_row_is_swept_once(spark):
+    n, end = 3000, 2500
+    df = spark.range(n).select(F.col("id").alias("_row"), (F.col("id") % 7).cast("double").alias("a")).repartition(3)
+    made = fill_down(df, {"x": f"SUM(A1:A${end})", "y": f"MAX(A1:A${end})+COUNT(A1:A${end})"}, 0)
+    # A frame from the row to the end is summed anew for each row.
+    assert "currentrow$(), unboundedfollowing$()" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    a, own = [float(i % 7) for i in range(n)], lambda i: slice(min(i, end - 1), max(i, end - 1) + 1)
+    assert {r["_row"]: (r["x"], r["y"]) for r in made.collect()} == {i: (sum(a[own(i)]), max(a[own(i)]) + len(a[own(i)])) for i in range(n)}
