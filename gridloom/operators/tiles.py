@@ -83,7 +83,7 @@ def up_to(values: DataFrame, probes: DataFrame, keys: Sequence[str], levels: Seq
     if last >> max(0, RANGE - max(levels, default=0)):
         before = F.max("__v").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
         tops = both.groupBy(*keys, "__range").agg(F.max("__v").alias("__v")).select(*keys, "__range", before.alias("__in"))
-        swept = swept.join(tops.where("__in IS NOT NULL"), [*keys, "__range"], "left").withColumn("__most", F.greatest("__most", "__in")).drop("__in")
+        swept = swept.join(tops.where("__in IS NOT NULL").hint("merge"), [*keys, "__range"], "left").withColumn("__most", F.greatest("__most", "__in")).drop("__in")
     return swept.drop("__range")
 
 
@@ -92,7 +92,7 @@ def holding(areas: DataFrame, cells: DataFrame, on: Sequence[str], levels: Seque
     keys = [*on, "level", "block"]
     values = placed(cells, levels).select(*keys, F.col("row").alias("__at"), F.col("row").alias("__v"))
     ends = up_to(values, areas.select(*keys, F.col("r1").alias("__at")).distinct(), keys, levels, last).where("__most IS NOT NULL")
-    return areas.withColumn("__at", F.col("r1")).join(ends, [*keys, "__at"]).where("__most >= r0").drop("__at", "__most")
+    return areas.withColumn("__at", F.col("r1")).join(ends.hint("merge"), [*keys, "__at"]).where("__most >= r0").drop("__at", "__most")
 
 
 def covered(cells: DataFrame, areas: DataFrame, on: Sequence[str], levels: Sequence[int], last: int) -> DataFrame:

@@ -47,6 +47,11 @@ def edges(cells: DataFrame) -> DataFrame:
     return contained(cells.select(*CELL), reads(cells), ["book"]).select(*CELL, "reader_row", "reader_col").distinct()
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """For a join that must not send ``df`` to the driver and all executors: what is stored takes up many times the size of its files."""
+    return df.hint("merge")
+
+
 def closure(cells: DataFrame, start: DataFrame, upwards: bool = False) -> DataFrame:
     """``book, row, col, step``: what depends on the cells of ``start``, or with ``upwards`` what they depend on.
 
@@ -61,14 +66,14 @@ def closure(cells: DataFrame, start: DataFrame, upwards: bool = False) -> DataFr
     def next_of(frontier: DataFrame) -> DataFrame:
         if upwards:
             own = frontier.select("book", F.col("row").alias("reader_row"), F.col("col").alias("reader_col"))
-            return covered(filled, areas.join(own, ["book", "reader_row", "reader_col"]), ["book"], levels, last).select(*CELL)
+            return covered(filled, areas.join(unsent(own), ["book", "reader_row", "reader_col"]), ["book"], levels, last).select(*CELL)
         return holding(areas, frontier, ["book"], levels, last).select("book", *reader)
 
     frontier, step, known = start.select(*CELL).distinct(), 0, None
     while True:
         step += 1
         new = next_of(frontier).distinct()
-        new = stored((new if known is None else new.join(known, CELL, "left_anti")).withColumn("step", F.lit(step)))
+        new = stored((new if known is None else new.join(unsent(known), CELL, "left_anti")).withColumn("step", F.lit(step)))
         if new.isEmpty():
             return known if known is not None else new
         known, frontier = (new if known is None else known.unionByName(new)), new.select(*CELL)

@@ -161,3 +161,13 @@ def test_a_round_takes_as_many_rows_as_there_are_areas(spark):
         assert counts and max(counts) <= 3 * n
     got = lineage.closure(cells, cells.where("row = 0 AND col = 0"))
     assert got.count() == n
+
+
+@pytest.mark.parametrize("upwards", [False, True])
+def test_a_closure_sends_no_table_to_the_driver(spark, monkeypatch, upwards):
+    plans, stored = [], lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    texts = F.array(F.lit("1"), F.concat(F.lit("=A"), F.col("id") + 1, F.lit("+SUM(B$2:B3)")), F.lit("=B2"))
+    cells = stored(spark.range(40).select(F.lit("x").alias("book"), F.col("id").alias("row"), F.posexplode(texts).alias("col", "input")))
+    lineage.closure(cells, cells.where("row = 2 AND col = 2" if upwards else "row = 1 AND col = 0"), upwards)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
