@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import oracle
 import pytest
 
@@ -48,3 +49,13 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
     query.stop()
     got = spark.table("windows").toPandas()
     assert oracle.difference(got, batch) is None
+
+
+def test_conditions_agree_with_their_sql_on_negative_zeros_and_nulls(spark, tmp_path):
+    values = [-0.0, 0.0, None, -0.3, -0.5, 0.25, 0.05, 4999.96, 5000.0, 5000.5, -12.5, -999.99]
+    spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = own.execute(__spark_entry__.oracle_sql()["text_conditions"]).fetchall()
+    got = __spark_entry__.queries()["text_conditions"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and dict(want)[0] == "-0.0"
