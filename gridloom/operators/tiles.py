@@ -91,7 +91,8 @@ def holding(areas: DataFrame, cells: DataFrame, on: Sequence[str], levels: Seque
     """Blocks of areas (see ``blocks``) that hold any of the cells: the last cell up to the area's end is not before its start."""
     keys = [*on, "level", "block"]
     values = placed(cells, levels).select(*keys, F.col("row").alias("__at"), F.col("row").alias("__v"))
-    ends = up_to(values, areas.select(*keys, F.col("r1").alias("__at")).distinct(), keys, levels, last).where("__most IS NOT NULL")
+    first = areas.groupBy(*keys, F.col("r1").alias("__at")).agg(F.min("r0").alias("__first"))
+    ends = up_to(values, first, keys, levels, last).where("__most >= __first").drop("__first")
     return areas.withColumn("__at", F.col("r1")).join(ends.hint("merge"), [*keys, "__at"]).where("__most >= r0").drop("__at", "__most")
 
 

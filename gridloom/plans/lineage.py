@@ -10,6 +10,8 @@ the shared folder.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +19,24 @@ from gridloom.operators.tiles import blocks, contained, covered, holding
 from gridloom.sources.scratch import stored
 
 _REF = r"\$?[A-Za-z]{1,3}\$?[1-9][0-9]{0,6}"
-#: A formula's parts: texts, references to other sheets, areas and cells of this one, names, anything else.
-PARTS = rf"""("(?:[^"]|"")*"|(?:'(?:[^']|'')*'|[A-Za-z_][A-Za-z0-9_.]*)!{_REF}(?::{_REF})?|{_REF}\s*:\s*{_REF}(?![A-Za-z0-9_.(])|{_REF}(?![A-Za-z0-9_.(])|[A-Za-z_][A-Za-z0-9_.]*|.)"""
+#: A formula's parts: texts, references to other sheets, areas and cells of this one (the only group), names, anything else.
+PARTS = rf"""(?:"(?:[^"]|"")*"|(?:'(?:[^']|'')*'|[A-Za-z_][A-Za-z0-9_.]*)!{_REF}(?::{_REF})?|({_REF}\s*:\s*{_REF}(?![A-Za-z0-9_.(])|{_REF}(?![A-Za-z0-9_.(]))|[A-Za-z_][A-Za-z0-9_.]*|[^"'$A-Za-z_]+|.)"""
 CELL = ["book", "row", "col"]
 
 
 def _column(ref: Column) -> Column:
-    letters = F.split(F.upper(F.regexp_extract(ref, r"^\$?([A-Za-z]+)", 1)), "")
-    return F.aggregate(letters, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1
+    letters = F.lpad(F.upper(F.translate(ref, "$0123456789", "")), 3, "@")  # the sign before A, which counts 0
+    return sum(((F.ascii(F.substring(letters, k, 1)) - 64) * 26 ** (3 - k) for k in (1, 2, 3)), F.lit(-1))
 
 
 def _row(ref: Column) -> Column:
-    return F.regexp_extract(ref, r"([0-9]+)$", 1).cast("int") - 1
+    return F.translate(F.upper(ref), f"${string.ascii_uppercase}", "").cast("int") - 1
 
 
 def reads(cells: DataFrame) -> DataFrame:
     """``book, reader_row, reader_col, r0, c0, r1, c1``: the rectangles that each formula reads on its own sheet."""
     formulas = cells.where(F.startswith("input", F.lit("=")))
-    parts = F.filter(F.regexp_extract_all("input", F.lit(PARTS), 1), lambda p: p.rlike(rf"^{_REF}(?:\s*:\s*{_REF})?$"))
+    parts = F.array_remove(F.regexp_extract_all("input", F.lit(PARTS), 1), "")
     found = formulas.select("book", F.col("row").alias("reader_row"), F.col("col").alias("reader_col"), F.explode(F.array_distinct(parts)).alias("part"))
     ends = F.split("part", r"\s*:\s*")
     a, b = ends[0], F.coalesce(F.get(ends, F.lit(1)), ends[0])

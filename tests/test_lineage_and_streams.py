@@ -171,3 +171,10 @@ def test_a_closure_sends_no_table_to_the_driver(spark, monkeypatch, upwards):
     cells = stored(spark.range(40).select(F.lit("x").alias("book"), F.col("id").alias("row"), F.posexplode(texts).alias("col", "input")))
     lineage.closure(cells, cells.where("row = 2 AND col = 2" if upwards else "row = 1 AND col = 0"), upwards)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_references_are_told_from_functions_texts_and_other_sheets(spark):
+    texts = ["=LOG10(A1)+zz10", '="B2:C3"&$C$3 : a$7&"x""A9"', "=Other!A1+'my A2'!B2:B3-XFD1048576", "=SUM(B$2:B2,B2)*25+rate_1A", "A1", "=A1B+1.5%(D4)"]
+    cells = spark.createDataFrame([("x", k, 0, t) for k, t in enumerate(texts)], "book string, row int, col int, input string")
+    got = sorted((r["reader_row"], r["r0"], r["c0"], r["r1"], r["c1"]) for r in lineage.reads(cells).collect())
+    assert got == sorted([(0, 0, 0, 0, 0), (0, 9, 701, 9, 701), (1, 2, 0, 6, 2), (2, 1048575, 16383, 1048575, 16383), (3, 1, 1, 1, 1), (3, 1, 1, 1, 1), (5, 3, 3, 3, 3)])
